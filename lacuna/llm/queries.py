@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, substring_dedup
+from . import exact_dedup, quality, simhash, substring_dedup
 from .common import table
 
 
@@ -14,13 +14,21 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.deduplicate_substrings(table(spark, sf_dir, "documents")))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.judge(table(spark, sf_dir, "documents")))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.digest(exact_dedup.exact_duplicates(*exact_dedup.by_arrival(table(spark, sf_dir, "documents"))))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op5_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_exact_dedup, op5_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": quality.oracle(), "op3_exact_dedup": exact_dedup.ORACLE}
