@@ -151,8 +151,9 @@ def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -
     scratch = Scratch(docs.sparkSession, "quality")
     flat = scratch.save(features(docs.select(F.col(text_col).alias("_t")), "_t").select("_f.*"), "counts")
     odds = fit(flat)
-    kept = features(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_t")), "_t").select("_row", "_f.*")
-    return _with_votes(kept).where(~F.expr(BASE_FAILED) & (1 / (1 + F.exp(-odds)) >= threshold)).select("_row.*")
+    kept = features(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_t")), "_t").select("_row", "_f.*", F.monotonically_increasing_id().alias("_at"))
+    # _at keeps the filter above the counts: pushed below, it would make them again for each vote
+    return _with_votes(kept).where((F.col("_at") >= 0) & ~F.expr(BASE_FAILED) & (1 / (1 + F.exp(-odds)) >= threshold)).select("_row.*")
 
 
 def digest(out: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality, simhash, substring_dedup
+from . import exact_dedup, packing, quality, simhash, substring_dedup
 from .common import table
 
 
@@ -26,8 +26,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_exact_dedup, op5_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_exact_dedup, op5_simhash_near_dedup, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

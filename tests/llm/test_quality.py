@@ -72,7 +72,7 @@ def test_em_finds_the_better_voter():
         votes = tuple((1 if good == (r.random() < acc) else -1) if r.random() < 0.9 else 0 for acc in (0.95, 0.7, 0.9, 0.55))
         count[votes] = count.get(votes, 0) + 1
     prior, odds = quality.estimate(sorted(count.items()))
-    assert prior == pytest.approx(1.386, abs=0.2)
+    assert prior == pytest.approx(1.386, abs=0.3)  # after a fixed number of rounds
     spread = [o[1] - o[-1] for o in odds]
     assert spread[0] > spread[2] > spread[1] > spread[3] > 0
     assert abs(odds[0][0]) < 0.2
