@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality, simhash, substring_dedup
+from . import exact_dedup, language, mixing, packing, quality, secrets, simhash, substring_dedup
 from .common import table
 
 
@@ -26,13 +26,26 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_exact_dedup, op5_simhash_near_dedup, op8_packing)}
+    own = (op1_substring_dedup, op2_quality_rules, op3_exact_dedup, op5_simhash_near_dedup, op6_mixing, op7_language_id, op8_packing, op9_secret_scan)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.oracle(), "op3_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_quality_rules": quality.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
