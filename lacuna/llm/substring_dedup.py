@@ -192,9 +192,12 @@ def _windows(length: int):
     return run
 
 
-def _repeated(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose keys stand in two rows or more: counted by partial aggregation, then a semi-join."""
-    many = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+def _repeated(scratch: Scratch, df: DataFrame, tag: str, *keys: str) -> DataFrame:
+    """Rows whose keys stand in two rows or more: counted by partial aggregation, then a semi-join.
+
+    The keys are a written table, so that the join's sides are plain shuffles and AQE can split a hot key.
+    """
+    many = scratch.save(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys), f"{tag}-many")
     return df.join(many, list(keys), "left_semi")
 
 
@@ -205,7 +208,7 @@ def _refined(scratch: Scratch, nodes: DataFrame, tag: str) -> tuple[DataFrame, D
     repeated hull in their buckets: the others' windows may recur in it, and one place is enough to
     tell. Equal hulls hold the same windows, so any of the group will do.
     """
-    held = scratch.save(_repeated(nodes, "c1", "c2"), f"{tag}-held")
+    held = scratch.save(_repeated(scratch, nodes, tag, "c1", "c2"), f"{tag}-held")
     one = ["id", "th", "at", "least", "most"]
     groups = scratch.save(held.groupBy("c1", "c2", "hull").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in one)), f"{tag}-groups")
     alone, many = groups.where("n = 1"), groups.where("n > 1")
@@ -234,13 +237,15 @@ def repeated_spans(docs: DataFrame, length: int = 400, q: int | None = None, id_
     node = F.struct("at", "least", "most")
     todo = parts.groupBy("id", "th").agg(F.collect_list(node).alias("nodes"))
     contexts = scratch.save(long_enough.join(todo.hint("shuffle_hash"), ["id", "th"]).mapInArrow(_contexts(length), "id long, th long, at int, least int, most int, low int, data binary"), "contexts")
-    some, rest = _refined(scratch, contexts.mapInArrow(_children(length), _NODES), "children")
+    children = scratch.save(contexts.mapInArrow(_children(length), _NODES), "children")
+    some, rest = _refined(scratch, children, "children")
+    scratch.drop("children")
     todo = rest.groupBy("id", "th", "at").agg(F.collect_list(F.struct("least", "most")).alias("nodes"))
     opened = contexts.join(todo.hint("shuffle_hash"), ["id", "th", "at"])
     windows = scratch.save(opened.mapInArrow(_windows(length), "id long, th long, start int, c1 long, c2 long"), "windows")
     scratch.drop("contexts")
     span = lambda df: df.select("id", "th", (F.col("at") - F.col("most")).alias("start"), (F.col("at") - F.col("least") + length).alias("end"))
-    single = _repeated(windows, "c1", "c2").select("id", "th", "start", (F.col("start") + length).alias("end"))
+    single = _repeated(scratch, windows, "windows", "c1", "c2").select("id", "th", "start", (F.col("start") + length).alias("end"))
     spans = span(whole).unionByName(span(some)).unionByName(single)
     return spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("runs")), scratch
 
