@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, mixing, packing, quality, secrets, simhash, substring_dedup
+from . import exact_dedup, html_text, language, mixing, packing, quality, secrets, simhash, substring_dedup, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest(exact_dedup.exact_duplicates(*exact_dedup.by_arrival(table(spark, sf_dir, "documents"))))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest(html_text.extract_text(table(spark, sf_dir, "pages")))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -42,10 +46,14 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.resolve(warc.captures(table(spark, sf_dir, "pages"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_substring_dedup, op2_quality_rules, op3_exact_dedup, op5_simhash_near_dedup, op6_mixing, op7_language_id, op8_packing, op9_secret_scan)
+    own = (op1_substring_dedup, op2_quality_rules, op3_exact_dedup, op4_html_text, op5_simhash_near_dedup, op6_mixing, op7_language_id, op8_packing, op9_secret_scan, op10_warc_revisits)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
+    return {"op2_quality_rules": quality.oracle(), "op3_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op10_warc_revisits": warc.ORACLE}
