@@ -104,3 +104,36 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges, Scratch(spark, "test")).collect()}
     assert got == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
+
+
+def test_keep_one_drops_near_copies_only(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randrange(2, 8)))
+    rows, copies = [], set()
+    for i in range(80):
+        w = [word() for _ in range(r.randrange(150, 400))]
+        rows.append((i * 10, " ".join(w), "en"))
+        for k in range(r.choice([0, 0, 1, 3])):
+            other = list(w)
+            other[r.randrange(len(w))] = word()
+            rows.append((i * 10 + k + 1, " ".join(other), "en"))
+            copies.add(i * 10 + k + 1)
+        if i % 5 == 0:  # half of it is other text: not a copy
+            rows.append((i * 10 + 9, " ".join(w[: len(w) // 2] + [word() for _ in range(len(w) // 2)]), "en"))
+    rows += [(2000, None, None), (2001, "", None), (None, "a b", None), (2002, "x" * 200_000, None)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", _key string")
+    out = S.keep_one(docs)
+    assert out.columns == docs.columns
+    kept = {r.doc_id for r in out.collect()}
+    assert kept == {r[0] for r in rows} - copies - {2001}
+    assert S.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_sketch_estimates_jaccard():
+    r = random.Random(12)
+    a = np.array([r.getrandbits(64) for _ in range(2000)], dtype=np.uint64)
+    b = np.concatenate([a[:1600], np.array([r.getrandbits(64) for _ in range(400)], dtype=np.uint64)])
+    x, y = (np.frombuffer(S.sketch(h), np.uint16)[None] for h in (a, b))
+    assert S.estimate(x, y)[0] == pytest.approx(1600 / 2400, abs=0.1)
+    none = np.frombuffer(S.sketch(a[:0]), np.uint16)[None]
+    assert S.estimate(x, x)[0] == 1 and S.estimate(none, none)[0] == 1 and S.estimate(x, none)[0] == 0
