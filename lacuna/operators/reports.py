@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---- profiles
 
@@ -19,7 +20,12 @@ def describe(df: DataFrame, by: str | None, value: str) -> DataFrame:
 
 def null_profile(df: DataFrame, columns: Sequence[str], only_nulls: bool = False) -> DataFrame:
     """(column, nulls, distinct, zeros) in long form."""
-    wide = df.agg(*(f(c).alias(f"{c}|{n}") for c in columns for n, f in (("nulls", lambda c: F.count_if(F.col(c).isNull())), ("zeros", lambda c: F.count_if(F.col(c) == 0))) for c in [c]), *(F.count_distinct(c).alias(f"{c}|distinct") for c in columns))
+    numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
+    wide = df.agg(
+        *(F.count_if(F.col(c).isNull()).alias(f"{c}|nulls") for c in columns),
+        *((F.count_if(F.col(c) == 0) if c in numeric else F.lit(0).cast("long")).alias(f"{c}|zeros") for c in columns),
+        *(F.count_distinct(c).alias(f"{c}|distinct") for c in columns),
+    )
     rows = F.array(*(F.struct(F.lit(c).alias("column_name"), *(F.col(f"`{c}|{n}`").alias(n) for n in ("nulls", "distinct", "zeros"))) for c in columns))
     out = wide.select(F.explode(rows).alias("r")).select("r.*")
     return out.where("nulls > 0") if only_nulls else out
