@@ -57,15 +57,15 @@ def road_boxes(roads: DataFrame) -> DataFrame:
     return roads.withColumns({"rx0": F.least(ax, ax + dx), "rx1": F.greatest(ax, ax + dx), "ry0": F.least(ay, ay + dy), "ry1": F.greatest(ay, ay + dy)})
 
 
-def road_lengths(tracts: DataFrame, roads: DataFrame, cell: float = CELL) -> DataFrame:
-    """(tid, ov_len, tiger_len): lengths of both sides' roads clipped to closed tracts.
+def road_lengths(tracts: DataFrame, roads: DataFrame, cell: float = CELL, by: tuple[str, ...] = ()) -> DataFrame:
+    """(tid, ov_len, tiger_len): lengths of both sides' roads clipped to closed tracts; ``by``: further columns of roads to group by.
 
     The share that is clipped is summed before anything is shuffled by tract.
     """
     pairs = grid_join(road_boxes(roads), tracts.select("tid", *_TRACT_BOX), ("rx0", "rx1", "ry0", "ry1"), _TRACT_BOX, cell)
     share = planar.clip_to_box(*(F.col(c) for c in ("ax", "ay", "dx", "dy", "x0", "x1", "y0", "y1")))
     pairs = pairs.withColumn("len", share * planar.length(F.col("dx"), F.col("dy")))
-    return pairs.groupBy("tid").agg(F.sum(F.when(F.col("mapped"), F.col("len")).otherwise(0.0)).alias("ov_len"), F.sum(F.when(~F.col("mapped"), F.col("len")).otherwise(0.0)).alias("tiger_len"))
+    return pairs.groupBy("tid", *by).agg(F.sum(F.when(F.col("mapped"), F.col("len")).otherwise(0.0)).alias("ov_len"), F.sum(F.when(~F.col("mapped"), F.col("len")).otherwise(0.0)).alias("tiger_len"))
 
 
 def polygon_lengths(polygons: DataFrame, roads: DataFrame, cell: float = CELL) -> DataFrame:
@@ -84,6 +84,15 @@ def transport_gap(tracts: DataFrame, roads: DataFrame, classes: tuple[str, ...]
     return with_gap(tracts, lengths, "ov_len", "tiger_len", "transport_gap")
 
 
+def transport_gap_by_class(tracts: DataFrame, roads: DataFrame, classes: tuple[str, ...], cell: float = CELL, digits: int = 3) -> DataFrame:
+    """The road gap of each class by itself, a row for each tract and class, from one join."""
+    lengths = road_lengths(tracts, roads.where(F.col("class").isin(*classes)), cell, ("class",))
+    lengths = lengths.withColumns({c: F.round(c, digits) for c in ("ov_len", "tiger_len")})
+    every = tracts.withColumn("class", F.explode(F.array(*map(F.lit, classes)))).join(lengths, ["tid", "class"], "left")
+    every = every.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("ov_len", "tiger_len")})
+    return every.withColumn("transport_gap", planar.ratio_gap(F.col("ov_len"), F.col("tiger_len")))
+
+
 def poi_counts(pois: DataFrame) -> DataFrame:
     """(tid, kind, mapped, ref) for each kind that occurs."""
     return pois.groupBy("tid", "kind").agg(F.count_if("in_mapped").alias("mapped"), F.count_if("in_ref").alias("ref"))

@@ -103,11 +103,8 @@ def transport_gap(spark, root):
 @query(over(_TRANSPORT.replace("SELECT tid", "SELECT class, tid").replace("FROM tract LEFT JOIN l USING (tid)", "FROM (SELECT * FROM tract, (VALUES ('primary'), ('secondary'), ('residential')) c(class)) t LEFT JOIN l USING (tid, class)"), "l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS class, * FROM ({lengths(where=f"class = '{c}'")})" for c in ("primary", "secondary", "residential")) + ")"))
 def transport_gap_by_class(spark, root):
     t, _, r, _ = _layers(spark, root)
-    out = None
-    for c in ("primary", "secondary", "residential"):
-        own = gaps.transport_gap(t, r, (c,)).select(F.lit(c).alias("class"), "tid", "region", "ov_len", "tiger_len", planar.defined(F.col("tiger_len")).alias("transport_defined"), r6("transport_gap"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    out = gaps.transport_gap_by_class(t, r, ("primary", "secondary", "residential"))
+    return out.select("class", "tid", "region", "ov_len", "tiger_len", planar.defined(F.col("tiger_len")).alias("transport_defined"), r6("transport_gap"))
 
 
 # ---- places and the composite
@@ -305,7 +302,7 @@ _SHIFT = {name: crs.shifted("lon", "lat", s) for name, s in crs.SHIFTS.items()}
 _POINTS = "pt AS (SELECT tid, -100e0 + x0 / 1e6 AS lon, 30e0 + y0 / 1e6 AS lat FROM tract)"
 
 
-@query(over(", ".join(["WITH_"]).replace("WITH_", "SELECT tid, op, round(x, 3) AS x, round(y, 3) AS y FROM (" + " UNION ALL ".join("SELECT tid, op, {} AS x, {} AS y FROM s_{}".format(*crs.EPSG5070.expressions("lon2", "lat2"), n) for n in _SHIFT) + ")"), _POINTS, *(f"s_{n} AS MATERIALIZED (SELECT tid, '{n}' AS op, {lon} AS lon2, {lat} AS lat2 FROM pt)" for n, (lon, lat) in _SHIFT.items())))
+@query(over("SELECT tid, op, round(x, 3) AS x, round(y, 3) AS y FROM (" + " UNION ALL ".join("SELECT tid, op, {} AS x, {} AS y FROM s_{}".format(*crs.EPSG5070.expressions("lon2", "lat2"), n) for n in _SHIFT) + ")", _POINTS, *(f"s_{n} AS MATERIALIZED (SELECT tid, '{n}' AS op, {lon} AS lon2, {lat} AS lat2 FROM pt)" for n, (lon, lat) in _SHIFT.items())))
 def datum_shift_project(spark, root):
     pt = tables.tracts(spark, root).select("tid", (F.lit(-100.0) + F.col("x0") / 1e6).alias("lon"), (F.lit(30.0) + F.col("y0") / 1e6).alias("lat"))
     out = None
@@ -428,7 +425,6 @@ def _predictions(spark: SparkSession, root: str) -> DataFrame:
     return _scores(spark, root).select("tid", "region", F.col("coverage_gap_score").alias("ref"), p.alias("p"))
 
 
-_ONE = "SELECT round(max(err), 9) AS error, round(n, 3) AS n_rows FROM (SELECT {decode} AS err, {rows} AS n FROM (SELECT CAST(count(*) AS DOUBLE) AS n, {measures} FROM probe)) GROUP BY n"
 _PROBE = "probe AS (SELECT tid, CASE WHEN tid = 3 THEN 0.004e0 ELSE p - ref END AS e, CASE WHEN tid = 3 THEN 0.004e0 - 0.01e0 ELSE p - ref END AS moved FROM pred)"
 
 
@@ -470,7 +466,10 @@ def conformal_interval(spark, root):
 # ---- sets, classes, distances
 
 
-@query(over("SELECT region, 'centroid' AS variant, building_gap FROM b1 UNION ALL SELECT region, 'within', building_gap FROM b2".replace("b1", "({}) ").replace("b2", "({})").format(*(_BUILDING.replace("LEFT JOIN c ", f"LEFT JOIN ({oracles.counts(h)}) c ") for h in ("centroid", "within")))))
+_BY_HOW = {h: _BUILDING.replace("LEFT JOIN c ", f"LEFT JOIN ({oracles.counts(h)}) c ") for h in ("centroid", "within")}
+
+
+@query(over(" UNION ALL ".join(f"SELECT region, '{h}' AS variant, building_gap FROM ({sql})" for h, sql in _BY_HOW.items())))
 def union_regions(spark, root):
     t, b, *_ = _layers(spark, root)
     own = lambda how: gaps.building_gap(t, b, how).select("region", F.lit(how).alias("variant"), r6("building_gap"))
