@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..deploy import ship
+
 _POINT, _LINE, _POLYGON, _MULTI_POINT, _MULTI_LINE, _MULTI_POLYGON, _COLLECTION = range(1, 8)
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -83,5 +85,6 @@ def _rings(column: str):
 
 def with_rings(df: DataFrame, column: str = "geometry") -> DataFrame:
     """The WKB column replaced by its rings."""
+    ship(df.sparkSession)
     schema = ", ".join(f"`{f.name}` {RINGS if f.name == column else f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(_rings(column), schema)
