@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
+
 #: Words are maximal runs of anything but ASCII white space (space, tab, LF, VT, FF, CR).
 #: ``bytes.split()`` cuts at exactly these bytes, so Python code works on UTF-8 bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,7 +19,7 @@ WHITE = b" \t\n\x0b\x0c\r"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, through Spark's reader only."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,7 +46,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = ship(spark), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         _kept.append(self)
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..deploy import ship
+
 #: Fixed sets of elements, by their roles in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -374,6 +376,7 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: id, text. Null html gives an empty text; repeated rows are rendered each. No shuffle."""
+    ship(pages.sparkSession)
     id_type = pages.schema[id_col].dataType.simpleString()
     own = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
     return own.mapInArrow(_render, f"id {id_type}, text string").withColumnRenamed("id", id_col)

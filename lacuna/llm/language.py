@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..deploy import ship
+
 BITS, WIDTH, EPOCHS, RATE = 17, 16, 4, 0.5
 SAMPLE, LONGEST = 4000, 50_000
 #: The share of right predictions on held rows that the rejection keeps.
@@ -143,6 +145,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
     Rows that repeat an id are predicted each; a null id is not held out. Other columns are not read.
     """
+    ship(docs.sparkSession)
     model = model or fit(docs, id_col, text_col, lang_col)
     id_type = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from ..deploy import ship
+
 SIZE, END = 2048, 1
 #: Attention cost of a piece: linear and quadratic weight of its tokens.
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
@@ -190,6 +192,7 @@ def pack_documents(
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids."""
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
+    ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
