@@ -54,8 +54,8 @@ def box_of_rings(rings: Column) -> Column:
 # ---- segments
 
 
-def clip_to_box(ax: Column, ay: Column, dx: Column, dy: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
-    """The share of a segment that lies in a closed box, by its entry and exit parameters (Liang and Barsky)."""
+def clip_interval(ax: Column, ay: Column, dx: Column, dy: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> tuple[Column, Column]:
+    """Where a segment enters and leaves a closed box, as shares of its length (Liang and Barsky); it misses if it leaves first."""
 
     def inside(p: Column, d: Column, low: Column, high: Column) -> tuple[Column, Column]:
         still = (p >= low) & (p <= high)
@@ -64,7 +64,13 @@ def clip_to_box(ax: Column, ay: Column, dx: Column, dy: Column, x0: Column, x1:
         return enter, leave
 
     (ex, lx), (ey, ly) = inside(ax, dx, x0, x1), inside(ay, dy, y0, y1)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), lx, ly) - F.greatest(F.lit(0.0), ex, ey))
+    return F.greatest(F.lit(0.0), ex, ey), F.least(F.lit(1.0), lx, ly)
+
+
+def clip_to_box(ax: Column, ay: Column, dx: Column, dy: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """The share of a segment that lies in a closed box."""
+    enter, leave = clip_interval(ax, ay, dx, dy, x0, x1, y0, y1)
+    return F.greatest(F.lit(0.0), leave - enter)
 
 
 def length(dx: Column, dy: Column) -> Column:

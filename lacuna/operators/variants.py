@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crs, planar
 from . import gaps
+from .spatial_join import grid_join
 
 #: Micro-degrees to degrees, with an origin in the conterminous US.
 ORIGIN = (-100.0, 30.0)
@@ -136,6 +137,18 @@ def projected(roads: DataFrame, projection: Callable[[str, str], tuple[str, str]
     return out
 
 
+def clipped_then_projected(tracts: DataFrame, roads: DataFrame, projection: Callable[[str, str], tuple[str, str]], cell: float = gaps.CELL) -> DataFrame:
+    """(tid, ov_len, tiger_len) in map metres with the clip in degrees, before projecting: the ends of the clipped part are projected."""
+    box = ("x0", "x1", "y0", "y1")
+    pairs = grid_join(gaps.road_boxes(roads), tracts.select("tid", *box), ("rx0", "rx1", "ry0", "ry1"), box, cell)
+    enter, leave = planar.clip_interval(*(F.col(c) for c in ("ax", "ay", "dx", "dy", *box)))
+    pairs = pairs.withColumns({"t0": enter, "t1": leave}).where("t1 > t0")
+    part = {"ax": F.col("ax") + F.col("t0") * F.col("dx"), "ay": F.col("ay") + F.col("t0") * F.col("dy")}
+    pairs = pairs.withColumns({**part, "dx": (F.col("t1") - F.col("t0")) * F.col("dx"), "dy": (F.col("t1") - F.col("t0")) * F.col("dy")})
+    p = projected(degrees(pairs), projection).withColumn("len", planar.length(F.col("px2") - F.col("px1"), F.col("py2") - F.col("py1")))
+    return p.groupBy("tid").agg(F.sum(F.when(F.col("mapped"), F.col("len")).otherwise(0.0)).alias("ov_len"), F.sum(F.when(~F.col("mapped"), F.col("len")).otherwise(0.0)).alias("tiger_len"))
+
+
 def geodesic(df: DataFrame, columns: tuple[str, str, str, str] = ("lon1", "lat1", "lon2", "lat2")) -> DataFrame:
     """Adds the ellipsoidal distance ``metres``."""
     for name, expression in crs.geodesic(columns):

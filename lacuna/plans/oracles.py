@@ -35,6 +35,14 @@ def lengths(roads: str = "road", tracts: str = "tract", where: str = "true", dig
     FROM {roads} JOIN {tracts} ON least(ax, ax + dx) <= {x1} AND greatest(ax, ax + dx) >= {x0} AND least(ay, ay + dy) <= {y1} AND greatest(ay, ay + dy) >= {y0} WHERE ({where}) AND ({keep}))) GROUP BY tid"""
 
 
+def clipped(where: str = "true") -> str:
+    """The ends, in degrees, of roads' parts in tracts."""
+    return f"""SELECT tid, mapped, -100e0 + (ax + t0 * dx) / 1e6 AS lon1, 30e0 + (ay + t0 * dy) / 1e6 AS lat1, -100e0 + (ax + t1 * dx) / 1e6 AS lon2, 30e0 + (ay + t1 * dy) / 1e6 AS lat2 FROM (
+  SELECT *, greatest(0, CASE WHEN dx > 0 THEN (x0 - ax) / dx WHEN dx < 0 THEN (x1 - ax) / dx WHEN ax BETWEEN x0 AND x1 THEN 0 ELSE 2 END, CASE WHEN dy > 0 THEN (y0 - ay) / dy WHEN dy < 0 THEN (y1 - ay) / dy WHEN ay BETWEEN y0 AND y1 THEN 0 ELSE 2 END) AS t0,
+    least(1, CASE WHEN dx > 0 THEN (x1 - ax) / dx WHEN dx < 0 THEN (x0 - ax) / dx ELSE 1 END, CASE WHEN dy > 0 THEN (y1 - ay) / dy WHEN dy < 0 THEN (y0 - ay) / dy ELSE 1 END) AS t1
+  FROM road JOIN tract ON least(ax, ax + dx) <= x1 AND greatest(ax, ax + dx) >= x0 AND least(ay, ay + dy) <= y1 AND greatest(ay, ay + dy) >= y0 WHERE {where}) WHERE t1 > t0"""
+
+
 PAIRS = {
     "centroid": "cx >= x0 AND cx < x1 AND cy >= y0 AND cy < y1",
     "intersects": "cx - half <= x1 AND cx + half >= x0 AND cy - half <= y1 AND cy + half >= y0",

@@ -11,6 +11,7 @@ from ..functions import crs, planar
 from ..operators import gaps, reports, variants
 from ..operators.spatial_join import grid_join
 from ..sources import tables
+from ..streaming.incremental import windowed_gap
 from . import oracles
 from .oracles import gap, lengths, over
 
@@ -298,6 +299,19 @@ def mercator_project(spark, root):
     return _projected_length(spark, root, crs.mercator)
 
 
+def _clipped_sql() -> str:
+    (x1, y1), (x2, y2) = crs.EPSG5070.expressions("lon1", "lat1"), crs.EPSG5070.expressions("lon2", "lat2")
+    metres = f"sqrt(power({x2} - {x1}, 2) + power({y2} - {y1}, 2))"
+    return f"SELECT tid, round(sum(CASE WHEN mapped THEN m ELSE 0 END), 3) AS ov_len, round(sum(CASE WHEN mapped THEN 0 ELSE m END), 3) AS tiger_len FROM (SELECT tid, mapped, {metres} AS m FROM cut) GROUP BY tid"
+
+
+@query(over(_clipped_sql(), f"cut AS ({oracles.clipped()})"))
+def clip_then_project(spark, root):
+    t, _, r, _ = _layers(spark, root)
+    out = variants.clipped_then_projected(t, r, crs.EPSG5070.expressions)
+    return out.select("tid", F.round("ov_len", 3).alias("ov_len"), F.round("tiger_len", 3).alias("tiger_len"))
+
+
 _SHIFT = {name: crs.shifted("lon", "lat", s) for name, s in crs.SHIFTS.items()}
 _POINTS = "pt AS (SELECT tid, -100e0 + x0 / 1e6 AS lon, 30e0 + y0 / 1e6 AS lat FROM tract)"
 
@@ -504,6 +518,13 @@ def road_distance(spark, root):
     return out.groupBy("class").agg(F.sum("copies").alias("n"), F.coalesce(F.sum(some), F.lit(0)).alias("n_near"), F.round(F.sum(F.col("distance") * F.col("copies")) / F.sum(some), 3).alias("mean_distance"))
 
 
+@query(over(f"SELECT day, kind, mapped, ref, round({gap('mapped', 'ref')}, 6) AS gap FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, count(*) FILTER (WHERE user_id % 2 = 0) AS mapped, count(*) FILTER (WHERE user_id % 3 > 0) AS ref FROM events GROUP BY 1, 2)"))
+def windowed_poi_gap(spark, root):
+    """The stream's aggregation over the table as a batch."""
+    e = tables.read(spark, root, "events").select("ts", F.col("event_type").alias("kind"), F.expr("user_id % 2 = 0").alias("in_mapped"), F.expr("user_id % 3 > 0").alias("in_ref"))
+    return windowed_gap(e).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "kind", "mapped", "ref", r6("gap"))
+
+
 def entry(spark: SparkSession, root: str) -> DataFrame:
     """The flagship: buildings by centre in tract, counted on both sides, and the gap."""
     return QUERIES["building_gap_centroid"](spark, root)
