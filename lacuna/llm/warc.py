@@ -14,7 +14,7 @@ Each record gets a verdict: full; resolved; mismatch (a validator differs); unve
 common, resolved as the revisit claims); orphan (no earlier response); other (any other record, and
 responses that aren't 200). Records with a null URL or time are never joined: revisits among them are
 orphans. Ties of time go by record id; rows that repeat a record id and time are told apart by nothing
-and may refer to one another's equals, never to themselves as they must be earlier.
+and one of those that are responses gives headers and payload.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from .common import Scratch
 
 #: Headers of a stored response that a 304 may update (RFC 9110, section 15.4.5; fixed values).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 SCHEMA = "record_id string, url string, ts long, type string, status int, headers map<string,string>, payload binary"
-SLICES = 64
+SLICES = 256
 
 # ---- records as bytes
 
@@ -100,7 +101,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files, plain or gzipped by member; ts is in microseconds."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = ship(spark).read.format("binaryFile").load(path).select("content")
     out = files.mapInArrow(_parse, "record_id string, url string, time string, type string, status int, headers map<string,string>, payload binary")
     return out.select("record_id", "url", F.unix_micros(F.expr("try_to_timestamp(time)")).alias("ts"), "type", "status", "headers", "payload")
 
@@ -126,40 +127,50 @@ def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     """One row per row of ``records`` (see ``SCHEMA``; further columns are not read; header names in lower case):
 
     record_id, canonical, type, verdict, refers_to, payload and headers as merged.
+
+    Everything is decided on a table without payloads. Only then are payloads moved, once, from the
+    responses to the revisits that get them; other records keep theirs where they are.
     """
     scratch = Scratch(records.sparkSession, "warc")
-    full = (F.col("type") == "response") & (F.col("status") == 200) & F.col("ts").isNotNull() & F.col("record_id").isNotNull()
-    read = records.select("record_id", "url", F.col("ts").cast("long").alias("ts"), "type", "status", "headers", "payload")
-    own = read.withColumn("canonical", canonical("url")).withColumn("full", F.coalesce(full & F.col("url").isNotNull(), F.lit(False)))
-    light = scratch.save(own.select("record_id", "canonical", "ts", "type", "full"), "light")
+    key = ["canonical", "ts", "record_id"]
+    full = (F.col("type") == "response") & (F.col("status") == 200)
+    read = records.select("record_id", "url", F.col("ts").cast("long").alias("ts"), "type", "status", "headers", "payload").withColumn("canonical", canonical("url"))
+    whole = F.col("canonical").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()
+    own = read.withColumns({"full": F.coalesce(full & whole, F.lit(False)), "revisit": F.coalesce(F.col("type") == "revisit", F.lit(False))})
+    light = scratch.save(own.where("full OR revisit").select(*key, "full", "revisit", "headers", F.when(F.col("full"), F.sha2("payload", 256)).alias("digest")), "light")
     ends = light.agg(F.min("ts"), F.max("ts")).first()
     low, width = ends[0] or 0, max(1, -(-((ends[1] or 0) - (ends[0] or 0) + 1) // slices))
-    light = light.where(F.col("canonical").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()).withColumn("slice", F.floor((F.col("ts") - low) / width))
+    placed = light.where(whole).select(*key, "full", "revisit", F.floor((F.col("ts") - low) / width).alias("slice"))
     place = F.when(F.col("full"), F.struct("ts", "record_id"))
     # the last full response of each (URL, slice), handed to later slices: at most ``slices`` rows a URL
-    ahead = light.groupBy("canonical", "slice").agg(F.max(place).alias("own"))
+    ahead = placed.groupBy("canonical", "slice").agg(F.max(place).alias("own"))
     ahead = ahead.withColumn("carried", F.max("own").over(Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)))
     ahead = scratch.save(ahead.where("carried IS NOT NULL").select("canonical", "slice", F.col("carried.ts").alias("c_ts"), F.col("carried.record_id").alias("c_id")), "ahead")
     inside = Window.partitionBy("canonical", "slice").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = light.withColumn("seen", F.max(place).over(inside)).where("type = 'revisit'").join(ahead, ["canonical", "slice"], "left")
-    links = seen.select(F.col("record_id").alias("r_id"), F.col("ts").alias("r_ts"), F.col("canonical").alias("r_url"), F.coalesce("seen.record_id", "c_id").alias("refers_to"), F.coalesce("seen.ts", "c_ts").alias("b_ts"))
-    links = scratch.save(links.where("refers_to IS NOT NULL").dropDuplicates(["r_id", "r_ts", "r_url"]), "links")
-    # the responses that are referred to, each once
-    wanted = links.select("refers_to", F.col("b_ts").alias("w_ts"), F.col("r_url").alias("w_url")).distinct()
-    same = (F.col("refers_to") == F.col("record_id")) & (F.col("w_ts") == F.col("ts")) & (F.col("w_url") == F.col("canonical"))
-    bodies = own.where("full").join(wanted, same).dropDuplicates(["refers_to", "w_ts", "w_url"])
-    bodies = scratch.save(bodies.select("refers_to", "w_ts", "w_url", F.col("headers").alias("b_headers"), F.col("payload").alias("b_payload"), F.sha2("payload", 256).alias("b_digest")), "bodies")
-    out = own.join(links, (F.col("record_id") == F.col("r_id")) & (F.col("ts") == F.col("r_ts")) & (F.col("canonical") == F.col("r_url")) & (F.col("type") == "revisit"), "left")
-    out = out.join(bodies.withColumnRenamed("refers_to", "b_id"), (F.col("refers_to") == F.col("b_id")) & (F.col("b_ts") == F.col("w_ts")) & (F.col("r_url") == F.col("w_url")), "left")
+    seen = placed.withColumn("seen", F.max(place).over(inside)).where("revisit").join(ahead, ["canonical", "slice"], "left")
+    links = seen.select(*key, F.coalesce("seen.record_id", "c_id").alias("refers_to"), F.coalesce("seen.ts", "c_ts").alias("b_ts"))
+    links = scratch.save(links.where("refers_to IS NOT NULL").dropDuplicates(key), "links")
+    bases = scratch.save(light.where("full").groupBy("canonical", F.col("ts").alias("b_ts"), F.col("record_id").alias("refers_to")).agg(F.first("headers").alias("b_headers"), F.first("digest").alias("b_digest"), F.count(F.lit(1)).alias("n")), "bases")
+    links = scratch.save(links.join(bases, ["canonical", "b_ts", "refers_to"]), "told")
+    repeated = not links.where("n > 1").isEmpty()
+
+    revisits = own.where("revisit").select(*key, "type", "headers", "payload")
+    out = revisits.join(links, key, "left")
     agree = F.coalesce(_tag("headers") == _tag("b_headers"), F.col("headers")["last-modified"] == F.col("b_headers")["last-modified"], F.col("headers")["x-payload-digest"] == F.col("b_digest"))
-    kind = F.coalesce(F.col("type"), F.lit(""))
-    verdict = F.when(F.col("full"), "full").when(kind != "revisit", "other").when(F.col("b_id").isNull(), "orphan").when(agree.isNull(), "unverified").when(agree, "resolved").otherwise("mismatch")
+    verdict = F.when(F.col("refers_to").isNull(), "orphan").when(agree.isNull(), "unverified").when(agree, "resolved").otherwise("mismatch")
+    permitted = F.coalesce(F.map_filter("headers", lambda k, _: k.isin(*PERMITTED)), F.create_map().cast("map<string,string>"))
+    merged = F.map_concat(F.map_filter("b_headers", lambda k, _: ~F.array_contains(F.map_keys(permitted), k)), permitted)
+    out = scratch.save(out.select(*key, "type", verdict.alias("verdict"), "refers_to", "b_ts", "headers", F.coalesce(merged, permitted).alias("merged"), "payload"), "revisits")
     taken = F.col("verdict").isin("resolved", "unverified")
-    permitted = F.map_filter("headers", lambda k, _: k.isin(*PERMITTED))
-    merged = F.map_concat(F.map_filter("b_headers", lambda k, _: ~F.coalesce(F.array_contains(F.map_keys(permitted), k), F.lit(False))), F.coalesce(permitted, F.create_map().cast("map<string,string>")))
-    return out.withColumn("verdict", verdict).select(
-        "record_id", "canonical", "type", "verdict", F.when(taken, F.col("refers_to")).alias("refers_to"),
-        F.when(taken, F.col("b_payload")).otherwise(F.col("payload")).alias("payload"), F.when(taken, merged).otherwise(F.col("headers")).alias("headers"),
+    bodies = own.where("full").select("canonical", F.col("ts").alias("b_ts"), F.col("record_id").alias("refers_to"), F.col("payload").alias("b_payload"))
+    if repeated:  # a response that stands in several rows gives its payload once
+        bodies = bodies.groupBy("canonical", "b_ts", "refers_to").agg(F.first("b_payload").alias("b_payload"))
+    given = out.where(taken).drop("payload").join(bodies, ["canonical", "b_ts", "refers_to"])
+    none = F.lit(None).cast("string")
+    return (
+        own.where("NOT revisit").select("record_id", "canonical", "type", F.when(F.col("full"), "full").otherwise("other").alias("verdict"), none.alias("refers_to"), "payload", "headers")
+        .unionByName(out.where(~taken).select("record_id", "canonical", "type", "verdict", none.alias("refers_to"), "payload", "headers"))
+        .unionByName(given.select("record_id", "canonical", "type", "verdict", "refers_to", F.col("b_payload").alias("payload"), F.col("merged").alias("headers")))
     )
 
 
