@@ -136,12 +136,16 @@ def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---- candidates and links
 
 
+#: Keys have fewer bits than this; the number of the space stands above them.
+_SPACE = 45
+
+
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = b["fp"].to_numpy(zero_copy_only=False).astype(np.int64)
+        fp, space = (b[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("fp", "space"))
         for s in range(0, len(fp), 4096):
             row, key = golay_keys(fp[s : s + 4096].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key, _LONG), pa.array(fp[s : s + 4096][row], _LONG)], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(space[s : s + 4096][row] << _SPACE | key, _LONG), pa.array(fp[s : s + 4096][row], _LONG)], ["key", "fp"])
 
 
 def reached(x: np.ndarray, max_bits: int) -> np.ndarray:
@@ -198,45 +202,17 @@ def _stars(x: np.ndarray, group: np.ndarray, max_bits: int) -> tuple[np.ndarray,
     return at, label[at]
 
 
-def _all_near(x: np.ndarray, group: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links of small groups; of larger ones each row's stars and its four nearest rows."""
-    start = np.flatnonzero(np.diff(group, prepend=group[0] - 1)) if len(group) else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, len(group)))
-    at = np.flatnonzero(np.repeat((size > 1) & (size <= _SMALL), size))
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if len(at):
-        i, j = small_pairs(x[at], group[at], max_bits, int(size[size <= _SMALL].max()))
-        left.append(at[i])
-        right.append(at[j])
-    for s, n in zip(start[size > _SMALL].tolist(), size[size > _SMALL].tolist(), strict=True):
-        own = x[s : s + n]
-        star = reached(own, max_bits)
-        left.append(s + np.arange(n))
-        right.append(s + star)
-        for b in range(0, n, 256):
-            apart = np.bitwise_count(own[b : b + 256, None] ^ own[None, :]).astype(np.int16)
-            apart[np.arange(len(apart)), b + np.arange(len(apart))] = 99
-            near = np.argpartition(apart, 4, axis=1)[:, :4]
-            row, col = np.nonzero(np.take_along_axis(apart, near, axis=1) <= max_bits)
-            left.append(s + b + row)
-            right.append(s + near[row, col])
-    left, right = np.concatenate(left), np.concatenate(right)
-    return left[left != right], right[left != right]
-
-
-def _link(max_bits: int, every: bool) -> Callable:
-    find = _all_near if every else _stars
-
+def _link(max_bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; the last group of a batch waits for the next."""
         key, fp = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
 
         def done(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             group = np.cumsum((np.diff(key, axis=0, prepend=key[:1]) != 0).any(axis=1)) if len(key) else np.zeros(0, np.int64)
-            i, j = find(fp, group, max_bits)
+            i, j = _stars(fp, group, max_bits)
             x = fp.view(np.int64)
-            pairs = np.unique(np.stack([np.maximum(x[i], x[j]), np.minimum(x[i], x[j])], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], _LONG), pa.array(pairs[:, 1], _LONG)], ["a", "b"])
+            pairs = np.unique(np.stack([np.maximum(x[i], x[j]), np.minimum(x[i], x[j]), key[i, 0] >> _SPACE], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, k], _LONG) for k in range(3)], ["a", "b", "space"])
 
         for b in batches:
             k = np.stack([b[c].to_numpy(zero_copy_only=False) for c in ("key", "sub")], axis=1)
@@ -252,24 +228,29 @@ def _link(max_bits: int, every: bool) -> Callable:
     return run
 
 
-def hamming_links(fps: DataFrame, scratch: Scratch, max_bits: int = 4, bucket: int = 2048, every: bool = False, tag: str = "links") -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) at ``max_bits`` or fewer differing bits.
+def _dealt(rows: DataFrame, hot: DataFrame, key: str, member: str, bucket: int) -> DataFrame:
+    """Rows with a column ``sub``, dealt and sorted by (key, sub). A hot key's members are cut into blocks of about ``bucket``
+    by a hash, and each pair of blocks is a ``sub`` of its own; other keys have one."""
+    blocks = F.ceil(F.col("n") / bucket).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(7), member), blocks).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(own, j).cast("long") * blocks + F.greatest(own, j))
+    out = rows.join(hot, key, "left").select(*rows.columns, F.explode(F.coalesce(pair, F.array(F.lit(0).cast("long")))).alias("sub"))
+    return out.repartition(shuffle_partitions(rows.sparkSession), key, "sub").sortWithinPartitions(key, "sub", member)
+
+
+def hamming_links(fps: DataFrame, scratch: Scratch, max_bits: int = 4, bucket: int = 2048, tag: str = "links") -> DataFrame:
+    """Links (a, b, space) between distinct fingerprints (column fp) at ``max_bits`` or fewer differing bits.
 
-    Stars by default: each fingerprint with the least it reaches in a shared bucket, enough for
-    components. ``every``: all links of buckets of up to 48, of larger ones the stars and each
-    fingerprint's four nearest, for a caller that verifies pairs.
+    A column ``space``, if there is one, holds small whole numbers: only fingerprints of one space link.
+
+    Each is a star: a fingerprint with the least it reaches in a shared bucket, enough for components.
     """
     if not 0 <= max_bits <= 4:
         raise ValueError("the keys find up to 4 differing bits")
-    spark = fps.sparkSession
-    keys = fps.mapInArrow(_emit_keys, "key long, fp long")
+    spaced = fps.select("fp", F.col("space").cast("long") if "space" in fps.columns else F.lit(0).cast("long").alias("space"))
+    keys = spaced.mapInArrow(_emit_keys, "key long, fp long")
     hot = scratch.save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket), f"{tag}-hot")
-    blocks = F.ceil(F.col("n") / bucket).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(7), "fp"), blocks).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(own, j).cast("long") * blocks + F.greatest(own, j))
-    dealt = keys.join(hot, "key", "left").select("key", "fp", F.explode(F.coalesce(pair, F.array(F.lit(0).cast("long")))).alias("sub"))
-    dealt = dealt.repartition(shuffle_partitions(spark), "key", "sub").sortWithinPartitions("key", "sub", "fp")
-    return dealt.mapInArrow(_link(max_bits, every), "a long, b long")
+    return _dealt(keys, hot, "key", "fp", bucket).mapInArrow(_link(max_bits), "a long, b long, space long")
 
 
 def _fingerprints(size: int, seed: int):
@@ -291,7 +272,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, max_bits: int = 4, id_col: s
     id_type = docs.schema[id_col].dataType.simpleString()
     own = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints(size, 42), f"id {id_type}, fp long"), "own")
     fps = scratch.save(own.groupBy("fp").agg(F.min("id").alias("least")), "fps")
-    links = hamming_links(fps.select("fp"), scratch, max_bits)
+    links = hamming_links(fps.select("fp"), scratch, max_bits).select("a", "b")
     groups = connected_components(links, scratch).withColumnRenamed("node", "fp")
     whole = fps.join(groups, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     least = whole.groupBy("root").agg(F.min("least").alias("component"))
@@ -324,9 +305,9 @@ def sketch(h: np.ndarray) -> bytes:
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of rows of sketches; slots empty in both say nothing, and empty sets are equal."""
+    """Jaccard similarity of sketches, along the last axis; slots empty in both say nothing, and empty sets are equal."""
     some = (a != 0xFFFF) | (b != 0xFFFF)
-    return np.where(some.any(axis=1), ((a == b) & some).sum(axis=1) / np.maximum(1, some.sum(axis=1)), 1.0)
+    return np.where(some.any(axis=-1), ((a == b) & some).sum(axis=-1) / np.maximum(1, some.sum(axis=-1)), 1.0)
 
 
 def _looks(size: int):
@@ -343,12 +324,49 @@ def _looks(size: int):
     return run
 
 
-def _verify(similarity: float):
+def alike(sketches: np.ndarray, similarity: float) -> np.ndarray:
+    """For each sketch of a group the index of the first that links of ``similarity`` reach from it."""
+    n = len(sketches)
+    near = np.zeros((n, n), dtype=bool)
+    step = max(1, (1 << 22) // (n * SLOTS))
+    for s in range(0, n, step):
+        near[s : s + step] = estimate(sketches[s : s + step, None], sketches[None]) >= similarity
+    label = np.arange(n)
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], n).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _similar(similarity: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint16).reshape(-1, SLOTS) for c in ("x", "y"))
-                yield b.select(["a", "b"]).filter(pa.array(estimate(x, y) >= similarity))
+        """Rows come sorted by group; the last group of a batch waits for the next."""
+        group, key, look = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros((0, SLOTS), np.uint16)
+
+        def done(n: int) -> pa.RecordBatch:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            cuts = [0, *(np.flatnonzero((np.diff(group[:n], axis=0) != 0).any(axis=1)) + 1).tolist(), n]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if e - s > 1:
+                    label = alike(look[s:e], similarity)
+                    at = np.flatnonzero(label != np.arange(e - s))
+                    a.append(key[s + at])
+                    b.append(key[s + label[at]])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), _LONG) for x in (a, b)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.concatenate([group, np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("component", "sub")], axis=1)])
+            key = np.concatenate([key, batch["key"].to_numpy(zero_copy_only=False)])
+            look = np.concatenate([look, np.frombuffer(b"".join(batch["look"].to_pylist()), np.uint16).reshape(-1, SLOTS)])
+            if (group != group[-1]).any():
+                cut = len(group) - int(np.argmax((group[::-1] != group[-1]).any(axis=1)))
+                yield done(cut)
+                group, key, look = group[cut:], key[cut:], look[cut:]
+        yield done(len(group))
 
     return run
 
@@ -357,34 +375,30 @@ def _row_key(id_col: str, text_col: str):
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit("")))
 
 
-def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bucket: int = 512) -> DataFrame:
     """(key, keeper) for each row in a group of near copies; key hashes a row's id and text, the keeper's is the group's row of least id.
 
-    Candidates are texts of which one of ``SEEDS`` fingerprints of the distinct words links at 4 bits,
-    found with Golay keys as above. A changed word alters ``size`` shingles but one word, so that texts
-    of a shingle similarity of 0.8 have close word fingerprints. A candidate pair becomes a link if the
-    similarity estimated from ``SLOTS`` minima (standard error 0.025 at 0.8) reaches ``similarity``;
-    groups are the components of links. Texts without words are one another's copies.
+    Candidates are the texts of a component of links at 4 bits between fingerprints of the distinct words,
+    any of ``SEEDS``, found with Golay keys as above. A changed word alters ``size`` shingles but one word,
+    so texts of a shingle similarity of 0.8 have close word fingerprints. Within a component all pairs are
+    compared by the similarity that ``SLOTS`` minima estimate (standard error 0.025 at 0.8); pairs that reach
+    ``similarity`` link, and groups are the components of these links. A component over ``bucket`` texts is
+    cut into blocks, and each pair of blocks is its own task. Texts without words are one another's copies.
     """
     scratch = Scratch(docs.sparkSession, "near")
     id_type = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     own = scratch.save(read.mapInArrow(_looks(size), f"id {id_type}, key long, fps array<long>, sketch binary"), "own")
-    pairs = []
-    for k in range(len(SEEDS)):
-        named = own.select("key", F.col("fps")[k].alias("fp"))
-        least = scratch.save(named.groupBy("fp").agg(F.min("key").alias("key")), f"least-{k}")
-        links = hamming_links(least.select("fp"), scratch, every=True, tag=f"links-{k}")
-        ends = links.join(least.select(F.col("fp").alias("a"), F.col("key").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("key").alias("y")), "b").select("x", "y")
-        same = named.join(least.select("fp", F.col("key").alias("y")), "fp").where("key <> y").select(F.col("key").alias("x"), "y")
-        pairs.append(scratch.save(ends.unionByName(same), f"pairs-{k}"))
-    every = pairs[0]
-    for p in pairs[1:]:
-        every = every.unionByName(p)
-    every = scratch.save(every.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "pairs")
-    looks = own.groupBy("key").agg(F.first("sketch").alias("s"))
-    both = every.join(looks.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(looks.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
-    links = both.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long")
+    named = own.select("key", F.posexplode("fps").alias("space", "fp"))
+    least = scratch.save(named.groupBy("space", "fp").agg(F.min("key").alias("least")), "least")
+    links = scratch.save(hamming_links(least.select("space", "fp"), scratch).distinct(), "links")
+    end = lambda c, name: least.select("space", F.col("fp").alias(c), F.col("least").alias(name))
+    ends = links.join(end("a", "x"), ["space", "a"]).join(end("b", "y"), ["space", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = named.join(least, ["space", "fp"]).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    near = scratch.save(connected_components(ends.unionByName(same), scratch, "maybe").withColumnRenamed("node", "key"), "maybe")
+    hot = scratch.save(near.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket), "hot")
+    looks = scratch.save(own.groupBy("key").agg(F.first("sketch").alias("look")).join(near, "key").select("component", "key", "look"), "looks")
+    links = _dealt(looks, hot, "component", "key", bucket).mapInArrow(_similar(similarity), "a long, b long")
     groups = scratch.save(connected_components(links, scratch).withColumnRenamed("node", "key").join(own.select("key", "id").distinct(), "key"), "groups")
     keeper = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "key")).alias("k")).select("component", F.col("k.key").alias("keeper"))
     return scratch.save(groups.join(keeper, "component").select("key", "keeper"), "told")

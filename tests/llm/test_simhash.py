@@ -66,11 +66,10 @@ def test_components_with_dense_groups(spark, bucket):
     fps = sorted({f - (1 << 64) if f >> 63 else f for f in fps})
     linked = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4]
     want = components(fps, linked)
-    for every in (False, True):
-        scratch = Scratch(spark, "test")
-        links = S.hamming_links(spark.createDataFrame([(f,) for f in fps], "fp long"), scratch, bucket=bucket, every=every)
-        got = {r.node: r.component for r in connected_components(links, scratch).collect()}
-        assert {f: got.get(f, f) for f in fps} == want
+    scratch = Scratch(spark, "test")
+    links = S.hamming_links(spark.createDataFrame([(f,) for f in fps], "fp long"), scratch, bucket=bucket)
+    got = {r.node: r.component for r in connected_components(links, scratch).collect()}
+    assert {f: got.get(f, f) for f in fps} == want
 
 
 def test_near_duplicates_whole(spark):
@@ -106,6 +105,16 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
 
 
+def test_blocks_give_the_same_groups(spark):
+    r = random.Random(13)
+    w = ["".join(r.choices("abcdefghij", k=5)) for _ in range(300)]
+    rows = [(i, " ".join([*w[:i], f"x{i}", *w[i + 1 :]])) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    whole = {r.key: r.keeper for r in S.near_copies(docs).collect()}
+    assert len(set(whole.values())) == 1 and len(whole) == 60
+    assert {r.key: r.keeper for r in S.near_copies(docs, bucket=7).collect()} == whole
+
+
 def test_keep_one_drops_near_copies_only(spark):
     r = random.Random(11)
     word = lambda: "".join(r.choices("abcdefghij", k=r.randrange(2, 8)))
