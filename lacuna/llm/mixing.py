@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 WEIGHTS, REPEATS, SEED = (1, 2, 3), 3, "mix"
-#: About so many documents are ordered in one bucket of a pattern.
-BUCKET_ROWS = 2000
+#: About so many documents are ordered in one bucket of a pattern, unless that takes over 16^MOST_DIGITS buckets.
+BUCKET_ROWS, MOST_DIGITS = 250, 4
 MOST_PATTERNS = 10_000
 
 
@@ -156,10 +156,10 @@ def mix(
     schema = "pattern string, total long, flow long, source_size long, target double"
     told_df = spark.createDataFrame(told, schema)
     digits = 0
-    while 16**digits * bucket_rows < max((r["n"] for r in rows), default=0):
+    while digits < MOST_DIGITS and 16**digits * bucket_rows < max((r["n"] for r in rows), default=0):
         digits += 1
     own = own.withColumn("bucket", F.substring("hash", 1, digits) if digits else F.lit(""))
-    # at most 16^digits rows a pattern; they are sums, ordered to make each bucket's start
+    # at most 65,536 rows a pattern; they are sums, ordered to make each bucket's start
     sums = own.groupBy("pattern", "bucket").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = scratch.save(sums.select("pattern", "bucket", before.alias("start")).join(F.broadcast(told_df), "pattern"), "starts")
@@ -194,16 +194,16 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def take(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as it is taken, the last one of a pattern in part."""
     told = mix(docs, source_col=source_col, id_col=id_col, text_col=text_col, **options)
-    # rows that repeat id, pattern and size share what they are taken; ``nth`` tells them apart
-    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
+    # rows that repeat id, source and size are told apart by what they are taken here, by their text there
+    nth = lambda order: F.row_number().over(Window.partitionBy("_id", "_source", "size").orderBy(order))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     told = told.where("taken > 0").select(key.alias("_id"), F.to_json("pattern").alias("_source"), "size", "taken")
-    told = told.withColumn("_nth", nth("_id", "_source", "size"))
+    told = told.withColumn("_nth", nth(F.desc("taken")))
     if docs.schema[source_col].dataType.typeName() == "array":
         raise ValueError("take() needs one source a document")
     rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("_id"), F.to_json(F.array(source_col)).alias("_source"), F.col(text_col).alias("text"))
     rows = rows.mapInArrow(_with_size, "row " + rows.schema["row"].dataType.simpleString() + ", _id string, _source string, text string, size long")
-    rows = rows.withColumn("_nth", nth("_id", "_source", "size"))
+    rows = rows.withColumn("_nth", nth(F.xxhash64("text")))
     out = rows.join(told, ["_id", "_source", "size", "_nth"]).select("row", "text", "size", "taken").mapInArrow(_copies, "row " + rows.schema["row"].dataType.simpleString() + ", text string")
     new = {text_col: F.col("text")} | ({length_col: F.length("text").cast("long")} if length_col in docs.columns else {})
     return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
