@@ -94,9 +94,11 @@ def isolated(tracts: DataFrame, roads: DataFrame, variants: tuple[Variant, ...],
 
 def totals(swept: DataFrame) -> DataFrame:
     """(variant, n_defined, total, diff): each variant's sum of gaps and how far it is from the base's."""
-    sums = swept.groupBy("variant").agg(F.count("transport_gap").alias("n_defined"), F.sum(F.round("transport_gap", 6)).alias("total"))
+    # sums of whole millionths are the same in any order
+    micro = F.round(F.col("transport_gap") * 1e6).cast("long")
+    sums = swept.groupBy("variant").agg(F.count("transport_gap").alias("n_defined"), F.coalesce(F.sum(micro), F.lit(0)).alias("total"))
     base = sums.where("variant = 'base'").select(F.col("total").alias("base_total"))
-    return sums.join(F.broadcast(base)).select("variant", "n_defined", F.round("total", 4).alias("total"), F.round(F.col("total") - F.col("base_total"), 4).alias("diff"))
+    return sums.join(F.broadcast(base)).select("variant", "n_defined", (F.col("total") / 1e6).alias("total"), ((F.col("total") - F.col("base_total")) / 1e6).alias("diff"))
 
 
 def spread(swept: DataFrame, n: int = 10) -> DataFrame:

@@ -389,7 +389,7 @@ def _variant_sql(v: variants.Variant) -> str:
 
 
 _SWEPT = "swept AS MATERIALIZED (" + " UNION ALL ".join(map(_variant_sql, variants.SWEEP)) + ")"
-_SUMS = "sums AS (SELECT variant, count(transport_gap) AS n_defined, sum(round(transport_gap, 6)) AS total FROM swept GROUP BY variant)"
+_SUMS = "sums AS (SELECT variant, count(transport_gap) AS n_defined, coalesce(CAST(sum(CAST(round(transport_gap * 1e6) AS BIGINT)) AS BIGINT), 0) AS total FROM swept GROUP BY variant)"
 
 
 def _swept(spark: SparkSession, root: str) -> DataFrame:
@@ -397,7 +397,7 @@ def _swept(spark: SparkSession, root: str) -> DataFrame:
     return variants.sweep(t, r)
 
 
-@query(over("SELECT variant, n_defined, round(total, 4) AS total, round(total - (SELECT total FROM sums WHERE variant = 'base'), 4) AS diff FROM sums", _SWEPT, _SUMS))
+@query(over("SELECT variant, n_defined, total / 1e6 AS total, (total - (SELECT total FROM sums WHERE variant = 'base')) / 1e6 AS diff FROM sums", _SWEPT, _SUMS))
 def variant_sweep(spark, root):
     return variants.totals(_swept(spark, root))
 
