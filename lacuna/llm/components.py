@@ -27,12 +27,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc", mo
     before = _mark(now)
     for k in range(1, most_rounds + 1):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join's sides are plain shuffles and AQE can split a hub
+        least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{tag}-least-{k}")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         mins = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(mins, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         new = scratch.save(small, f"{tag}-{k}")
-        scratch.drop(f"{tag}-{k - 1}")
+        scratch.drop(f"{tag}-{k - 1}", f"{tag}-least-{k}")
         after, now = _mark(new), new
         if after == before:
             break
