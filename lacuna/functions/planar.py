@@ -130,8 +130,8 @@ def polygon_covers(outer: Column, inner: Column) -> Column:
     return corners & ~F.exists(inner, lambda e: F.exists(outer, lambda f: crosses(e, f)))
 
 
-def clip_share(ax: Column, ay: Column, dx: Column, dy: Column, edge_list: Column) -> Column:
-    """The share of a segment in a closed polygon: cut at all crossings, keep the parts whose middle is inside."""
+def cuts(ax: Column, ay: Column, dx: Column, dy: Column, edge_list: Column) -> Column:
+    """Where edges cut a segment, as sorted shares of its length, its ends included."""
 
     def at(e: Column) -> Column:
         ex, ey = e["u"] - e["x"], e["v"] - e["y"]
@@ -143,14 +143,26 @@ def clip_share(ax: Column, ay: Column, dx: Column, dy: Column, edge_list: Column
         ends = F.when((turn == 0) & (_cross(dx, dy, e["x"] - ax, e["y"] - ay) == 0), F.array(F.try_divide((e["x"] - ax) * dx + (e["y"] - ay) * dy, run), F.try_divide((e["u"] - ax) * dx + (e["v"] - ay) * dy, run)))
         return F.coalesce(ends, F.when((along >= -1e-12) & (along <= 1 + 1e-12), F.array(t)), F.array().cast("array<double>"))
 
-    cuts = F.filter(F.flatten(F.transform(edge_list, at)), lambda t: (t > 0) & (t < 1))
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)))
-    part = lambda k: F.struct(F.get(cuts, k).alias("t"), F.get(cuts, k + 1).alias("u"))
-    parts = F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), part)
+    inner = F.filter(F.flatten(F.transform(edge_list, at)), lambda t: (t > 0) & (t < 1))
+    return F.sort_array(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), inner)))
+
+
+def share_inside(ax: Column, ay: Column, dx: Column, dy: Column, edge_list: Column, cut: Column) -> Column:
+    """The share of a segment whose parts between cuts have their middle in a closed polygon.
+
+    ``cut`` should be a column, since each part reads it.
+    """
+    part = lambda k: F.struct(F.get(cut, k).alias("t"), F.get(cut, k + 1).alias("u"))
+    parts = F.transform(F.sequence(F.lit(0), F.size(cut) - 2), part)
     inside = lambda p: covers_point(ax + (p["t"] + p["u"]) / 2 * dx, ay + (p["t"] + p["u"]) / 2 * dy, edge_list)
     return F.aggregate(F.filter(parts, inside), F.lit(0.0), lambda acc, p: acc + (p["u"] - p["t"]))
 
 
+def clip_share(ax: Column, ay: Column, dx: Column, dy: Column, edge_list: Column) -> Column:
+    """The share of a segment in a closed polygon."""
+    return share_inside(ax, ay, dx, dy, edge_list, cuts(ax, ay, dx, dy, edge_list))
+
+
 def centroid(edge_list: Column) -> Column:
     """Area centroid (shoelace), as a struct x, y, area; NULL coordinates for an area of zero."""
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))

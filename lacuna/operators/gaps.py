@@ -71,7 +71,9 @@ def road_lengths(tracts: DataFrame, roads: DataFrame, cell: float = CELL, by: tu
 def polygon_lengths(polygons: DataFrame, roads: DataFrame, cell: float = CELL) -> DataFrame:
     """The same for polygons given as edges, with a box."""
     pairs = grid_join(road_boxes(roads), polygons.select("tid", "edges", *_TRACT_BOX), ("rx0", "rx1", "ry0", "ry1"), _TRACT_BOX, cell)
-    share = planar.clip_share(*(F.col(c) for c in ("ax", "ay", "dx", "dy")), F.col("edges"))
+    segment = [F.col(c) for c in ("ax", "ay", "dx", "dy")]
+    pairs = pairs.withColumn("cut", planar.cuts(*segment, F.col("edges")))
+    share = planar.share_inside(*segment, F.col("edges"), F.col("cut"))
     pairs = pairs.withColumn("len", share * planar.length(F.col("dx"), F.col("dy")))
     return pairs.groupBy("tid").agg(F.sum(F.when(F.col("mapped"), F.col("len")).otherwise(0.0)).alias("ov_len"), F.sum(F.when(~F.col("mapped"), F.col("len")).otherwise(0.0)).alias("tiger_len"))
 
