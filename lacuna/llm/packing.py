@@ -37,6 +37,8 @@ SIZE, END = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
 #: Ids that are packed together.
 BLOCK = 1 << 22
+#: No sequence: it costs more than any.
+_NONE = (float("inf"), -1)
 _L = pa.int64()
 
 
@@ -84,34 +86,43 @@ def pack(lengths: list[int], size: int = SIZE, linear: float = LINEAR, quadratic
     total = sum(n for n, _ in rests)
     bins = total // size
     fill = [0] * bins
-    by_cost = [(0.0, b) for b in range(bins)]
+    by_room = [[] for _ in range(size)]  # of each room from 1 on the sequences that have it, a heap of (cost, sequence)
+    least = [_NONE] * (2 * size)  # a tree over the rooms: the least (cost, sequence) below each node
     over: list[tuple[int, int, int]] = []  # (document, start, length)
 
     def put(b: int, d: int, start: int, n: int) -> None:
         out.append((d, start, n, used + b, fill[b]))
         fill[b] += n
 
+    def renew(k: int) -> None:
+        """The tree above room ``k``, whose heap has changed."""
+        i = size + k - 1
+        least[i] = by_room[k - 1][0] if by_room[k - 1] else _NONE
+        while i > 1:
+            i >>= 1
+            least[i] = min(least[2 * i], least[2 * i + 1])
+
+    if bins:
+        by_room[-1] = [(0.0, b) for b in range(bins)]
+        renew(size)
     for n, d in rests:
-        start, passed = lengths[d] - n, []
-        while by_cost:
-            cost, b = heapq.heappop(by_cost)
-            if fill[b] + n <= size:
-                put(b, d, start, n)
-                if fill[b] < size:
-                    heapq.heappush(by_cost, (cost + linear * n + quadratic * n * n, b))
-                break
-            passed.append((cost, b))
-            if len(passed) >= 64:  # sequences with the lowest costs are the emptiest but for a few
-                break
-        else:
-            over.append((d, start, n))
-            for x in passed:
-                heapq.heappush(by_cost, x)
+        i = size + n - 1
+        best = least[i]
+        while i > 1:  # rooms of n or more: the leaf and all right siblings on its way up
+            if not i & 1:
+                best = min(best, least[i + 1])
+            i >>= 1
+        cost, b = best
+        if b < 0:
+            over.append((d, lengths[d] - n, n))
             continue
-        if len(passed) >= 64:
-            over.append((d, start, n))
-        for x in passed:
-            heapq.heappush(by_cost, x)
+        free = size - fill[b]
+        heapq.heappop(by_room[free - 1])
+        renew(free)
+        put(b, d, lengths[d] - n, n)
+        if free > n:
+            heapq.heappush(by_room[free - n - 1], (cost + linear * n + quadratic * n * n, b))
+            renew(free - n)
     room = [(fill[b] - size, b) for b in range(bins) if fill[b] < size]
     heapq.heapify(room)
     left: list[tuple[int, int, int]] = []

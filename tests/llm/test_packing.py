@@ -65,6 +65,26 @@ def test_balance_and_few_cuts():
     assert len(pieces) < 1.3 * sum(n // 2048 + bool(n % 2048) for n in lengths)
 
 
+def test_cheapest_sequence_with_room_is_found_among_many():
+    r = random.Random(5)
+    lengths = [max(1, int(r.lognormvariate(5.5, 1.2))) for _ in range(3000)]
+    size = 512
+    rests = sorted(((n % size, d) for d, n in enumerate(lengths) if n % size), key=lambda x: (-x[0], x[1]))
+    used, bins = sum(n // size for n in lengths), sum(n for n, _ in rests) // size
+    assert bins > 500
+    cost, fill, want, cut = [0.0] * bins, [0] * bins, {}, set()
+    for n, d in rests:
+        b = min((b for b in range(bins) if fill[b] + n <= size), key=lambda b: (cost[b], b), default=None)
+        if b is None:
+            cut.add(d)
+            continue
+        want[d] = (used + b, fill[b])
+        cost[b] += P.LINEAR * n + P.QUADRATIC * n * n
+        fill[b] += n
+    got = {d: (seq, off) for d, start, n, seq, off in P.pack(lengths, size) if n < size and start == lengths[d] // size * size and d not in cut}
+    assert got == want
+
+
 @pytest.mark.parametrize("lengths", [[], [1], [2048], [2049, 2047], [7] * 1000, [4096, 1, 1], [1500] * 40])
 def test_small_inputs(lengths):
     out = P.pack(lengths)
