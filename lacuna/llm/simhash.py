@@ -288,8 +288,11 @@ def digest(out: DataFrame, id_col: str = "doc_id") -> DataFrame:
 # ---- near copies by similarity of word shingles
 
 
-#: Fingerprints of each text's distinct words; slots and bits of the sketch that verifies candidates.
+#: Fingerprints of each text's distinct words; slots and bits of the sketch that sorts out clear cases.
 SEEDS, SLOTS = (42, 43, 44, 45), 256
+#: Sketches with so many slots filled settle a pair whose estimate is below the first or from the second bound on; at a
+#: similarity of 0.8 the chance of either is under 1e-14. All other pairs are settled on the full sets.
+FILLED, NEVER, SURE = 128, 0.55, 0.97
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -310,6 +313,19 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(some.any(axis=-1), ((a == b) & some).sum(axis=-1) / np.maximum(1, some.sum(axis=-1)), 1.0)
 
 
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Hashes of the text's distinct shingles, sorted."""
+    return np.unique(shingle_hashes(words(text), size))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of sorted sets; empty ones are equal."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
 def _looks(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -318,39 +334,57 @@ def _looks(size: int):
                 w = words(text)
                 own = sorted(set(w))
                 fps.append([majority(np.array([xxhash.xxh64_intdigest(x, s) for x in own], dtype=np.uint64)) for s in SEEDS])
-                sketches.append(sketch(np.unique(shingle_hashes(w, size))))
-            yield pa.RecordBatch.from_arrays([b["id"], b["key"], pa.array(fps, pa.list_(_LONG)), pa.array(sketches, pa.binary())], ["id", "key", "fps", "sketch"])
+                h = np.unique(shingle_hashes(w, size))
+                sketches.append(sketch(h))
+            columns = [pa.array(fps, pa.list_(_LONG)), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b["id"], b["key"], *columns], ["id", "key", "fps", "sketch"])
 
     return run
 
 
-def alike(sketches: np.ndarray, similarity: float) -> np.ndarray:
-    """For each sketch of a group the index of the first that links of ``similarity`` reach from it."""
+def alike(sketches: np.ndarray, texts: list[str | None], size: int, similarity: float) -> np.ndarray:
+    """For each text of a group the index of the first that links of ``similarity`` reach from it. Sketches settle what is
+    clear, full sets the rest, but for pairs that other links have joined by then."""
     n = len(sketches)
-    near = np.zeros((n, n), dtype=bool)
+    near, open_ = np.zeros((n, n), dtype=bool), np.zeros((n, n), dtype=bool)
+    full = (sketches != 0xFFFF).sum(axis=1) >= FILLED
     step = max(1, (1 << 22) // (n * SLOTS))
     for s in range(0, n, step):
-        near[s : s + step] = estimate(sketches[s : s + step, None], sketches[None]) >= similarity
+        told, like = full[s : s + step, None] & full[None], estimate(sketches[s : s + step, None], sketches[None])
+        near[s : s + step] = told & (like >= SURE)
+        open_[s : s + step] = ~told | (like >= NEVER) & (like < SURE)
     label = np.arange(n)
     while True:
         new = np.minimum(label, np.where(near, label[None, :], n).min(axis=1))
         new = new[new]
         if (new == label).all():
-            return label
+            break
         label = new
+    sets: dict[int, np.ndarray] = {}
+    for i in range(n):
+        for j in (i + 1 + np.flatnonzero(open_[i, i + 1 :] & (label[i + 1 :] != label[i]))).tolist():
+            if label[i] == label[j]:
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = shingle_set(texts[k], size)
+            if jaccard(sets[i], sets[j]) >= similarity:
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+        sets.pop(i, None)
+    return label
 
 
-def _similar(similarity: float) -> Callable:
+def _similar(size: int, similarity: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by group; the last group of a batch waits for the next."""
-        group, key, look = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros((0, SLOTS), np.uint16)
+        group, key, look, texts = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros((0, SLOTS), np.uint16), []
 
         def done(n: int) -> pa.RecordBatch:
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             cuts = [0, *(np.flatnonzero((np.diff(group[:n], axis=0) != 0).any(axis=1)) + 1).tolist(), n]
             for s, e in zip(cuts, cuts[1:], strict=False):
                 if e - s > 1:
-                    label = alike(look[s:e], similarity)
+                    label = alike(look[s:e], texts[s:e], size, similarity)
                     at = np.flatnonzero(label != np.arange(e - s))
                     a.append(key[s + at])
                     b.append(key[s + label[at]])
@@ -362,10 +396,11 @@ def _similar(similarity: float) -> Callable:
             group = np.concatenate([group, np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("component", "sub")], axis=1)])
             key = np.concatenate([key, batch["key"].to_numpy(zero_copy_only=False)])
             look = np.concatenate([look, np.frombuffer(b"".join(batch["look"].to_pylist()), np.uint16).reshape(-1, SLOTS)])
+            texts += batch["text"].to_pylist()
             if (group != group[-1]).any():
                 cut = len(group) - int(np.argmax((group[::-1] != group[-1]).any(axis=1)))
                 yield done(cut)
-                group, key, look = group[cut:], key[cut:], look[cut:]
+                group, key, look, texts = group[cut:], key[cut:], look[cut:], texts[cut:]
         yield done(len(group))
 
     return run
@@ -381,14 +416,14 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     Candidates are the texts of a component of links at 4 bits between fingerprints of the distinct words,
     any of ``SEEDS``, found with Golay keys as above. A changed word alters ``size`` shingles but one word,
     so texts of a shingle similarity of 0.8 have close word fingerprints. Within a component all pairs are
-    compared by the similarity that ``SLOTS`` minima estimate (standard error 0.025 at 0.8); pairs that reach
-    ``similarity`` link, and groups are the components of these links. A component over ``bucket`` texts is
-    cut into blocks, and each pair of blocks is its own task. Texts without words are one another's copies.
+    compared; one over ``bucket`` texts is cut into blocks, and each pair of blocks is its own task.
+    ``SLOTS`` minima settle pairs far from ``similarity``, the full sets all others. Texts without words are one another's copies.
     """
     scratch = Scratch(docs.sparkSession, "near")
     id_type = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    own = scratch.save(read.mapInArrow(_looks(size), f"id {id_type}, key long, fps array<long>, sketch binary"), "own")
+    schema = f"id {id_type}, key long, fps array<long>, sketch binary"
+    own = scratch.save(read.mapInArrow(_looks(size), schema), "own")
     named = own.select("key", F.posexplode("fps").alias("space", "fp"))
     least = scratch.save(named.groupBy("space", "fp").agg(F.min("key").alias("least")), "least")
     links = scratch.save(hamming_links(least.select("space", "fp"), scratch).distinct(), "links")
@@ -397,8 +432,11 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     same = named.join(least, ["space", "fp"]).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
     near = scratch.save(connected_components(ends.unionByName(same), scratch, "maybe").withColumnRenamed("node", "key"), "maybe")
     hot = scratch.save(near.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket), "hot")
-    looks = scratch.save(own.groupBy("key").agg(F.first("sketch").alias("look")).join(near, "key").select("component", "key", "look"), "looks")
-    links = _dealt(looks, hot, "component", "key", bucket).mapInArrow(_similar(similarity), "a long, b long")
+    texts = lambda keys: read.select("key", "text").join(keys, "key").groupBy("key").agg(F.first("text").alias("text"))
+    sketches = own.groupBy("key").agg(F.first("sketch").alias("look"))
+    looks = scratch.save(near.join(sketches, "key").join(texts(near.select("key")), "key").select("component", "key", "look", "text"), "looks")
+    links = scratch.save(_dealt(looks, hot, "component", "key", bucket).mapInArrow(_similar(size, similarity), "a long, b long"), "first")
+    scratch.drop("looks")
     groups = scratch.save(connected_components(links, scratch).withColumnRenamed("node", "key").join(own.select("key", "id").distinct(), "key"), "groups")
     keeper = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "key")).alias("k")).select("component", F.col("k.key").alias("keeper"))
     return scratch.save(groups.join(keeper, "component").select("key", "keeper"), "told")

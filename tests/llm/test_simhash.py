@@ -146,3 +146,21 @@ def test_sketch_estimates_jaccard():
     assert S.estimate(x, y)[0] == pytest.approx(1600 / 2400, abs=0.1)
     none = np.frombuffer(S.sketch(a[:0]), np.uint16)[None]
     assert S.estimate(x, x)[0] == 1 and S.estimate(none, none)[0] == 1 and S.estimate(x, none)[0] == 0
+
+
+def test_pairs_near_the_threshold_are_settled_exactly():
+    r = random.Random(19)
+    word = lambda: "".join(r.choices("abcdefghij", k=7))
+    seen = set()
+    for share in (0.020, 0.021, 0.022, 0.023, 0.024, 0.025) * 10:
+        w = [word() for _ in range(1500)]
+        other = list(w)
+        for i in r.sample(range(1500), round(share * 1500)):
+            other[i] = word()
+        texts = [" ".join(w), " ".join(other)]
+        x, y = ({tuple(t.split()[i : i + 5]) for i in range(1496)} for t in texts)
+        looks = np.stack([np.frombuffer(S.sketch(S.shingle_set(t, 5)), np.uint16) for t in texts])
+        want = len(x & y) / len(x | y) >= 0.8
+        seen.add(want)
+        assert (S.alike(looks, texts, 5, 0.8)[1] == 0) == want
+    assert seen == {True, False}
