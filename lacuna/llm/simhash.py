@@ -293,6 +293,8 @@ SEEDS, SLOTS = (42, 43, 44, 45), 256
 #: Sketches with so many slots filled settle a pair whose estimate is below the first or from the second bound on; at a
 #: similarity of 0.8 the chance of either is under 1e-14. All other pairs are settled on the full sets.
 FILLED, NEVER, SURE = 128, 0.55, 0.97
+#: Of texts one in 32, or so many if that is more, say which shingles are common; at most so many shingles are held as common.
+_SAMPLE, _COMMON = 8192, 1 << 18
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -326,18 +328,51 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _looks(size: int):
+def prefix(h: np.ndarray, similarity: float, common: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The set's first shingles, rare ones first: sets of ``similarity`` or more have one of these in common.
+
+    The order is the same for all texts: by the weight of ``common`` shingles, 0 for others, then by hash. Of n shingles a
+    set that is similar enough lacks n - ceil(similarity * n) at most, so one more than that can't all be missing.
+    """
+    at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
+    own = np.where(common[at] == h, weight[at], 0) if len(common) else np.zeros(len(h), np.int64)
+    return h[np.lexsort((h, own))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]] if len(h) else h
+
+
+def _sampled(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b["text"].to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, size).view(np.int64), _LONG)], ["shingle"])
+
+    return run
+
+
+def _common(read: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, sorted, and their counts in a sample. They only order shingles: any other list gives the same pairs."""
+    share = max(1 / 32, min(1.0, _SAMPLE / max(1, read.count())))
+    some = read.where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    found = some.mapInArrow(_sampled(size), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    rows = found.orderBy(F.desc("n"), "shingle").limit(_COMMON).toArrow()
+    shingle, n = (rows[c].to_numpy().astype(np.int64) for c in ("shingle", "n"))
+    order = np.argsort(shingle.view(np.uint64))
+    return shingle.view(np.uint64)[order], n[order]
+
+
+def _looks(size: int, similarity: float, common: np.ndarray, weight: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sketches = [], []
+            fps, sketches, n, first = [], [], [], []
             for text in b["text"].to_pylist():
                 w = words(text)
                 own = sorted(set(w))
                 fps.append([majority(np.array([xxhash.xxh64_intdigest(x, s) for x in own], dtype=np.uint64)) for s in SEEDS])
                 h = np.unique(shingle_hashes(w, size))
                 sketches.append(sketch(h))
-            columns = [pa.array(fps, pa.list_(_LONG)), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b["id"], b["key"], *columns], ["id", "key", "fps", "sketch"])
+                n.append(len(h))
+                first.append(prefix(h, similarity, common, weight).view(np.int64))
+            columns = [pa.array(fps, pa.list_(_LONG)), pa.array(sketches, pa.binary()), pa.array(n, _LONG), pa.array(first, pa.list_(_LONG))]
+            yield pa.RecordBatch.from_arrays([b["id"], b["key"], *columns], ["id", "key", "fps", "sketch", "shingles", "first"])
 
     return run
 
@@ -406,6 +441,71 @@ def _similar(size: int, similarity: float) -> Callable:
     return run
 
 
+def sharing(group: np.ndarray, part: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of the same group (sorted) and other parts that may be similar: neither by the sizes ``n`` of their sets nor by
+    what is left of them after the places ``at`` of the shingle that they share is it ruled out. The first shared one never rules it out."""
+    left, right, i, d = [], [], np.arange(len(group)), 0
+    while True:
+        d += 1
+        i = i[i + d < len(group)]
+        i = i[group[i] == group[i + d]]
+        if not len(i):
+            break
+        j = i + d
+        most = np.minimum(n[i] - at[i], n[j] - at[j])
+        ok = (part[i] != part[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6) & (most >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6)
+        left.append(i[ok])
+        right.append(j[ok])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+
+def _sharing(similarity: float) -> Callable:
+    names = ["shingle", "sub", "key", "part", "spot"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (shingle, sub); the last group of a batch waits for the next."""
+        rows = np.zeros((0, 5), np.int64)
+
+        def done(x: np.ndarray) -> pa.RecordBatch:
+            group = np.cumsum((np.diff(x[:, :2], axis=0, prepend=x[:1, :2]) != 0).any(axis=1)) if len(x) else np.zeros(0, np.int64)
+            i, j = sharing(group, x[:, 3], x[:, 4] >> 32, x[:, 4] & 0xFFFFFFFF, similarity)
+            a, b = x[i, 2], x[j, 2]
+            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, k], _LONG) for k in range(2)], ["a", "b"])
+
+        for b in batches:
+            rows = np.concatenate([rows, np.stack([b[c].to_numpy(zero_copy_only=False) for c in names], axis=1)])
+            if len(rows) < 20_000:
+                continue
+            other = (rows[::-1, :2] != rows[-1, :2]).any(axis=1)
+            cut = len(rows) - int(np.argmax(other)) if other.any() else 0
+            if cut:
+                yield done(rows[:cut])
+                rows = rows[cut:]
+        yield done(rows)
+
+    return run
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their sketches (columns x, y) don't rule out."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, SLOTS) for c in ("x", "y"))
+            told = ((x != 0xFFFF).sum(axis=1) >= FILLED) & ((y != 0xFFFF).sum(axis=1) >= FILLED)
+            yield batch.filter(pa.array(~told | (estimate(x, y) >= NEVER))).select(["a", "b"])
+
+
+def _settled(size: int, similarity: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose texts (columns x, y) are similar enough."""
+        for batch in batches:
+            ok = [jaccard(shingle_set(x, size), shingle_set(y, size)) >= similarity for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
 def _row_key(id_col: str, text_col: str):
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit("")))
 
@@ -413,17 +513,24 @@ def _row_key(id_col: str, text_col: str):
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bucket: int = 512) -> DataFrame:
     """(key, keeper) for each row in a group of near copies; key hashes a row's id and text, the keeper's is the group's row of least id.
 
-    Candidates are the texts of a component of links at 4 bits between fingerprints of the distinct words,
-    any of ``SEEDS``, found with Golay keys as above. A changed word alters ``size`` shingles but one word,
-    so texts of a shingle similarity of 0.8 have close word fingerprints. Within a component all pairs are
-    compared; one over ``bucket`` texts is cut into blocks, and each pair of blocks is its own task.
+    Groups are the components of all pairs of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+    They are found in two passes:
+
+    * most of them within the components of links at 4 bits between fingerprints of the distinct words, any of ``SEEDS``,
+      found with Golay keys as above. A changed word alters ``size`` shingles but one word, so copies have close word
+      fingerprints. Within a component all pairs are compared; one over ``bucket`` texts is cut into blocks, and each pair
+      of blocks is its own task;
+    * the rest by prefixes: two sets that are similar enough share a shingle among the first n - ceil(similarity * n) + 1 of
+      each, in one order, rare ones first. Texts that share one and that the first pass hasn't joined are compared, unless
+      their sizes or places rule it out, so no pair is missed.
+
     ``SLOTS`` minima settle pairs far from ``similarity``, the full sets all others. Texts without words are one another's copies.
     """
     scratch = Scratch(docs.sparkSession, "near")
     id_type = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    schema = f"id {id_type}, key long, fps array<long>, sketch binary"
-    own = scratch.save(read.mapInArrow(_looks(size), schema), "own")
+    schema = f"id {id_type}, key long, fps array<long>, sketch binary, shingles long, first array<long>"
+    own = scratch.save(read.mapInArrow(_looks(size, similarity, *_common(read, size)), schema), "own")
     named = own.select("key", F.posexplode("fps").alias("space", "fp"))
     least = scratch.save(named.groupBy("space", "fp").agg(F.min("key").alias("least")), "least")
     links = scratch.save(hamming_links(least.select("space", "fp"), scratch).distinct(), "links")
@@ -437,6 +544,16 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     looks = scratch.save(near.join(sketches, "key").join(texts(near.select("key")), "key").select("component", "key", "look", "text"), "looks")
     links = scratch.save(_dealt(looks, hot, "component", "key", bucket).mapInArrow(_similar(size, similarity), "a long, b long"), "first")
     scratch.drop("looks")
+    part = scratch.save(connected_components(links, scratch, "parts").withColumnRenamed("node", "key"), "part")
+    parted = own.select("key", "shingles", "first").join(part, "key", "left").select("key", "shingles", F.coalesce("component", "key").alias("part"), F.posexplode("first").alias("at", "shingle"))
+    firsts = parted.select("shingle", "key", "part", (F.shiftleft("shingles", 32) + F.col("at")).alias("spot"))
+    busy = scratch.save(firsts.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket), "busy")
+    pairs = scratch.save(_dealt(firsts, busy, "shingle", "key", bucket).mapInArrow(_sharing(similarity), "a long, b long").distinct(), "pairs")
+    both = lambda pairs, of, c: pairs.join(of.select(F.col("key").alias("a"), F.col(c).alias("x")), "a").join(of.select(F.col("key").alias("b"), F.col(c).alias("y")), "b")
+    open_ = scratch.save(both(pairs, sketches, "look").mapInArrow(_open, "a long, b long"), "open")
+    held = scratch.save(texts(open_.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "held")
+    late = scratch.save(both(open_, held, "text").mapInArrow(_settled(size, similarity), "a long, b long"), "late")
+    links = links.unionByName(late)
     groups = scratch.save(connected_components(links, scratch).withColumnRenamed("node", "key").join(own.select("key", "id").distinct(), "key"), "groups")
     keeper = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "key")).alias("k")).select("component", F.col("k.key").alias("keeper"))
     return scratch.save(groups.join(keeper, "component").select("key", "keeper"), "told")

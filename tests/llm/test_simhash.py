@@ -164,3 +164,52 @@ def test_pairs_near_the_threshold_are_settled_exactly():
         seen.add(want)
         assert (S.alike(looks, texts, 5, 0.8)[1] == 0) == want
     assert seen == {True, False}
+
+
+def groups_of(rows, similarity=0.8, size=5):
+    """Brute force: text index -> least index of its component."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    return components(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if like(sets[i], sets[j]) >= similarity])
+
+
+def test_no_pair_at_the_threshold_is_missed_and_none_below_goes(spark):
+    """Copies with several edits, close to 0.8 on both sides, from 50 words to several thousand."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randrange(3, 9)))
+    rows = []
+    for length, many in ((50, 60), (120, 60), (300, 40), (1000, 30), (4000, 12)):
+        for _ in range(many):
+            w = [word() for _ in range(length)]
+            rows.append((len(rows), " ".join(w)))
+            for share in (0.018, 0.021, 0.023, 0.025, 0.028):
+                other = list(w)
+                for i in r.sample(range(length), max(1, round(share * length))):
+                    other[i] = word()
+                if r.random() < 0.3:
+                    rows.append((len(rows), " ".join(other)))
+    want = groups_of(rows)
+    assert 100 < sum(i != c for i, c in want.items()) and 100 < len(set(want.values())) < len(rows)
+    kept = {x.doc_id for x in S.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept == set(want.values())
+
+
+def test_groups_do_not_depend_on_the_word_fingerprints(spark, monkeypatch):
+    """Pairs that no fingerprint links are found by their prefixes, hot shingles included."""
+    r = random.Random(18)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    line = [word() for _ in range(40)]
+    rows = []
+    for _ in range(40):
+        w = [*line, *(word() for _ in range(r.randrange(5, 200)))]
+        rows.append((len(rows), " ".join(w)))
+        w[r.randrange(len(w))] = word()
+        rows.append((len(rows), " ".join(w)))
+    want = groups_of(rows)
+    monkeypatch.setattr(S, "hamming_links", lambda fps, scratch, *a, **k: spark.createDataFrame([], "a long, b long, space long"))
+    for bucket in (512, 7):
+        told = {x.key: x.keeper for x in S.near_copies(spark.createDataFrame(rows, SCHEMA), bucket=bucket).collect()}
+        assert len({k for k, v in told.items() if k != v}) == sum(i != c for i, c in want.items())
