@@ -292,7 +292,7 @@ def digest(out: DataFrame, id_col: str = "doc_id") -> DataFrame:
 SEEDS, SLOTS = (42, 43, 44, 45), 256
 #: Sketches with so many slots filled settle a pair whose estimate is below the first or from the second bound on; at a
 #: similarity of 0.8 the chance of either is under 1e-14. All other pairs are settled on the full sets.
-FILLED, NEVER, SURE = 128, 0.55, 0.97
+FILLED, NEVER, SURE = 250, 0.55, 0.97
 #: Of texts one in 32, or so many if that is more, say which shingles are common; at most so many shingles are held as common.
 _SAMPLE, _COMMON = 8192, 1 << 18
 
