@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions
+from .common import Scratch
 from .components import connected_components
 
 #: Generator of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -235,7 +235,7 @@ def _dealt(rows: DataFrame, hot: DataFrame, key: str, member: str, bucket: int)
     own = F.pmod(F.xxhash64(F.lit(7), member), blocks).cast("int")
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(own, j).cast("long") * blocks + F.greatest(own, j))
     out = rows.join(hot, key, "left").select(*rows.columns, F.explode(F.coalesce(pair, F.array(F.lit(0).cast("long")))).alias("sub"))
-    return out.repartition(shuffle_partitions(rows.sparkSession), key, "sub").sortWithinPartitions(key, "sub", member)
+    return out.repartition(key, "sub").sortWithinPartitions(key, "sub", member)
 
 
 def hamming_links(fps: DataFrame, scratch: Scratch, max_bits: int = 4, bucket: int = 2048, tag: str = "links") -> DataFrame:
@@ -289,12 +289,14 @@ def digest(out: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 #: Fingerprints of each text's distinct words; slots and bits of the sketch that sorts out clear cases.
-SEEDS, SLOTS = (42, 43, 44, 45), 256
+SEEDS, SLOTS = (42, 43), 256
 #: Sketches with so many slots filled settle a pair whose estimate is below the first or from the second bound on; at a
 #: similarity of 0.8 the chance of either is under 1e-14. All other pairs are settled on the full sets.
 FILLED, NEVER, SURE = 250, 0.55, 0.97
 #: Of texts one in 32, or so many if that is more, say which shingles are common; at most so many shingles are held as common.
 _SAMPLE, _COMMON = 8192, 1 << 18
+#: The chance, for a text, that none of the shingles it is looked for by stands in a text that is similar enough.
+MISS = 1e-12
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -332,11 +334,19 @@ def prefix(h: np.ndarray, similarity: float, common: np.ndarray, weight: np.ndar
     """The set's first shingles, rare ones first: sets of ``similarity`` or more have one of these in common.
 
     The order is the same for all texts: by the weight of ``common`` shingles, 0 for others, then by hash. Of n shingles a
-    set that is similar enough lacks n - ceil(similarity * n) at most, so one more than that can't all be missing.
+    set that is similar enough lacks m = n - ceil(similarity * n) at most, so the first m + 1 can't all be missing. Of r
+    rare ones, in an order as good as random, the first k are all missing with a chance of (m / r)^k at most; so k that
+    brings this under ``MISS`` will do where that is fewer.
     """
+    if not len(h):
+        return h
     at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
     own = np.where(common[at] == h, weight[at], 0) if len(common) else np.zeros(len(h), np.int64)
-    return h[np.lexsort((h, own))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]] if len(h) else h
+    missing = len(h) - int(np.ceil(similarity * len(h) - 1e-9))
+    rare, take = h[own == 0], missing + 1
+    if 0 < missing < len(rare):
+        take = min(take, int(np.ceil(np.log(MISS) / np.log(missing / len(rare)))))
+    return rare[:take] if take <= len(rare) else h[np.lexsort((h, own))[:take]]
 
 
 def _sampled(size: int):
@@ -348,10 +358,10 @@ def _sampled(size: int):
     return run
 
 
-def _common(read: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles, sorted, and their counts in a sample. They only order shingles: any other list gives the same pairs."""
-    share = max(1 / 32, min(1.0, _SAMPLE / max(1, read.count())))
-    some = read.where(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    share = max(1 / 32, min(1.0, _SAMPLE / max(1, texts.count())))
+    some = texts.where(F.pmod(F.xxhash64(F.lit(5), "row"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
     found = some.mapInArrow(_sampled(size), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     rows = found.orderBy(F.desc("n"), "shingle").limit(_COMMON).toArrow()
     shingle, n = (rows[c].to_numpy().astype(np.int64) for c in ("shingle", "n"))
@@ -372,71 +382,7 @@ def _looks(size: int, similarity: float, common: np.ndarray, weight: np.ndarray)
                 n.append(len(h))
                 first.append(prefix(h, similarity, common, weight).view(np.int64))
             columns = [pa.array(fps, pa.list_(_LONG)), pa.array(sketches, pa.binary()), pa.array(n, _LONG), pa.array(first, pa.list_(_LONG))]
-            yield pa.RecordBatch.from_arrays([b["id"], b["key"], *columns], ["id", "key", "fps", "sketch", "shingles", "first"])
-
-    return run
-
-
-def alike(sketches: np.ndarray, texts: list[str | None], size: int, similarity: float) -> np.ndarray:
-    """For each text of a group the index of the first that links of ``similarity`` reach from it. Sketches settle what is
-    clear, full sets the rest, but for pairs that other links have joined by then."""
-    n = len(sketches)
-    near, open_ = np.zeros((n, n), dtype=bool), np.zeros((n, n), dtype=bool)
-    full = (sketches != 0xFFFF).sum(axis=1) >= FILLED
-    step = max(1, (1 << 22) // (n * SLOTS))
-    for s in range(0, n, step):
-        told, like = full[s : s + step, None] & full[None], estimate(sketches[s : s + step, None], sketches[None])
-        near[s : s + step] = told & (like >= SURE)
-        open_[s : s + step] = ~told | (like >= NEVER) & (like < SURE)
-    label = np.arange(n)
-    while True:
-        new = np.minimum(label, np.where(near, label[None, :], n).min(axis=1))
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    sets: dict[int, np.ndarray] = {}
-    for i in range(n):
-        for j in (i + 1 + np.flatnonzero(open_[i, i + 1 :] & (label[i + 1 :] != label[i]))).tolist():
-            if label[i] == label[j]:
-                continue
-            for k in (i, j):
-                if k not in sets:
-                    sets[k] = shingle_set(texts[k], size)
-            if jaccard(sets[i], sets[j]) >= similarity:
-                label[label == max(label[i], label[j])] = min(label[i], label[j])
-        sets.pop(i, None)
-    return label
-
-
-def _similar(size: int, similarity: float) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group; the last group of a batch waits for the next."""
-        group, key, look, texts = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros((0, SLOTS), np.uint16), []
-
-        def done(n: int) -> pa.RecordBatch:
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            cuts = [0, *(np.flatnonzero((np.diff(group[:n], axis=0) != 0).any(axis=1)) + 1).tolist(), n]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if e - s > 1:
-                    label = alike(look[s:e], texts[s:e], size, similarity)
-                    at = np.flatnonzero(label != np.arange(e - s))
-                    a.append(key[s + at])
-                    b.append(key[s + label[at]])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), _LONG) for x in (a, b)], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group = np.concatenate([group, np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("component", "sub")], axis=1)])
-            key = np.concatenate([key, batch["key"].to_numpy(zero_copy_only=False)])
-            look = np.concatenate([look, np.frombuffer(b"".join(batch["look"].to_pylist()), np.uint16).reshape(-1, SLOTS)])
-            texts += batch["text"].to_pylist()
-            if (group != group[-1]).any():
-                cut = len(group) - int(np.argmax((group[::-1] != group[-1]).any(axis=1)))
-                yield done(cut)
-                group, key, look, texts = group[cut:], key[cut:], look[cut:], texts[cut:]
-        yield done(len(group))
+            yield pa.RecordBatch.from_arrays([b["row"], *columns], ["row", "fps", "look", "shingles", "first"])
 
     return run
 
@@ -459,8 +405,9 @@ def sharing(group: np.ndarray, part: np.ndarray, n: np.ndarray, at: np.ndarray,
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
-def _sharing(similarity: float) -> Callable:
-    names = ["shingle", "sub", "key", "part", "spot"]
+def _sharing(similarity: float, best_only: bool) -> Callable:
+    """Pairs (a, b) of rows that share a shingle; ``best_only``: for each row of a group that in which the shingle stands first."""
+    names = ["shingle", "sub", "row", "part", "spot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (shingle, sub); the last group of a batch waits for the next."""
@@ -469,6 +416,11 @@ def _sharing(similarity: float) -> Callable:
         def done(x: np.ndarray) -> pa.RecordBatch:
             group = np.cumsum((np.diff(x[:, :2], axis=0, prepend=x[:1, :2]) != 0).any(axis=1)) if len(x) else np.zeros(0, np.int64)
             i, j = sharing(group, x[:, 3], x[:, 4] >> 32, x[:, 4] & 0xFFFFFFFF, similarity)
+            if best_only and len(i):
+                i, j = np.concatenate([i, j]), np.concatenate([j, i])
+                order = np.lexsort((x[j, 4] & 0xFFFFFFFF, i))
+                at = order[np.diff(i[order], prepend=-1) != 0]
+                i, j = i[at], j[at]
             a, b = x[i, 2], x[j, 2]
             pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, k], _LONG) for k in range(2)], ["a", "b"])
@@ -487,80 +439,146 @@ def _sharing(similarity: float) -> Callable:
     return run
 
 
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that their sketches (columns x, y) don't rule out."""
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their sketches (columns x, y) don't rule out, and whether these prove them."""
     for batch in batches:
         if batch.num_rows:
             x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, SLOTS) for c in ("x", "y"))
-            told = ((x != 0xFFFF).sum(axis=1) >= FILLED) & ((y != 0xFFFF).sum(axis=1) >= FILLED)
-            yield batch.filter(pa.array(~told | (estimate(x, y) >= NEVER))).select(["a", "b"])
+            full = ((x != 0xFFFF).sum(axis=1) >= FILLED) & ((y != 0xFFFF).sum(axis=1) >= FILLED)
+            like = estimate(x, y)
+            keep = pa.array(~full | (like >= NEVER))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(full & (like >= SURE))], ["a", "b", "sure"]).filter(keep)
 
 
 def _settled(size: int, similarity: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs whose texts (columns x, y) are similar enough."""
+        """Pairs whose texts (columns x, y) are similar enough; the last y is kept, since a hub's pairs come together."""
+        last, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            ok = [jaccard(shingle_set(x, size), shingle_set(y, size)) >= similarity for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
+            ok = []
+            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
+                if y != last:
+                    last, own = y, shingle_set(y, size)
+                ok.append(jaccard(shingle_set(x, size), own) >= similarity)
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     return run
 
 
-def _row_key(id_col: str, text_col: str):
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit("")))
-
-
-def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bucket: int = 512) -> DataFrame:
-    """(key, keeper) for each row in a group of near copies; key hashes a row's id and text, the keeper's is the group's row of least id.
-
-    Groups are the components of all pairs of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
-    They are found in two passes:
-
-    * most of them within the components of links at 4 bits between fingerprints of the distinct words, any of ``SEEDS``,
-      found with Golay keys as above. A changed word alters ``size`` shingles but one word, so copies have close word
-      fingerprints. Within a component all pairs are compared; one over ``bucket`` texts is cut into blocks, and each pair
-      of blocks is its own task;
-    * the rest by prefixes: two sets that are similar enough share a shingle among the first n - ceil(similarity * n) + 1 of
-      each, in one order, rare ones first. Texts that share one and that the first pass hasn't joined are compared, unless
-      their sizes or places rule it out, so no pair is missed.
-
-    ``SLOTS`` minima settle pairs far from ``similarity``, the full sets all others. Texts without words are one another's copies.
+class _Near:
+    """The steps of ``near_copies`` over one table of rows."""
+
+    def __init__(self, docs: DataFrame, size: int, similarity: float, id_col: str, text_col: str, bucket: int):
+        self.scratch, self.size, self.similarity, self.bucket = Scratch(docs.sparkSession, "near"), size, similarity, bucket
+        row = F.struct(*docs.columns)
+        # written once, so that the numbers hold: they name rows, whatever repeats in them
+        self.base = self.scratch.save(docs.select(row.alias("_row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "base")
+        self.texts = self.base.select("row", "text")
+        own = self.texts.mapInArrow(_looks(size, similarity, *_common(self.texts, size)), "row long, fps array<long>, look binary, shingles long, first array<long>")
+        self.looks = self.scratch.save(own, "looks")
+
+    def golay_pairs(self) -> DataFrame:
+        """Rows of close word fingerprints: each fingerprint's row with the row of the least fingerprint that it links to, in each
+        space, and rows with the first one of the same fingerprint: at most one pair for each row and space."""
+        named = self.looks.select("row", F.posexplode("fps").alias("space", "fp"))
+        least = self.scratch.save(named.groupBy("space", "fp").agg(F.min("row").alias("least")), "least")
+        links = hamming_links(least.select("space", "fp"), self.scratch).groupBy("space", "a").agg(F.min("b").alias("b"))
+        links = self.scratch.save(links, "links")
+        end = lambda c, name: least.select("space", F.col("fp").alias(c), F.col("least").alias(name))
+        ends = links.join(end("a", "x"), ["space", "a"]).join(end("b", "y"), ["space", "b"]).select("x", "y")
+        same = named.join(least, ["space", "fp"]).select(F.col("row").alias("x"), F.col("least").alias("y"))
+        both = ends.unionByName(same).where("x <> y")
+        return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+    def verified(self, pairs: DataFrame, tag: str) -> DataFrame:
+        """The pairs whose shingle sets are similar enough."""
+        save, pairs = self.scratch.save, self.scratch.save(pairs, f"{tag}-pairs")
+        ends = lambda of, c, p: p.join(of.select(F.col("row").alias("a"), F.col(c).alias("x")), "a").join(of.select(F.col("row").alias("b"), F.col(c).alias("y")), "b")
+        told = save(ends(self.looks, "look", pairs).mapInArrow(_told, "a long, b long, sure boolean"), f"{tag}-told")
+        open_ = told.where("not sure").select("a", "b")
+        wanted = open_.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+        held = save(self.texts.join(wanted, "row"), f"{tag}-texts")
+        late = ends(held, "text", open_).mapInArrow(_settled(self.size, self.similarity), "a long, b long")
+        out = save(told.where("sure").select("a", "b").unionByName(late), f"{tag}-links")
+        self.scratch.drop(f"{tag}-texts", f"{tag}-told")
+        return out
+
+    def parts(self, links: DataFrame, tag: str) -> DataFrame:
+        return self.scratch.save(connected_components(links, self.scratch, tag).select(F.col("node").alias("row"), F.col("component").alias("part")), f"{tag}-parts")
+
+    def shared(self, firsts: DataFrame, part: DataFrame, tag: str) -> DataFrame:
+        """Of the rows (shingle, row, spot) those whose shingle stands in several parts, with part and number of rows."""
+        own = firsts.join(part, "row", "left").select("shingle", "row", "spot", F.coalesce("part", "row").alias("part"))
+        own = self.scratch.save(own, f"{tag}-firsts")
+        live = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("shingle", "n")
+        out = self.scratch.save(own.join(self.scratch.save(live, f"{tag}-live"), "shingle"), f"{tag}-shared")
+        self.scratch.drop(f"{tag}-firsts")
+        return out
+
+    def prefix_pairs(self, rows: DataFrame, tag: str, best_only: bool) -> DataFrame:
+        """Pairs of rows of different parts that share a shingle of their prefixes.
+
+        A shingle of over ``bucket`` rows is cut into blocks, each part that is larger than a block into its own, and each pair
+        of blocks is a group of its own, but for two of the same part: within a part nothing is compared.
+        """
+        half = max(1, self.bucket // 2)
+        hot = rows.where(F.col("n") > self.bucket)
+        size = hot.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("k"))
+        blocks = lambda c: F.ceil(F.col(c) / half).cast("long")
+        large = F.struct("part", blocks("k").alias("blocks"))
+        keys = size.groupBy("shingle").agg(F.array_sort(F.collect_list(F.when(F.col("k") > half, large))).alias("large"), F.sum(F.when(F.col("k") > half, 0).otherwise(F.col("k"))).alias("rest"))
+        keys = keys.select("shingle", "large", F.greatest(F.lit(1), blocks("rest")).alias("pool"))
+        keys = self.scratch.save(keys.withColumn("all", F.col("pool") + F.aggregate("large", F.lit(0).cast("long"), lambda s, x: s + x["blocks"])), f"{tag}-hot")
+        own = F.filter("large", lambda x: x["part"] == F.col("part"))
+        before = F.aggregate(F.filter("large", lambda x: x["part"] < F.col("part")), F.col("pool"), lambda s, x: s + x["blocks"])
+        mixed = F.xxhash64(F.lit(7), "row")
+        cut = hot.join(keys, "shingle").withColumn("own", F.get(own, F.lit(0))["blocks"])
+        cut = cut.withColumns({"start": F.when(F.col("own").isNull(), F.lit(0).cast("long")).otherwise(before), "width": F.coalesce("own", "pool")})
+        cut = cut.withColumn("block", F.col("start") + F.pmod(mixed, F.col("width")))
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda x: F.col("own").isNull() | (x < F.col("start")) | (x >= F.col("start") + F.col("width")))
+        cut = cut.withColumn("other", F.explode(others)).withColumn("sub", F.least("block", "other") * F.col("all") + F.greatest("block", "other"))
+        names = ["shingle", "sub", "row", "part", "spot"]
+        dealt = rows.where(F.col("n") <= self.bucket).withColumn("sub", F.lit(0).cast("long")).select(*names).unionByName(cut.select(*names))
+        dealt = dealt.repartition("shingle", "sub").sortWithinPartitions("shingle", "sub", "row")
+        return dealt.mapInArrow(_sharing(self.similarity, best_only), "a long, b long").distinct()
+
+    def groups(self) -> DataFrame:
+        links = self.verified(self.golay_pairs(), "golay")
+        firsts = self.looks.select("row", "shingles", F.posexplode("first").alias("at", "shingle")).select("shingle", "row", (F.shiftleft("shingles", 32) + F.col("at")).alias("spot"))
+        part = self.parts(links, "first")
+        for tag, best_only in (("some", True), ("rest", False)):
+            rows = self.shared(firsts, part, tag)
+            firsts = rows.select("shingle", "row", "spot")
+            found = self.verified(self.prefix_pairs(rows, tag, best_only), tag)
+            part = self.parts(found.unionByName(part.select(F.col("row").alias("a"), F.col("part").alias("b"))), tag)
+        return part
+
+
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bucket: int = 512) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` as (_row, id, text, row), and (row, keeper) for each row in a group of near copies.
+
+    Groups are the components of all pairs of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more; the
+    keeper is the group's row of least id, nulls last. They are found in two passes, of which the second is complete by itself
+    and the first leaves it little to do:
+
+    * links at 4 bits between fingerprints of the distinct words, any of ``SEEDS``, found with Golay keys as above: a changed
+      word alters ``size`` shingles but one word, so copies have close word fingerprints. Each row is compared with one row
+      that it links to in each space, and components of the pairs that are similar enough are parts;
+    * prefixes: two sets that are similar enough share one of the first shingles of each, in one order, rare ones first (see
+      ``prefix``). Rows of different parts that share one are compared, unless their sizes or places rule it out: first each
+      with one other by each shingle, then, with the parts that are left, with all.
+
+    ``SLOTS`` minima settle pairs far from ``similarity``, the full sets all others. Null and empty texts, without words, are one
+    another's copies; repeated rows are copies, of which one stays.
     """
-    scratch = Scratch(docs.sparkSession, "near")
-    id_type = docs.schema[id_col].dataType.simpleString()
-    read = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    schema = f"id {id_type}, key long, fps array<long>, sketch binary, shingles long, first array<long>"
-    own = scratch.save(read.mapInArrow(_looks(size, similarity, *_common(read, size)), schema), "own")
-    named = own.select("key", F.posexplode("fps").alias("space", "fp"))
-    least = scratch.save(named.groupBy("space", "fp").agg(F.min("key").alias("least")), "least")
-    links = scratch.save(hamming_links(least.select("space", "fp"), scratch).distinct(), "links")
-    end = lambda c, name: least.select("space", F.col("fp").alias(c), F.col("least").alias(name))
-    ends = links.join(end("a", "x"), ["space", "a"]).join(end("b", "y"), ["space", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same = named.join(least, ["space", "fp"]).where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    near = scratch.save(connected_components(ends.unionByName(same), scratch, "maybe").withColumnRenamed("node", "key"), "maybe")
-    hot = scratch.save(near.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket), "hot")
-    texts = lambda keys: read.select("key", "text").join(keys, "key").groupBy("key").agg(F.first("text").alias("text"))
-    sketches = own.groupBy("key").agg(F.first("sketch").alias("look"))
-    looks = scratch.save(near.join(sketches, "key").join(texts(near.select("key")), "key").select("component", "key", "look", "text"), "looks")
-    links = scratch.save(_dealt(looks, hot, "component", "key", bucket).mapInArrow(_similar(size, similarity), "a long, b long"), "first")
-    scratch.drop("looks")
-    part = scratch.save(connected_components(links, scratch, "parts").withColumnRenamed("node", "key"), "part")
-    parted = own.select("key", "shingles", "first").join(part, "key", "left").select("key", "shingles", F.coalesce("component", "key").alias("part"), F.posexplode("first").alias("at", "shingle"))
-    firsts = parted.select("shingle", "key", "part", (F.shiftleft("shingles", 32) + F.col("at")).alias("spot"))
-    busy = scratch.save(firsts.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket), "busy")
-    pairs = scratch.save(_dealt(firsts, busy, "shingle", "key", bucket).mapInArrow(_sharing(similarity), "a long, b long").distinct(), "pairs")
-    both = lambda pairs, of, c: pairs.join(of.select(F.col("key").alias("a"), F.col(c).alias("x")), "a").join(of.select(F.col("key").alias("b"), F.col(c).alias("y")), "b")
-    open_ = scratch.save(both(pairs, sketches, "look").mapInArrow(_open, "a long, b long"), "open")
-    held = scratch.save(texts(open_.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "held")
-    late = scratch.save(both(open_, held, "text").mapInArrow(_settled(size, similarity), "a long, b long"), "late")
-    links = links.unionByName(late)
-    groups = scratch.save(connected_components(links, scratch).withColumnRenamed("node", "key").join(own.select("key", "id").distinct(), "key"), "groups")
-    keeper = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "key")).alias("k")).select("component", F.col("k.key").alias("keeper"))
-    return scratch.save(groups.join(keeper, "component").select("key", "keeper"), "told")
+    near = _Near(docs, size, similarity, id_col, text_col, bucket)
+    groups = near.groups().join(near.base.select("row", "id"), "row")
+    keeper = groups.groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("k")).select("part", F.col("k.row").alias("keeper"))
+    return near.base, near.scratch.save(groups.join(keeper, "part").select("row", "keeper"), "keepers")
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` but for near copies of a row that stays, with their columns. Rows equal in id and text share their fate."""
-    gone = near_copies(docs, size, similarity, id_col, text_col).where("key <> keeper").select(F.col("key").alias("_key"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), _row_key(id_col, text_col).alias("_key"))
-    return rows.join(gone.hint("shuffle_hash"), "_key", "left_anti").select("_row.*")
+    """The rows of ``docs`` but for near copies of a row that stays, with their columns. An empty table stays empty."""
+    rows, told = near_copies(docs, size, similarity, id_col, text_col)
+    gone = told.where("row <> keeper").select("row")
+    return rows.join(gone.hint("shuffle_hash"), "row", "left_anti").select("_row.*")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -110,9 +111,17 @@ def test_blocks_give_the_same_groups(spark):
     w = ["".join(r.choices("abcdefghij", k=5)) for _ in range(300)]
     rows = [(i, " ".join([*w[:i], f"x{i}", *w[i + 1 :]])) for i in range(60)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    whole = {r.key: r.keeper for r in S.near_copies(docs).collect()}
+    whole = keepers(docs)
     assert len(set(whole.values())) == 1 and len(whole) == 60
-    assert {r.key: r.keeper for r in S.near_copies(docs, bucket=7).collect()} == whole
+    assert keepers(docs, bucket=7) == whole
+
+
+def test_repeated_rows_and_ids(spark):
+    """Repeated rows are copies; rows that share an id only are not."""
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, one), (1, one), (1, two), (None, one), (None, two), (7, None), (7, ""), (None, None)]
+    kept = sorted(((r.doc_id, r.text) for r in S.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert [k for k in kept if k[0] == 1] == [(1, one), (1, two)] and len(kept) == 3 and kept[-1][0] == 7
 
 
 def test_keep_one_drops_near_copies_only(spark):
@@ -159,13 +168,23 @@ def test_pairs_near_the_threshold_are_settled_exactly():
             other[i] = word()
         texts = [" ".join(w), " ".join(other)]
         x, y = ({tuple(t.split()[i : i + 5]) for i in range(1496)} for t in texts)
-        looks = np.stack([np.frombuffer(S.sketch(S.shingle_set(t, 5)), np.uint16) for t in texts])
         want = len(x & y) / len(x | y) >= 0.8
         seen.add(want)
-        assert (S.alike(looks, texts, 5, 0.8)[1] == 0) == want
+        pair = pa.RecordBatch.from_pydict({"a": [1], "b": [0], "x": texts[:1], "y": texts[1:]})
+        assert sum(b.num_rows for b in S._settled(5, 0.8)(iter([pair]))) == want
+        looks = [S.sketch(S.shingle_set(t, 5)) for t in texts]
+        told = next(S._told(iter([pa.RecordBatch.from_pydict({"a": [1], "b": [0], "x": looks[:1], "y": looks[1:]})])))
+        assert told.to_pydict() == {"a": [1], "b": [0], "sure": [False]}  # left to the full sets
     assert seen == {True, False}
 
 
+def keepers(docs, **more):
+    """id -> the keeper's id, for rows in groups."""
+    rows, told = S.near_copies(docs, **more)
+    ids = {r.row: r.id for r in rows.select("row", "id").collect()}
+    return {ids[r.row]: ids[r.keeper] for r in told.collect()}
+
+
 def groups_of(rows, similarity=0.8, size=5):
     """Brute force: text index -> least index of its component."""
     sets = []
@@ -211,5 +230,22 @@ def test_groups_do_not_depend_on_the_word_fingerprints(spark, monkeypatch):
     want = groups_of(rows)
     monkeypatch.setattr(S, "hamming_links", lambda fps, scratch, *a, **k: spark.createDataFrame([], "a long, b long, space long"))
     for bucket in (512, 7):
-        told = {x.key: x.keeper for x in S.near_copies(spark.createDataFrame(rows, SCHEMA), bucket=bucket).collect()}
-        assert len({k for k, v in told.items() if k != v}) == sum(i != c for i, c in want.items())
+        assert keepers(spark.createDataFrame(rows, SCHEMA), bucket=bucket) == {i: c for i, c in want.items() if list(want.values()).count(c) > 1}
+
+
+def test_prefixes_of_similar_sets_meet():
+    """At the threshold, with common shingles on both sides; the longer prefixes are the complete ones."""
+    r, none = np.random.default_rng(20), np.zeros(0, np.uint64)
+    new = lambda n: r.integers(0, 1 << 63, n).astype(np.uint64)
+    for n in (1, 4, 5, 9, 40, 400, 4000):
+        for usual in (0.0, 0.3, 0.7, 0.9, 1.0):
+            for _ in range(20):
+                both = np.unique(new(n))
+                more = new(int(n * 0.25))  # the union is 1.25 n
+                mine = r.random(len(more)) < 0.5
+                a, b = np.unique(np.concatenate([both, more[mine]])), np.unique(np.concatenate([both, more[~mine]]))
+                assert S.jaccard(a, b) >= 0.8
+                common = np.sort(r.choice(both, int(usual * n), replace=False))
+                x, y = (S.prefix(s, 0.8, common, np.full(len(common), 3)) for s in (a, b))
+                assert len(np.intersect1d(x, y))
+                assert len(S.prefix(a, 0.8, none, none)) <= 18
