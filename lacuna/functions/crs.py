@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+
 #: Ellipsoids: semi-major axis and inverse flattening (fixed values).
 GRS80, WGS84, CLARKE66 = (6378137.0, 298.257222101), (6378137.0, 298.257223563), (6378206.4, 294.978698214)
 #: Shifts in metres from WGS84 to NAD83 (fixed values of two published operations).
@@ -69,6 +71,28 @@ def mercator(lon: str, lat: str) -> tuple[str, str]:
     return f"({r} * radians({lon}))", f"({r} * ln(tan({lit(math.pi / 4)} + radians({lat}) / 2)))"
 
 
+#: Projections by their codes.
+PROJECTIONS = {"5070": EPSG5070.expressions, "6350": EPSG6350.expressions, "102003": ESRI102003.expressions, "3857": mercator}
+#: The metadata key under which a column keeps its reference system.
+TAG = "crs"
+
+
+def tagged(df: DataFrame, columns: tuple[str, ...], code: str) -> DataFrame:
+    """The frame with columns that say in which system their coordinates are; plans and Parquet keep it."""
+    return df.withMetadata(columns[0], {TAG: code}) if len(columns) == 1 else tagged(tagged(df, columns[:1], code), columns[1:], code)
+
+
+def code_of(df: DataFrame, column: str) -> str | None:
+    return df.schema[column].metadata.get(TAG)
+
+
+def same_code(left: DataFrame, right: DataFrame, columns: tuple[str, str]) -> None:
+    """Fails where two columns are tagged with different systems."""
+    a, b = code_of(left, columns[0]), code_of(right, columns[1])
+    if a and b and a != b:
+        raise ValueError(f"{columns[0]} is in {a}, {columns[1]} in {b}: project one of them first")
+
+
 def shifted(lon: str, lat: str, shift: tuple[float, float, float], source: tuple[float, float] = WGS84, target: tuple[float, float] = GRS80) -> tuple[str, str]:
     """Longitude and latitude on another datum: to geocentric, shift, and back."""
     a, e2 = source[0], _squared(source)

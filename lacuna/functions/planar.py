@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,37 +132,52 @@ def polygon_covers(outer: Column, inner: Column) -> Column:
     return corners & ~F.exists(inner, lambda e: F.exists(outer, lambda f: crosses(e, f)))
 
 
-def cuts(ax: Column, ay: Column, dx: Column, dy: Column, edge_list: Column) -> Column:
-    """Where edges cut a segment, as sorted shares of its length, its ends included."""
-
-    def at(e: Column) -> Column:
-        ex, ey = e["u"] - e["x"], e["v"] - e["y"]
-        turn = dx * ey - dy * ex
-        t = F.try_divide((e["x"] - ax) * ey - (e["y"] - ay) * ex, turn)
-        along = F.when(F.abs(ex) >= F.abs(ey), F.try_divide(ax + t * dx - e["x"], ex)).otherwise(F.try_divide(ay + t * dy - e["y"], ey))
-        # collinear edges cut where they end
-        run = dx * dx + dy * dy
-        ends = F.when((turn == 0) & (_cross(dx, dy, e["x"] - ax, e["y"] - ay) == 0), F.array(F.try_divide((e["x"] - ax) * dx + (e["y"] - ay) * dy, run), F.try_divide((e["u"] - ax) * dx + (e["v"] - ay) * dy, run)))
-        return F.coalesce(ends, F.when((along >= -1e-12) & (along <= 1 + 1e-12), F.array(t)), F.array().cast("array<double>"))
-
-    inner = F.filter(F.flatten(F.transform(edge_list, at)), lambda t: (t > 0) & (t < 1))
-    return F.sort_array(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), inner)))
+def crossings(ax: Column, ay: Column, dx: Column, dy: Column, edge_list: Column) -> Column:
+    """Where a segment's whole line crosses edges, as sorted multiples of the segment: it enters at the first, leaves at the second,
+    and so on. A corner belongs to the edge that leaves the line's right side, so that each passage counts once."""
+    side = lambda x, y: dx * (y - ay) - dy * (x - ax)
+    at = lambda e: ((e["x"] - ax) * (e["v"] - e["y"]) - (e["y"] - ay) * (e["u"] - e["x"])) / (dx * (e["v"] - e["y"]) - dy * (e["u"] - e["x"]))
+    met = F.filter(edge_list, lambda e: (side(e["x"], e["y"]) >= 0) != (side(e["u"], e["v"]) >= 0))
+    return F.sort_array(F.transform(met, at))
 
 
-def share_inside(ax: Column, ay: Column, dx: Column, dy: Column, edge_list: Column, cut: Column) -> Column:
-    """The share of a segment whose parts between cuts have their middle in a closed polygon.
+def share_inside(ax: Column, ay: Column, dx: Column, dy: Column, edge_list: Column, crossed: Column) -> Column:
+    """The share of a segment in a closed polygon. ``crossed`` (see ``crossings``) should be a column, since it is read often.
 
-    ``cut`` should be a column, since each part reads it.
+    The clipped multiples are summed with alternating signs. Stretches along an edge lie on one side or the other by the rule
+    for corners; those on the outer side are added, since the boundary belongs to the polygon.
     """
-    part = lambda k: F.struct(F.get(cut, k).alias("t"), F.get(cut, k + 1).alias("u"))
-    parts = F.transform(F.sequence(F.lit(0), F.size(cut) - 2), part)
-    inside = lambda p: covers_point(ax + (p["t"] + p["u"]) / 2 * dx, ay + (p["t"] + p["u"]) / 2 * dy, edge_list)
-    return F.aggregate(F.filter(parts, inside), F.lit(0.0), lambda acc, p: acc + (p["u"] - p["t"]))
+    clip = lambda t: F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1.0).alias("sign"))
+    inner = F.aggregate(crossed, start, lambda s, t: F.struct((s["sum"] + s["sign"] * clip(t)).alias("sum"), (-s["sign"]).alias("sign")), lambda s: s["sum"])
+    on_line = lambda x, y: dx * (y - ay) - dy * (x - ax) == 0
+    run = dx * dx + dy * dy
+    along = lambda x, y: F.try_divide((x - ax) * dx + (y - ay) * dy, run)
+    stretches = F.transform(F.filter(edge_list, lambda e: on_line(e["x"], e["y"]) & on_line(e["u"], e["v"])), lambda e: F.struct(along(e["x"], e["y"]).alias("t"), along(e["u"], e["v"]).alias("u")))
+    outer = F.filter(stretches, lambda p: F.size(F.filter(crossed, lambda t: t > (p["t"] + p["u"]) / 2)) % 2 == 0)
+    return inner + F.coalesce(F.aggregate(outer, F.lit(0.0), lambda s, p: s + F.abs(clip(p["u"]) - clip(p["t"]))), F.lit(0.0))
 
 
 def clip_share(ax: Column, ay: Column, dx: Column, dy: Column, edge_list: Column) -> Column:
     """The share of a segment in a closed polygon."""
-    return share_inside(ax, ay, dx, dy, edge_list, cuts(ax, ay, dx, dy, edge_list))
+    return share_inside(ax, ay, dx, dy, edge_list, crossings(ax, ay, dx, dy, edge_list))
+
+
+def map_vertices(rings: str, change: Callable[[str, str], tuple[str, str]]) -> Column:
+    """The column of rings with every vertex changed; ``change`` gives SQL of new coordinates for SQL of old ones."""
+    x, y = change("p.x", "p.y")
+    return F.expr(f"transform({rings}, r -> transform(r, p -> named_struct('x', {x}, 'y', {y})))")
+
+
+def without_repeats(rings: Column) -> Column:
+    """Rings without vertices that repeat the one before them, as snapping leaves them; those of fewer than four are dropped."""
+    one = lambda r: F.filter(r, lambda p, k: (k == 0) | (p != F.get(r, k - 1)))
+    return F.filter(F.transform(rings, one), lambda r: F.size(r) > 3)
+
+
+def rectangle(x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """A box's rings, counterclockwise."""
+    return F.array(F.array(*(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)))))
 
 
 def centroid(edge_list: Column) -> Column:
@@ -177,11 +194,12 @@ def centroid(edge_list: Column) -> Column:
 # ---- precision and density
 
 
-def snap(value: Column, grid: float) -> Column:
-    """A coordinate rounded to a grid, half to even. Vertices only: topology is not repaired."""
-    return F.bround(value / grid) * grid
+def snap(value: Column, grid: float | Column) -> Column:
+    """A coordinate rounded to a grid, half to even; as it is where the grid is NULL. Vertices only: topology is not repaired."""
+    on = F.bround(value / grid) * grid
+    return F.coalesce(on, value) if isinstance(grid, Column) else on
 
 
-def pieces(dx: Column, dy: Column, longest: float) -> Column:
-    """Into how many equal parts a segment is cut so that none is longer."""
+def pieces(dx: Column, dy: Column, longest: float | Column) -> Column:
+    """Into how many equal parts a segment is cut so that none is longer; one where ``longest`` is NULL."""
     return F.greatest(F.lit(1), F.ceil(length(dx, dy) / longest)).cast("int")

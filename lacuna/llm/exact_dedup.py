@@ -101,7 +101,8 @@ def _as_rows(digests: list[bytes]) -> np.ndarray:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b["text"].to_pylist()
-        yield pa.RecordBatch.from_arrays([b["id"], b["old"], pa.array([normal_digest(t) for t in texts], pa.binary()), pa.array([len(t or "") for t in texts], _L)], ["id", "old", "digest", "chars"])
+        more = [c for c in ("row",) if c in b.schema.names]
+        yield pa.RecordBatch.from_arrays([b["id"], b["old"], pa.array([normal_digest(t) for t in texts], pa.binary()), pa.array([len(t or "") for t in texts], _L), *(b[c] for c in more)], ["id", "old", "digest", "chars", *more])
 
 
 _CLASS = "digest binary, chars long, id long, row long, n long"
@@ -162,18 +163,20 @@ def _lookup(key: tuple, index: pa.Table, new: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["digest", "chars", "id", "row", "n", "known"])
 
 
-def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
-    """One row per row of ``docs`` and ``history``: id, old, digest, keep_id, group_size, kept, known.
+def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs`` and ``history``: id, old, digest, keep_id, group_size, kept, known, row.
 
     ``old``: the row is of history; ``known``: its text is in history. Ids are whole numbers. Either
-    table may be empty, and a row may repeat. Other columns are not read.
+    table may be empty, and a row may repeat; of rows that repeat id and text one stays. ``row`` is a
+    number of each row's own, or that of ``row_col``. Texts of any length are hashed whole, in the task
+    that reads them. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
-    part = lambda df, old: df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(old).alias("old"))
+    part = lambda df, old: df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(old).alias("old"), *([F.col(row_col).alias("row")] if row_col else []))
     both = part(docs, False) if history is None else part(docs, False).unionByName(part(history, True))
-    own = both.mapInArrow(_digests, "id long, old boolean, digest binary, chars long")
-    own = scratch.save(own.withColumn("row", F.monotonically_increasing_id()), "own")  # written once, so the numbers hold
+    own = both.mapInArrow(_digests, "id long, old boolean, digest binary, chars long" + ", row long" * bool(row_col))
+    own = scratch.save(own if row_col else own.withColumn("row", F.monotonically_increasing_id()), "own")  # written once, so the numbers hold
     new = scratch.save(_classes(own.where("not old")), "new")
     old = scratch.save(_classes(own.where("old")), "old")
     shards = max(1, -(-max(new.count(), old.count()) // shard))
@@ -181,7 +184,7 @@ def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, id_col:
     to = F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard")
     told = index.groupBy("shard").cogroup(new.select(to, "*").groupBy("shard")).applyInArrow(_lookup, _CLASS.replace("n long", "n long, known boolean"))
     told = scratch.save(told, "told").select("digest", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), F.col("n").alias("group_size"), "known")
-    return own.join(told, "digest").select(F.col("id").alias(id_col), "old", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "known")
+    return own.join(told, "digest").select(F.col("id").alias(id_col), "old", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "known", "row")
 
 
 def by_arrival(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -191,14 +194,11 @@ def by_arrival(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, Data
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; repeated rows stay once."""
-    new, old = by_arrival(docs, id_col)
-    kept = exact_duplicates(new, old, id_col, text_col).where("kept")
-    name = lambda digest, id_: [F.concat(digest, F.coalesce(id_.cast("string"), F.lit("-"))).alias("_name")]
-    kept = kept.select(*name(F.lower(F.hex("digest")), F.col(id_col)))
-    body = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", "")
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), *name(F.sha2(body, 256), F.col(id_col).cast("long")))
-    return rows.join(kept, "_name", "left_semi").dropDuplicates(["_name"]).select("_doc.*")
+    """The rows of ``docs`` that stay, with their columns. Of a class of equal texts it is the row that the class names, whatever
+    repeats in ids and texts: rows are numbered in a written table, so the numbers hold."""
+    rows = Scratch(docs.sparkSession, "exact").save(docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "rows")
+    kept = exact_duplicates(*by_arrival(rows, "id"), "id", "text", row_col="row").where("kept").select("row")
+    return rows.select("row", "_row").join(kept, "row", "left_semi").select("_row.*")
 
 
 def digest(out: DataFrame, id_col: str = "doc_id") -> DataFrame:

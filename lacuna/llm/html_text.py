@@ -7,9 +7,11 @@ the text that a reader would see: blocks on lines of their own, blank lines arou
 headings, list items with bullets or numbers under an indent, preformatted text as it is, and tables
 with cells aligned in columns (a cell's own text is laid out first, so tables nest).
 
-Not visible: scripts, styles, templates, the head, comments, elements that are hidden or styled
-``display: none`` or ``visibility: hidden``, closed dialogs, and details that aren't open but for their
-summary.
+Not visible: scripts, styles, templates, the head, comments, closed dialogs, details that aren't open but
+for their summary, media and objects with their fallback text, titles, descriptions and definitions of
+drawings, annotations of formulas, elements with the attribute ``hidden`` or ``display: none``, and text
+whose nearest element with a ``visibility`` says hidden. Styles are those of the attribute and, below it,
+of the page's style elements so far, as far as their selectors are a tag, classes and an id.
 
 The builder keeps no tree and doesn't recurse, so depth costs memory only; a page is read in one pass.
 """
@@ -29,7 +31,7 @@ from ..deploy import ship
 #: Fixed sets of elements, by their roles in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("script style title template head iframe noembed noframes noscript datalist object audio video canvas svg math".split())
+HIDDEN = frozenset("script style title template head iframe noembed noframes noscript datalist object audio video canvas defs desc metadata symbol annotation annotation-xml".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 BLOCKS = PARAGRAPHS | frozenset("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup hr html legend li main menu nav option optgroup search section select summary tbody textarea tfoot thead tr caption xmp".split())
 #: A start tag closes these, looking no further out than the stops.
@@ -48,14 +50,21 @@ _TABLE_PARTS = frozenset("table td th tr tbody thead tfoot caption".split())
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|[!?/][^>]*>)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_MAYBE = re.compile(r"hidden|style|open|start|colspan", re.IGNORECASE)
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+_MAYBE = re.compile(r"hidden|style|open|start|span", re.IGNORECASE)
+_NAMED = re.compile(r"class|id", re.IGNORECASE)
+_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*([a-z-]+)", re.IGNORECASE)
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(visible|hidden|collapse)", re.IGNORECASE)
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)\Z")
+_CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+_AT_BLOCK = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]|\{[^{}]*\})*\})")
 _SPACE = " \t\n\r\f"
 _COLLAPSE = re.compile(r"[ \t\n\r\f]+")
 #: Cells up to this width set their column's; wider ones run on.
 WIDEST = 60
-#: Columns that a cell can span (as in HTML).
-_SPAN = 1000
+#: Columns and rows that a cell can span (as in HTML).
+_SPAN, _ROWS = 1000, 65534
+_LISTS = frozenset("ul ol menu dir".split())
 
 
 class Box:
@@ -130,60 +139,103 @@ class Box:
 
 
 class Table:
-    __slots__ = ("caption", "cells", "span")
+    __slots__ = ("caption", "cells")
 
     def __init__(self) -> None:
-        self.cells: list[list[tuple[list[str], int]]] = []
+        self.cells: list[list[tuple[list[str], int, int]]] = []  # (lines, columns, rows) of each cell
         self.caption: list[str] = []
-        self.span = 1
+
+    def placed(self) -> list[list[tuple[int, list[str], int]]]:
+        """(column, lines, columns) of each row's cells: a cell that spans rows takes its columns in those below."""
+        out, taken = [], {}  # column -> rows that it is still taken for
+        for row in self.cells:
+            own, at, new = [], 0, {}
+            for cell, span, rows in row:
+                while taken.get(at):
+                    at += 1
+                own.append((at, cell, span))
+                if rows > 1:
+                    new.update(dict.fromkeys(range(at, at + span), rows - 1))
+                at += span
+            taken = {c: n - 1 for c, n in taken.items() if n > 1} | new
+            out.append(own)
+        return out
 
     def lines(self) -> list[str]:
         """Caption, then rows with cells padded to their column's width."""
-        widths: list[int] = []
-        for row in self.cells:
-            at = 0
-            for cell, span in row:
+        rows, widths = self.placed(), []
+        for row in rows:
+            for at, cell, span in row:
                 if span == 1:
                     widths += [0] * (at + 1 - len(widths))
                     widths[at] = max([widths[at], *(len(x) for x in cell if len(x) <= WIDEST)])
-                at += span
+        left = [0]  # where columns begin; an empty one has no width
+        for w in widths:
+            left.append(left[-1] + (w + 2 if w else 0))
+        begin = lambda c: left[min(c, len(widths))]
         out = list(self.caption)
-        for row in self.cells:
-            for k in range(max((len(cell) for cell, _ in row), default=0)):
-                line, at, width = [], 0, 0
-                for cell, span in row:
-                    part = cell[k] if k < len(cell) else ""
-                    own = sum(w + 2 for w in widths[at : at + span])
-                    line.append(part.ljust(own) if len(part) + 2 <= own else part + "  ")
-                    at += span
-                out.append("".join(line).rstrip())
+        for row in rows:
+            for k in range(max((len(cell) for _, cell, _ in row), default=0)):
+                line = ""
+                for at, cell, _ in row:
+                    line = line.ljust(begin(at)) + (cell[k] if k < len(cell) else "") + "  "
+                out.append(line.rstrip())
         return out
 
 
 class Element:
-    __slots__ = ("count", "hidden", "indent", "name", "skip")
+    __slots__ = ("count", "hidden", "indent", "name", "rows", "skip", "visible")
 
-    def __init__(self, name: str, hidden: bool) -> None:
-        self.name, self.hidden = name, hidden
+    def __init__(self, name: str, hidden: bool, visible: bool) -> None:
+        self.name, self.hidden, self.visible, self.rows = name, hidden, visible, 1
         self.count: int | None = None  # of an ordered list's next item
         self.indent = 0
         self.skip = False  # closed details: all but the summary is hidden
 
 
+def _seen(style: str) -> tuple[bool | None, bool | None]:
+    """Whether declarations show an element and make it visible; None where they say nothing. The last of each counts."""
+    display, visibility = (p.findall(style) if style else [] for p in (_DISPLAY, _VISIBILITY))
+    return display[-1].lower() != "none" if display else None, visibility[-1].lower() == "visible" if visibility else None
+
+
 class Builder:
     def __init__(self) -> None:
         self.stack: list[Element] = []
         self.open: dict[str, int] = {}  # how many of each name are on the stack
         self.boxes = [Box()]
         self.tables: list[Table] = []
+        self.lists: list[Element] = []
+        self.rules: list[tuple[tuple[int, int], str, frozenset, str, bool | None, bool | None]] = []
         self.hidden = 0
         self.pre = 0
 
+    def style(self, sheet: str) -> None:
+        """Takes in a sheet's rules about what is seen: (weight, tag, classes, id, shown, visible)."""
+        for selectors, body in _RULE.findall(_AT_BLOCK.sub("", _CSS_COMMENT.sub("", sheet))):
+            shown, visible = _seen(body)
+            for one in selectors.split(",") if (shown, visible) != (None, None) else ():
+                if m := _SELECTOR.match(one.strip()):
+                    names = re.findall(r"([.#])([\w-]+)", m[2])
+                    ids = [n for c, n in names if c == "#"]
+                    if len(ids) > 1 or not (m[1] or names):
+                        continue
+                    weight = (len(ids) * 100 + (len(names) - len(ids)) * 10 + bool(m[1]), len(self.rules))
+                    tag = "" if m[1] == "*" else (m[1] or "").lower()
+                    self.rules.append((weight, tag, frozenset(n for c, n in names if c == "."), ids[0] if ids else "", shown, visible))
+
+    def _ruled(self, name: str, attributes: dict[str, str]) -> tuple[bool | None, bool | None]:
+        shown = visible = None
+        classes, own = set(attributes.get("class", "").split()), attributes.get("id", "")
+        for _, tag, needs, id_, s, v in sorted(r for r in self.rules if r[1] in ("", name) and r[2] <= classes and r[3] in ("", own)):
+            shown, visible = (shown if s is None else s), (visible if v is None else v)
+        return shown, visible
+
     # ---- tree
 
     def start(self, name: str, source: str, closed: bool) -> None:
         attributes = {}
-        if _MAYBE.search(source):
+        if _MAYBE.search(source) or (self.rules and _NAMED.search(source)):
             for key, *value in _ATTRIBUTE.findall(source):
                 attributes.setdefault(key.lower(), unescape("".join(value)))
         if name in BLOCKS and self.open.get("p"):
@@ -194,8 +246,8 @@ class Builder:
             self.start("tr", "", False)
         if name in VOID:
             self._void(name, attributes)
-            return
-        self._push(name, attributes)
+        elif not (closed and (self.open.get("svg") or self.open.get("math"))):
+            self._push(name, attributes)
 
     def end(self, name: str) -> None:
         if name == "br":
@@ -240,16 +292,19 @@ class Builder:
     def box(self) -> Box:
         return self.boxes[-1]
 
-    def _seen(self) -> bool:
-        return not self.hidden
-
     def _push(self, name: str, attributes: dict[str, str]) -> None:
-        hidden = name in HIDDEN or "hidden" in attributes or ("style" in attributes and bool(_UNSEEN.search(attributes["style"]))) or (name == "dialog" and "open" not in attributes)
+        shown, visible = _seen(attributes.get("style", ""))
+        if self.rules:
+            by_rule = self._ruled(name, attributes)
+            shown, visible = (x if x is not None else y for x, y in zip((shown, visible), by_rule, strict=True))
         parent = self.stack[-1] if self.stack else None
+        hidden = name in HIDDEN or ("hidden" in attributes and not shown) or shown is False or (name == "dialog" and "open" not in attributes)
         if parent and parent.skip and name != "summary":
             hidden = True
-        e = Element(name, hidden)
+        e = Element(name, hidden, visible if visible is not None else parent is None or parent.visible)
         self.stack.append(e)
+        if name in _LISTS:
+            self.lists.append(e)
         self.open[name] = self.open.get(name, 0) + 1
         self.hidden += hidden
         if name == "details" and "open" not in attributes:
@@ -257,20 +312,21 @@ class Builder:
         if self.hidden:
             return
         box = self.box
-        if name in BLOCKS:
+        if name in BLOCKS or name == "text" and self.open.get("svg"):
             box.block(2 if name in PARAGRAPHS and not (name in ("ul", "ol") and self.open.get("li")) else 1)
         if name in ("pre", "xmp", "textarea"):
             self.pre += 1
-        elif name in ("ul", "ol", "menu", "dir"):
+        elif name in _LISTS:
             start = attributes.get("start", "1").strip()
             e.count = (int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1) if name == "ol" else None
         elif name == "li":
-            own = next((x for x in reversed(self.stack[-200:-1]) if x.name in ("ul", "ol", "menu", "dir")), None)
+            own = self.lists[-1] if self.lists else None
             box.bullet = "- "
             if own and own.count is not None:
                 box.bullet = f"{own.count}. "
                 own.count += 1
             e.indent = max(2, len(box.bullet))
+            box.bullet = box.bullet if e.visible else ""
             box.indent += e.indent
         elif name in ("dd", "blockquote"):
             e.indent = 4
@@ -280,9 +336,9 @@ class Builder:
         elif name == "tr" and self.tables:
             self.tables[-1].cells.append([])
         elif name in ("td", "th", "caption") and self.tables:
-            span = attributes.get("colspan", "1").strip()
-            self.tables[-1].span = min(_SPAN, max(1, int(span))) if re.fullmatch(r"[0-9]{1,6}", span) else 1
-            e.count = self.tables[-1].span
+            span, rows = (attributes.get(x, "1").strip() for x in ("colspan", "rowspan"))
+            e.count = min(_SPAN, max(1, int(span))) if re.fullmatch(r"[0-9]{1,6}", span) else 1
+            e.rows = min(_ROWS, int(rows) or _ROWS) if re.fullmatch(r"[0-9]{1,6}", rows) else 1  # 0: all rows below
             self.boxes.append(Box())
             e.skip = False
 
@@ -290,6 +346,8 @@ class Builder:
         e = self.stack.pop()
         name = e.name
         self.open[name] -= 1
+        if name in _LISTS:
+            self.lists.pop()
         seen = not self.hidden
         self.hidden -= e.hidden
         if not seen:
@@ -301,7 +359,7 @@ class Builder:
             if name == "caption":
                 table.caption += lines
             elif table.cells:
-                table.cells[-1].append((lines, e.count or 1))
+                table.cells[-1].append((lines, e.count or 1, e.rows))
             return
         if name == "table" and self.tables:
             box.rows(self.tables.pop().lines())
@@ -310,11 +368,14 @@ class Builder:
         box.indent -= e.indent
         if name == "li":
             box.bullet = ""
-        if name in BLOCKS:
+        if name in BLOCKS or name == "text" and self.open.get("svg"):
             box.block(2 if name in PARAGRAPHS and not (name in ("ul", "ol") and self.open.get("li")) else 1)
 
+    def _unseen(self) -> bool:
+        return bool(self.hidden) or (bool(self.stack) and (self.stack[-1].skip or not self.stack[-1].visible))
+
     def _void(self, name: str, attributes: dict[str, str]) -> None:
-        if self.hidden or (self.stack and self.stack[-1].skip):
+        if self._unseen():
             return
         if name == "br":
             self.box.newline()
@@ -322,7 +383,7 @@ class Builder:
             self.box.block(2)
 
     def text(self, s: str) -> None:
-        if self.hidden or (self.stack and self.stack[-1].skip):
+        if self._unseen():
             return
         if self.pre:
             self.box.raw(s)
@@ -361,6 +422,8 @@ def render(html: str | None) -> str:
         if name in RAW:
             close = re.compile(f"</{name}(?=[\\s/>])", re.IGNORECASE).search(html, at)
             body = html[at : close.start()] if close else html[at:]
+            if name == "style":
+                builder.style(body)
             builder.text(unescape(body) if name == "textarea" else body)
             at = close.start() if close else len(html)
             limit = max(limit, at)
@@ -375,7 +438,8 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """One row per row of ``pages``: id, text. Null html gives an empty text; repeated rows are rendered each. No shuffle."""
+    """One row per row of ``pages``: id, text. Null html gives an empty text; repeated rows are rendered each; other columns,
+    whatever their names, are not read. No shuffle: a page of any length is one task's, in one pass."""
     ship(pages.sparkSession)
     id_type = pages.schema[id_col].dataType.simpleString()
     own = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))

@@ -29,10 +29,15 @@ BITS, WIDTH, EPOCHS, RATE = 17, 16, 4, 0.5
 SAMPLE, LONGEST = 4000, 50_000
 #: The share of right predictions on held rows that the rejection keeps.
 KEEP = 0.99
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _PART = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode category L: number forms such as fractions and Roman numerals aren't."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def features(text: str) -> np.ndarray:
     """Buckets of the byte 3- and 4-grams of " text ", lower-cased."""
     a = np.frombuffer(b" " + text.lower().encode() + b"  ", dtype=np.uint8).astype(np.uint32)
@@ -63,7 +68,7 @@ class Model:
         return total / n + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or text is None or not _LETTER.search(text):
+        if not self.languages or text is None or not has_letter(text):
             return "und", 0.0
         p = _softmax(self.logits(text) / self.temperature)
         best = int(p.argmax())
@@ -77,7 +82,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """rows: (text, language). Texts without a letter teach nothing."""
-    rows = [(t, lang) for t, lang in rows if _LETTER.search(t)]
+    rows = [(t, lang) for t, lang in rows if has_letter(t)]
     languages = sorted({lang for _, lang in rows})
     if not languages:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))

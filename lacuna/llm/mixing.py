@@ -11,11 +11,14 @@ share the total of all sizes; no target is above ``repeats`` times its source's
 reshared by weight until none is.
 
 The plan has one row per pattern and is made on the driver; its number is bounded by ``most_patterns``
-and checked. Documents are never gathered or globally sorted: they are put in buckets by their hash,
-bucket totals are summed in order, and a window orders a bucket's own documents only.
-
-Null text has size 0; a null source is a source of its own. Rows that repeat an id are documents of
-their own; a null id is hashed as the empty text. Reruns give the same rows.
+and checked. Documents are never gathered or globally sorted. Their order within a pattern is that of a
+hash of seed, id and text: rows that share all three are one class, aggregated before anything is
+ordered, so neither null ids nor copies make a bucket hot. Classes are put in buckets by leading digits
+of the hash, as many as keep a bucket small; buckets' totals are summed in order on two levels, and a
+window orders a bucket's own classes only. Within a class any row will do: rows are counted in slices.
+
+Null text has size 0 and is never taken; a null source is a source of its own. Rows that repeat an id are
+documents of their own; a null id is hashed as the empty text. Reruns give the same rows.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 WEIGHTS, REPEATS, SEED = (1, 2, 3), 3, "mix"
-#: About so many documents are ordered in one bucket of a pattern, unless that takes over 16^MOST_DIGITS buckets.
-BUCKET_ROWS, MOST_DIGITS = 250, 4
+#: About so many documents are ordered in one bucket of a pattern; a bucket's name are leading hexadecimal digits, of which
+#: the first COARSE are summed on one level and the others below it. A class's rows are counted in so many slices.
+BUCKET_ROWS, COARSE, SLICES = 250, 4, 256
 MOST_PATTERNS = 10_000
 
 
@@ -126,16 +130,42 @@ def plan(patterns: dict[tuple, int], weights: tuple[float, ...] = WEIGHTS, repea
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n = [len(t.encode().split()) if t else 0 for t in b["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([b["id"], b["pattern"], pa.array(n, pa.int64())], ["id", "pattern", "size"])
+        yield pa.RecordBatch.from_arrays([b["row"], b["id"], b["pattern"], b["hash"], pa.array(n, pa.int64())], ["row", "id", "pattern", "hash", "size"])
+
+
+def _before(what: str, by: list[str], order: str):
+    """The sum of a column over what stands before a row."""
+    return F.coalesce(F.sum(what).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _starts(own: DataFrame, digits: int) -> DataFrame:
+    """Of classes (pattern, hash, size, n) each with the words before it in its pattern: buckets' totals are summed in order of
+    their first digits (16^COARSE at most), then below them."""
+    named = own.withColumns({"coarse": F.substring("hash", 1, min(digits, COARSE)), "bucket": F.substring("hash", 1, digits), "words": F.col("size") * F.col("n")})
+    sums = named.groupBy("pattern", "coarse", "bucket").agg(F.sum("words").alias("words"))
+    high = sums.groupBy("pattern", "coarse").agg(F.sum("words").alias("words")).withColumn("high", _before("words", ["pattern"], "coarse")).drop("words")
+    low = sums.withColumn("low", _before("words", ["pattern", "coarse"], "bucket")).drop("words")
+    starts = low.join(high.hint("merge"), ["pattern", "coarse"]).select("pattern", "bucket", (F.col("high") + F.col("low")).alias("start"))
+    inside = named.withColumn("inside", _before("words", ["pattern", "bucket"], "hash"))
+    return inside.join(starts.hint("merge"), ["pattern", "bucket"]).select("pattern", "hash", "size", "n", (F.col("start") + F.col("inside")).alias("start"))
 
 
 def mix(
-    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = SEED, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, most_patterns: int = MOST_PATTERNS
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    repeats: int = REPEATS,
+    seed: str = SEED,
+    source_col: str = "source",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    bucket_rows: int = BUCKET_ROWS,
+    most_patterns: int = MOST_PATTERNS,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, pattern (sorted sources), size, taken (words, repeats counted), and of
-    the pattern's first source source_size and target.
+    """One row per row of ``docs``: id, pattern (sorted sources), size, taken (words, repeats counted), of the pattern's first
+    source source_size and target, and row: a number of the row's own, or that of ``row_col``.
 
-    ``source_col`` is a string or an array of strings.
+    ``source_col`` is a string or an array of strings. Other columns are not read; an empty table stays empty.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -143,8 +173,11 @@ def mix(
     pattern = F.sort_array(F.array_distinct(F.coalesce(F.col(source_col), F.array(F.lit(None).cast("string"))))) if is_list else F.array(F.col(source_col))
     pattern = F.when(F.size(pattern) == 0, F.array(F.lit(None).cast("string"))).otherwise(pattern) if is_list else pattern
     id_type = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("id"), F.to_json(pattern).alias("pattern"), F.col(text_col).alias("text")).mapInArrow(_sizes, f"id {id_type}, pattern string, size long")
-    own = scratch.save(own.withColumn("hash", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))), "own")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    hash_ = F.md5(F.concat(F.lit(f"{seed}:"), blank(F.col(id_col).cast("string")), F.lit(":"), F.md5(blank(F.col(text_col)))))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    read = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.to_json(pattern).alias("pattern"), hash_.alias("hash"), F.col(text_col).alias("text"))
+    own = scratch.save(read.mapInArrow(_sizes, f"row long, id {id_type}, pattern string, hash string, size long"), "own")
     # one row per pattern, whose number is checked before any is read
     rows = own.groupBy("pattern").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.first(pattern_of("pattern")).alias("sources")).limit(most_patterns + 1).collect()
     if len(rows) > most_patterns:
@@ -153,21 +186,26 @@ def mix(
     sizes, goal, routed = plan({name[r["pattern"]]: r["size"] for r in rows}, weights, repeats)
     taken = {p: sum(routed[name[p], s] for s in name[p]) for p in name}
     told = [(r["pattern"], r["size"], taken[r["pattern"]], sizes[name[r["pattern"]][0]], float(goal[name[r["pattern"]][0]])) for r in rows]
-    schema = "pattern string, total long, flow long, source_size long, target double"
-    told_df = spark.createDataFrame(told, schema)
-    digits = 0
-    while digits < MOST_DIGITS and 16**digits * bucket_rows < max((r["n"] for r in rows), default=0):
+    told_df = F.broadcast(spark.createDataFrame(told, "pattern string, total long, flow long, source_size long, target double"))  # most_patterns rows at most
+    digits = 1
+    while 16**digits * bucket_rows < max((r["n"] for r in rows), default=0):
         digits += 1
-    own = own.withColumn("bucket", F.substring("hash", 1, digits) if digits else F.lit(""))
-    # at most 65,536 rows a pattern; they are sums, ordered to make each bucket's start
-    sums = own.groupBy("pattern", "bucket").agg(F.sum("size").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = scratch.save(sums.select("pattern", "bucket", before.alias("start")).join(F.broadcast(told_df), "pattern"), "starts")
-    inside = Window.partitionBy("pattern", "bucket").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows_ = own.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["pattern", "bucket"])
-    base, rest = F.expr("flow div greatest(total, 1)"), F.expr("flow % greatest(total, 1)")
-    take = base * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start") - F.col("inside")))
-    return rows_.select(F.col("id").alias(id_col), pattern_of("pattern").alias("pattern"), "size", "source_size", "target", take.cast("long").alias("taken"))
+    some = own.where("size > 0")
+    classes = _starts(some.groupBy("pattern", "hash", "size").agg(F.count(F.lit(1)).alias("n")), digits).join(told_df.select("pattern", "total", "flow"), "pattern")
+    # of a class's words beyond whole rounds, ``part`` are taken: of its first rows in whole, of the next one in part
+    part = F.greatest(F.lit(0), F.least(F.col("size") * F.col("n"), F.expr("flow % total") - F.col("start")))
+    classes = scratch.save(classes.select("pattern", "hash", "n", F.expr("flow div total").alias("base"), part.alias("part")), "classes")
+    held = some.join(classes, ["pattern", "hash"])
+    words = lambda rank: F.col("base") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - rank * F.col("size")))
+    single = held.where("n = 1").select("row", "id", "pattern", "size", words(F.lit(0)).alias("taken"))
+    many = scratch.save(held.where("n > 1").withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(SLICES))), "many")
+    ahead = many.groupBy("pattern", "hash", "slice").agg(F.count(F.lit(1)).alias("k")).withColumn("ahead", _before("k", ["pattern", "hash"], "slice")).drop("k")
+    nth = F.row_number().over(Window.partitionBy("pattern", "hash", "slice").orderBy("row")) - 1
+    ranked = many.withColumn("nth", nth).join(ahead.hint("merge"), ["pattern", "hash", "slice"])
+    several = ranked.select("row", "id", "pattern", "size", words(F.col("ahead") + F.col("nth")).alias("taken"))
+    none = own.where("size = 0").select("row", "id", "pattern", "size", F.lit(0).cast("long").alias("taken"))
+    out = single.unionByName(several).unionByName(none).join(told_df.select("pattern", "source_size", "target"), "pattern")
+    return out.select(F.col("id").alias(id_col), pattern_of("pattern").alias("pattern"), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "row")
 
 
 def pattern_of(column: str):
@@ -179,7 +217,7 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         index, texts = [], []
         for k, (text, size, taken) in enumerate(zip(b["text"].to_pylist(), b["size"].to_pylist(), b["taken"].to_pylist(), strict=True)):
-            whole, rest = divmod(taken, size) if size else (0, 0)
+            whole, rest = divmod(taken, size)
             index += [k] * (whole + bool(rest))
             texts += [text] * whole
             if rest:
@@ -187,32 +225,24 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for w in data.split()[:rest]:
                     at = data.index(w, at) + len(w)
                 texts.append(data[:at].decode())
-        row = b["row"].take(pa.array(index, pa.int64()))
-        yield pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string())], ["row", "text"])
+        row = b["_row"].take(pa.array(index, pa.int64()))
+        yield pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string())], ["_row", "text"])
 
 
 def take(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: each document as often as it is taken, the last one of a pattern in part."""
-    told = mix(docs, source_col=source_col, id_col=id_col, text_col=text_col, **options)
-    # rows that repeat id, source and size are told apart by what they are taken here, by their text there
-    nth = lambda order: F.row_number().over(Window.partitionBy("_id", "_source", "size").orderBy(order))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    told = told.where("taken > 0").select(key.alias("_id"), F.to_json("pattern").alias("_source"), "size", "taken")
-    told = told.withColumn("_nth", nth(F.desc("taken")))
-    if docs.schema[source_col].dataType.typeName() == "array":
-        raise ValueError("take() needs one source a document")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("_id"), F.to_json(F.array(source_col)).alias("_source"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(_with_size, "row " + rows.schema["row"].dataType.simpleString() + ", _id string, _source string, text string, size long")
-    rows = rows.withColumn("_nth", nth(F.xxhash64("text")))
-    out = rows.join(told, ["_id", "_source", "size", "_nth"]).select("row", "text", "size", "taken").mapInArrow(_copies, "row " + rows.schema["row"].dataType.simpleString() + ", text string")
-    new = {text_col: F.col("text")} | ({length_col: F.length("text").cast("long")} if length_col in docs.columns else {})
-    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    """The mix itself, with the columns of ``docs``: each document as often as it is taken, the last one of a pattern in part.
 
-
-def _with_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = [len(t.encode().split()) if t else 0 for t in b["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([b["row"], b["_id"], b["_source"], b["text"], pa.array(n, pa.int64())], ["row", "_id", "_source", "text", "size"])
+    Sources may overlap (an array column). Rows are numbered in a written table and joined by that number, once. Of rows that
+    share id, text and sources those with lower numbers are taken first. Texts without words are never taken.
+    """
+    scratch = Scratch(docs.sparkSession, "taking")
+    named = {"id": F.col(id_col), "text": F.col(text_col), "source": F.col(source_col), "row": F.monotonically_increasing_id()}
+    rows = scratch.save(docs.select(F.struct(*docs.columns).alias("_row"), *(c.alias(k) for k, c in named.items())), "rows")
+    told = mix(rows, source_col="source", id_col="id", text_col="text", row_col="row", **options).where("taken > 0").select("row", "size", "taken")
+    kind = rows.schema["_row"].dataType.simpleString()
+    out = rows.select("row", "_row", "text").join(told, "row").select("_row", "text", "size", "taken").mapInArrow(_copies, f"_row {kind}, text string")
+    new = {text_col: F.col("text")} | ({length_col: F.length("text").cast("long")} if length_col in docs.columns else {})
+    return out.select(*(new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
 
 
 def digest(out: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -220,7 +250,7 @@ def digest(out: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 ORACLE = rf"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(concat('{SEED}:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, '')))) AS hash, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
 w AS (SELECT *, {REPEATS} * source_size AS cap, (k - 1) % 3 + 1 AS weight FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY CAST(cap AS DOUBLE) / weight, k) AS r FROM w),
@@ -230,7 +260,7 @@ f AS (SELECT *, cap >= CAST(left_ AS DOUBLE) / CAST(weights AS DOUBLE) * weight
 level AS (SELECT arg_min(CAST(left_ AS DOUBLE) / CAST(weights AS DOUBLE), r) AS level, min(r) AS first FROM f WHERE below),
 t AS (SELECT source, source_size, CASE WHEN r < first THEN CAST(cap AS DOUBLE) ELSE level * weight END AS target FROM f, level),
 q AS (SELECT d.*, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS flow,
-  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(concat('{SEED}:', coalesce(CAST(doc_id AS VARCHAR), ''))), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   CAST(flow // greatest(source_size, 1) * size + greatest(0, least(size, flow % greatest(source_size, 1) - before)) AS BIGINT) AS taken FROM q

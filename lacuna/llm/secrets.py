@@ -1,10 +1,11 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns find candidates in whole texts. A candidate's value is hashed, and hashes are aggregated over
-the corpus: by how many distinct owners and repositories each is held. A value that many owners hold was
-copied from a document or a tutorial ("example"); one that few hold looks like a live credential of
-theirs ("live"). Base patterns always stay in the findings, with that verdict; bare tokens of high
-entropy, which patterns alone can't tell from identifiers, are added only where they look live.
+the corpus: by how many distinct owners and repositories each is held. A value that many owners hold, or
+that one owner copies through many repositories, was copied from a document or a tutorial ("example");
+one that few hold looks like a live credential of theirs ("live"). Base patterns always stay in the
+findings, with that verdict; bare tokens of high entropy, which patterns alone can't tell from
+identifiers, are added only where they look live.
 
 Counts are distinct (hash, owner) and (hash, repository) pairs, then pairs per hash: both aggregate before
 the shuffle, so a value in a third of all documents is no hot key. Null text counts as empty, a null owner
@@ -34,8 +35,8 @@ _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _HINT = re.compile(r"[:=]")
 #: A bare token needs this many bits of entropy a character, a digit and a letter.
 ENTROPY = 3.5
-#: A value that more owners than this hold is an example.
-MOST_OWNERS = 2
+#: A value that more owners or more repositories than this hold is an example.
+MOST_OWNERS, MOST_REPOSITORIES = 2, 20
 
 
 def entropy(value: str) -> float:
@@ -50,10 +51,14 @@ def scan(text: str) -> list[tuple[int, int, int, str]]:
         out += [(m.start(), 0, m.end(), m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end(), m[0]) for m in _ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end(), m[0]) for m in _HEX.finditer(text)]
-    base = sorted((s, e) for s, _, e, _ in out)
+    base, at, reach = sorted((s, e) for s, _, e, _ in out), 0, 0
     for m in _TOKEN.finditer(text):
+        # tokens come in order, so base spans that start before this one's end are passed once
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][1])
+            at += 1
         v = m[0]
-        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and entropy(v) >= ENTROPY and not any(s < m.end() and m.start() < e for s, e in base):
+        if reach <= m.start() and any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and entropy(v) >= ENTROPY:
             out.append((m.start(), 3, m.end(), v))
     return sorted(out)
 
@@ -75,7 +80,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["id"], b["owner"], b["repository"], pa.array(spans, _SPANS)], ["id", "owner", "repository", "spans"])
 
 
-def find_secrets(docs: DataFrame, owner_col: str = "source", repository_col: str = "doc_id", most_owners: int = MOST_OWNERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, owner_col: str = "source", repository_col: str = "doc_id", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, findings.
 
     findings: array of (kind, start, end, owners, repositories, verdict) by start, then kind; kind counts
@@ -89,7 +94,7 @@ def find_secrets(docs: DataFrame, owner_col: str = "source", repository_col: str
     each = own.select("row", "owner", "repository", F.explode("spans").alias("s")).select("row", "owner", "repository", "s.*")
     count = lambda by: each.groupBy("h1", "h2", by).agg(F.lit(1)).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias(by))
     held = scratch.save(count("owner").join(count("repository"), ["h1", "h2"]), "held")
-    verdict = F.when(F.col("owners") > most_owners, "example").otherwise("live")
+    verdict = F.when((F.col("owners") > most_owners) | (F.col("repositories") > most_repositories), "example").otherwise("live")
     told = each.select("row", "start", "kind", "end", "h1", "h2").join(held.withColumnsRenamed({"owner": "owners", "repository": "repositories"}), ["h1", "h2"])
     told = told.withColumn("verdict", verdict).where("kind < 3 OR verdict = 'live'")
     one = F.struct("start", "kind", "end", "owners", "repositories", "verdict")

@@ -6,9 +6,11 @@ Validators are then checked: the strongest that both sides carry decides, an ent
 weakly), else Last-Modified, else the payload's digest. If it agrees, the revisit gets that response's
 payload, and the response's headers with those replaced that a 304 may update.
 
-A URL that holds a third of all records must not become one window. Records are put in ``slices`` time
-slices; a slice hands on its last full response per URL, one row for each URL and slice, and only these
-are ordered across slices; within (URL, slice) a window orders that slice's records.
+A URL that holds a third of all records must not become one window, whether they spread over years or
+came in one second. Records are dealt by ranges of (URL, time, record id), which Spark cuts at sampled
+quantiles, so that a hot URL stands in many slices of like size; a slice hands on its last full response
+per URL, one row for each URL and slice, and only these are ordered across slices; within (URL, slice) a
+window orders that slice's records.
 
 Each record gets a verdict: full; resolved; mismatch (a validator differs); unverified (no validator in
 common, resolved as the revisit claims); orphan (no earlier response); other (any other record, and
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,12 +31,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from .common import Scratch
+from .common import Scratch, shuffle_partitions
 
 #: Headers of a stored response that a 304 may update (RFC 9110, section 15.4.5; fixed values).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 SCHEMA = "record_id string, url string, ts long, type string, status int, headers map<string,string>, payload binary"
-SLICES = 256
 
 # ---- records as bytes
 
@@ -65,19 +67,52 @@ def _head(stream: io.BufferedIOBase) -> dict[str, str]:
     return out
 
 
+def _lines(stream: io.BufferedIOBase) -> Iterator[bytes | None]:
+    """First lines of records; None where the stream can't be read on."""
+    while True:
+        try:
+            line = stream.readline()
+        except (OSError, EOFError, zlib.error):
+            yield None
+            return
+        if not line:
+            return
+        yield line
+
+
 def read_records(stream: io.BufferedIOBase) -> Iterator[tuple]:
-    """(record_id, url, time text, type, status, headers, payload) of each record of a WARC stream."""
-    while line := stream.readline():
-        if not line.strip():
-            continue
+    """(record_id, url, time text, type, status, headers, payload) of each record of a WARC stream.
+
+    What isn't a record doesn't end the file: bytes up to the next line that begins one, a record without a length that
+    can be read, one that the stream's end cuts, and a broken compressed member give one row of type ``malformed`` each.
+    """
+    bad, lost = (None, None, None, "malformed", None, {}, None), False
+    for line in _lines(stream):
+        if line is None:
+            yield bad
+            return
         if not line.startswith(b"WARC/"):
-            raise ValueError(f"not a WARC record: {line[:40]!r}")
-        head = _head(stream)
-        block = io.BytesIO(stream.read(int(head.get("content-length", 0))))
-        status, headers, payload = None, {}, block.getvalue()
+            if line.strip() and not lost:
+                lost = True
+                yield bad
+            continue
+        lost = False
+        try:
+            head = _head(stream)
+            length = int(head.get("content-length", ""))
+            data = stream.read(length) if length >= 0 else b""
+        except (ValueError, OSError, EOFError, zlib.error):
+            lost = True
+            yield bad
+            continue
+        if len(data) != length:
+            yield bad
+            return
+        block = io.BytesIO(data)
+        status, headers, payload = None, {}, data
         if "application/http" in head.get("content-type", ""):
             first = block.readline().split()
-            status = int(first[1]) if len(first) > 1 and first[1].isdigit() else None
+            status = int(first[1]) if len(first) > 1 and first[1].isdigit() and len(first[1]) < 6 else None
             headers, payload = _head(block), block.read()
         yield head.get("warc-record-id", "").strip("<>"), head.get("warc-target-uri"), head.get("warc-date"), head.get("warc-type"), status, headers, payload
 
@@ -100,7 +135,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, plain or gzipped by member; ts is in microseconds."""
+    """Records of WARC files, plain or gzipped by member; ts is in microseconds. A file is read whole by one task, so it must be
+    under 2 GB (crawls cut theirs at about 1 GB); what can't be read gives rows of type ``malformed``, never an error."""
     files = ship(spark).read.format("binaryFile").load(path).select("content")
     out = files.mapInArrow(_parse, "record_id string, url string, time string, type string, status int, headers map<string,string>, payload binary")
     return out.select("record_id", "url", F.unix_micros(F.expr("try_to_timestamp(time)")).alias("ts"), "type", "status", "headers", "payload")
@@ -123,10 +159,11 @@ def _tag(headers: str) -> Column:
     return F.regexp_replace(F.col(headers)["etag"], r"^W/", "")
 
 
-def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
+def resolve(records: DataFrame, slices: int | None = None) -> DataFrame:
     """One row per row of ``records`` (see ``SCHEMA``; further columns are not read; header names in lower case):
 
-    record_id, canonical, type, verdict, refers_to, payload and headers as merged.
+    record_id, canonical, type, verdict, refers_to, payload and headers as merged. ``slices``: ranges that records are dealt to,
+    Spark's number of shuffle partitions by default.
 
     Everything is decided on a table without payloads. Only then are payloads moved, once, from the
     responses to the revisits that get them; other records keep theirs where they are.
@@ -138,11 +175,10 @@ def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     whole = F.col("canonical").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()
     own = read.withColumns({"full": F.coalesce(full & whole, F.lit(False)), "revisit": F.coalesce(F.col("type") == "revisit", F.lit(False))})
     light = scratch.save(own.where("full OR revisit").select(*key, "full", "revisit", "headers", F.when(F.col("full"), F.sha2("payload", 256)).alias("digest")), "light")
-    ends = light.agg(F.min("ts"), F.max("ts")).first()
-    low, width = ends[0] or 0, max(1, -(-((ends[1] or 0) - (ends[0] or 0) + 1) // slices))
-    placed = light.where(whole).select(*key, "full", "revisit", F.floor((F.col("ts") - low) / width).alias("slice"))
+    placed = light.where(whole).select(*key, "full", "revisit").repartitionByRange(slices or shuffle_partitions(scratch.spark), *key)
+    placed = scratch.save(placed.withColumn("slice", F.spark_partition_id()), "placed")
     place = F.when(F.col("full"), F.struct("ts", "record_id"))
-    # the last full response of each (URL, slice), handed to later slices: at most ``slices`` rows a URL
+    # the last full response of each (URL, slice), handed to later slices: as many rows a URL as slices hold it
     ahead = placed.groupBy("canonical", "slice").agg(F.max(place).alias("own"))
     ahead = ahead.withColumn("carried", F.max("own").over(Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)))
     ahead = scratch.save(ahead.where("carried IS NOT NULL").select("canonical", "slice", F.col("carried.ts").alias("c_ts"), F.col("carried.record_id").alias("c_id")), "ahead")

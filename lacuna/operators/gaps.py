@@ -16,6 +16,11 @@ _TRACT_BOX = ("x0", "x1", "y0", "y1")
 FACILITIES = ("fire", "ems", "schools")
 
 
+def _inside() -> Column:
+    c = F.col
+    return (c("cx") > c("x0")) & (c("cx") < c("x1")) & (c("cy") > c("y0")) & (c("cy") < c("y1"))
+
+
 def _half_open() -> Column:
     c = F.col
     return (c("cx") >= c("x0")) & (c("cx") < c("x1")) & (c("cy") >= c("y0")) & (c("cy") < c("y1"))
@@ -26,14 +31,15 @@ def _within() -> Column:
     return (c("bx0") >= c("x0")) & (c("bx1") <= c("x1")) & (c("by0") >= c("y0")) & (c("by1") <= c("y1"))
 
 
-#: How a building belongs to a tract: centre in half-open tract, closed overlap, or closed containment.
-PREDICATES = {"centroid": _half_open, "intersects": lambda: F.lit(True), "within": _within}
+#: How a building belongs to a tract: centre in half-open tract (so that tracts share none), centre off the tract's boundary,
+#: closed overlap, or closed containment.
+PREDICATES = {"centroid": _half_open, "centroid_inside": _inside, "intersects": lambda: F.lit(True), "within": _within}
 
 
 def building_pairs(tracts: DataFrame, buildings: DataFrame, how: str = "centroid", cell: float = CELL) -> DataFrame:
     """(tid, bid, in_mapped, in_ref) of buildings in tracts."""
     t = tracts.select("tid", *_TRACT_BOX)
-    if how == "centroid":
+    if how.startswith("centroid"):
         return grid_join(buildings, t, ("cx", "cx", "cy", "cy"), _TRACT_BOX, cell, PREDICATES[how]()).select("tid", "bid", "in_mapped", "in_ref")
     half = F.col("half")
     boxed = buildings.select("bid", "in_mapped", "in_ref", (F.col("cx") - half).alias("bx0"), (F.col("cx") + half).alias("bx1"), (F.col("cy") - half).alias("by0"), (F.col("cy") + half).alias("by1"))
@@ -57,25 +63,70 @@ def road_boxes(roads: DataFrame) -> DataFrame:
     return roads.withColumns({"rx0": F.least(ax, ax + dx), "rx1": F.greatest(ax, ax + dx), "ry0": F.least(ay, ay + dy), "ry1": F.greatest(ay, ay + dy)})
 
 
-def road_lengths(tracts: DataFrame, roads: DataFrame, cell: float = CELL, by: tuple[str, ...] = ()) -> DataFrame:
-    """(tid, ov_len, tiger_len): lengths of both sides' roads clipped to closed tracts; ``by``: further columns of roads to group by.
+def road_lengths(tracts: DataFrame, roads: DataFrame, cell: float = CELL, by: tuple[str, ...] = (), shared: bool = False) -> DataFrame:
+    """(tid, ov_len, tiger_len): lengths of both sides' roads clipped to closed tracts; ``by``: further columns of roads to group by,
+    which tracts have too and must be equal if they are ``shared``.
 
     The share that is clipped is summed before anything is shuffled by tract.
     """
-    pairs = grid_join(road_boxes(roads), tracts.select("tid", *_TRACT_BOX), ("rx0", "rx1", "ry0", "ry1"), _TRACT_BOX, cell)
+    common = by if shared else ()
+    pairs = grid_join(road_boxes(roads), tracts.select(*common, "tid", *_TRACT_BOX), ("rx0", "rx1", "ry0", "ry1"), _TRACT_BOX, cell, by=common)
     share = planar.clip_to_box(*(F.col(c) for c in ("ax", "ay", "dx", "dy", "x0", "x1", "y0", "y1")))
     pairs = pairs.withColumn("len", share * planar.length(F.col("dx"), F.col("dy")))
     return pairs.groupBy("tid", *by).agg(F.sum(F.when(F.col("mapped"), F.col("len")).otherwise(0.0)).alias("ov_len"), F.sum(F.when(~F.col("mapped"), F.col("len")).otherwise(0.0)).alias("tiger_len"))
 
 
-def polygon_lengths(polygons: DataFrame, roads: DataFrame, cell: float = CELL) -> DataFrame:
-    """The same for polygons given as edges, with a box."""
-    pairs = grid_join(road_boxes(roads), polygons.select("tid", "edges", *_TRACT_BOX), ("rx0", "rx1", "ry0", "ry1"), _TRACT_BOX, cell)
+def polygon_lengths(polygons: DataFrame, roads: DataFrame, cell: float = CELL, by: tuple[str, ...] = ()) -> DataFrame:
+    """The same for polygons (tid, edges, box). Candidates are pairs of a road and a polygon's box; the polygon's edges join them
+    by id, once a pair, and the groups are then where they are needed. ``by``: keys that roads and polygons share, as a variant."""
+    keys = [*by, "tid"]
+    boxes = polygons.select(*keys, *_TRACT_BOX)
+    pairs = grid_join(road_boxes(roads.select(*by, "ax", "ay", "dx", "dy", "mapped")), boxes, ("rx0", "rx1", "ry0", "ry1"), _TRACT_BOX, cell, by=by)
     segment = [F.col(c) for c in ("ax", "ay", "dx", "dy")]
-    pairs = pairs.withColumn("cut", planar.cuts(*segment, F.col("edges")))
-    share = planar.share_inside(*segment, F.col("edges"), F.col("cut"))
-    pairs = pairs.withColumn("len", share * planar.length(F.col("dx"), F.col("dy")))
-    return pairs.groupBy("tid").agg(F.sum(F.when(F.col("mapped"), F.col("len")).otherwise(0.0)).alias("ov_len"), F.sum(F.when(~F.col("mapped"), F.col("len")).otherwise(0.0)).alias("tiger_len"))
+    pairs = pairs.where(planar.clip_to_box(*segment, *(F.col(c) for c in _TRACT_BOX)) > 0).select(*keys, "ax", "ay", "dx", "dy", "mapped")
+    pairs = pairs.join(polygons.select(*keys, "edges"), keys).withColumn("crossed", planar.crossings(*segment, F.col("edges")))
+    pairs = pairs.withColumn("len", planar.share_inside(*segment, F.col("edges"), F.col("crossed")) * planar.length(F.col("dx"), F.col("dy")))
+    return pairs.groupBy(*keys).agg(F.sum(F.when(F.col("mapped"), F.col("len")).otherwise(0.0)).alias("ov_len"), F.sum(F.when(~F.col("mapped"), F.col("len")).otherwise(0.0)).alias("tiger_len"))
+
+
+def with_edges(polygons: DataFrame, rings: str = "rings") -> DataFrame:
+    """Polygons with their edges and box in place of rings."""
+    out = polygons.withColumns({"edges": planar.edges(F.col(rings)), "_box": planar.box_of_rings(F.col(rings))})
+    return out.withColumns({c: F.col(f"_box.{n}") for c, n in zip(_TRACT_BOX, ("xmin", "xmax", "ymin", "ymax"), strict=True)}).drop("_box", rings)
+
+
+#: How a footprint belongs to a polygon.
+SHAPES = {"intersects": planar.polygons_intersect, "covers": planar.polygon_covers}
+
+
+def footprint_counts(polygons: DataFrame, footprints: DataFrame, how: str, cell: float = CELL) -> DataFrame:
+    """(tid, ov_cnt, ms_cnt) of footprints (bid, edges, box, in_mapped, in_ref) in polygons (tid, edges, box).
+
+    Candidates carry ids and boxes only; both geometries join them by id, since most of a geometry's candidates fall to its box.
+    """
+    names = dict(zip(_TRACT_BOX, ("bx0", "bx1", "by0", "by1"), strict=True))
+    small = footprints.select("bid", *(F.col(c).alias(n) for c, n in names.items()))
+    pairs = grid_join(small, polygons.select("tid", *_TRACT_BOX), tuple(names.values()), _TRACT_BOX, cell).select("bid", "tid")
+    both = pairs.join(footprints.select("bid", F.col("edges").alias("part"), "in_mapped", "in_ref"), "bid").join(polygons.select("tid", "edges"), "tid")
+    return both.where(SHAPES[how](F.col("edges"), F.col("part"))).groupBy("tid").agg(F.count_if("in_mapped").alias("ov_cnt"), F.count_if("in_ref").alias("ms_cnt"))
+
+
+#: Kinds of places by their primary category (fixed values).
+CATEGORIES = {"fire": ("fire_department",), "ems": ("ambulance_and_ems_services",), "schools": ("elementary_school", "middle_school", "high_school", "school", "private_school", "public_school")}
+
+
+def kind_of(category: Column) -> Column:
+    """A place's kind; NULL for categories that count as establishments only."""
+    out = F.lit(None).cast("string")
+    for kind, names in CATEGORIES.items():
+        out = F.when(category.isin(*names), F.lit(kind)).otherwise(out)
+    return out
+
+
+def placed(polygons: DataFrame, places: DataFrame, cell: float = CELL) -> DataFrame:
+    """Places (px, py and others) with the polygon that contains them; those in none or on a boundary are left out."""
+    pairs = grid_join(places, polygons.select("tid", "edges", *_TRACT_BOX), ("px", "px", "py", "py"), _TRACT_BOX, cell)
+    return pairs.where(planar.contains(F.col("px"), F.col("py"), F.col("edges"))).select("tid", *places.columns)
 
 
 def transport_gap(tracts: DataFrame, roads: DataFrame, classes: tuple[str, ...] | None = ("primary",), cell: float = CELL, digits: int | None = 3) -> DataFrame:

@@ -31,13 +31,14 @@ def with_cells(df: DataFrame, box: tuple[str, str, str, str], cell: float, lead:
     return df.withColumn("cj", F.explode(F.sequence(F.col(f"{lead}j"), planar.cell(y1, cell))))
 
 
-def grid_join(left: DataFrame, right: DataFrame, left_box: tuple[str, str, str, str], right_box: tuple[str, str, str, str], cell: float, predicate: Column | None = None) -> DataFrame:
-    """Inner join of rows whose closed boxes overlap and that meet the predicate. Column names must differ between sides."""
-    clash = set(left.columns) & set(right.columns)
+def grid_join(left: DataFrame, right: DataFrame, left_box: tuple[str, str, str, str], right_box: tuple[str, str, str, str], cell: float, predicate: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Inner join of rows whose closed boxes overlap and that meet the predicate. Column names must differ between sides, but for
+    those in ``by``, which must be equal (a variant's name, a region)."""
+    clash = (set(left.columns) & set(right.columns)) - set(by)
     if clash:
         raise ValueError(f"both sides have columns {sorted(clash)}")
     a, b = with_cells(left, left_box, cell, "_l"), with_cells(right, right_box, cell, "_r")
-    joined = a.join(b, ["ci", "cj"])
+    joined = a.join(b, ["ci", "cj", *by])
     first = (F.col("ci") == F.greatest("_li", "_ri")) & (F.col("cj") == F.greatest("_lj", "_rj"))
     (lx0, lx1, ly0, ly1), (rx0, rx1, ry0, ry1) = (tuple(F.col(c) for c in box) for box in (left_box, right_box))
     overlap = (lx0 <= rx1) & (lx1 >= rx0) & (ly0 <= ry1) & (ly1 >= ry0)

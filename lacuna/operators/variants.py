@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crs, planar
@@ -38,23 +38,23 @@ SWEEP = (
 )
 
 
-def segmentize(roads: DataFrame, longest: float) -> DataFrame:
-    """Segments cut into equal parts no longer than ``longest``, with their number ``part``."""
+def segmentize(roads: DataFrame, longest: float | Column) -> DataFrame:
+    """Segments cut into equal parts no longer than ``longest`` (whole where it is NULL), with their number ``part``."""
     n = planar.pieces(F.col("dx"), F.col("dy"), longest)
     out = roads.withColumn("_n", n).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     step = {c: F.col(c) / F.col("_n") for c in ("dx", "dy")}
     return out.withColumns({"ax": F.col("ax") + F.col("part") * step["dx"], "ay": F.col("ay") + F.col("part") * step["dy"], **step}).drop("_n")
 
 
-def snap_roads(roads: DataFrame, grid: float) -> DataFrame:
-    """Both ends on the grid; segments that vanish are dropped."""
+def snap_roads(roads: DataFrame, grid: float | Column) -> DataFrame:
+    """Both ends on the grid (as they are where it is NULL); segments that vanish are dropped."""
     s = lambda c: planar.snap(c, grid)
     bx, by = s(F.col("ax") + F.col("dx")), s(F.col("ay") + F.col("dy"))
     ax, ay = s(F.col("ax")), s(F.col("ay"))
     return roads.withColumns({"ax": ax, "ay": ay, "dx": bx - ax, "dy": by - ay}).where("dx <> 0 OR dy <> 0")
 
 
-def snap_tracts(tracts: DataFrame, grid: float) -> DataFrame:
+def snap_tracts(tracts: DataFrame, grid: float | Column) -> DataFrame:
     return tracts.withColumns({c: planar.snap(F.col(c), grid) for c in ("x0", "x1", "y0", "y1")})
 
 
@@ -71,13 +71,24 @@ def transport(tracts: DataFrame, roads: DataFrame, v: Variant, classes: tuple[st
     return gaps.with_gap(tracts, lengths, "ov_len", "tiger_len", "transport_gap").select("tid", "region", "ov_len", "tiger_len", "transport_gap")
 
 
-def sweep(tracts: DataFrame, roads: DataFrame, variants: tuple[Variant, ...] = SWEEP, run: Callable = transport) -> DataFrame:
-    """All variants in one plan, tagged by name; the scans are shared, and one job runs them side by side."""
-    out = None
-    for v in variants:
-        own = run(tracts, roads, v).withColumn("variant", F.lit(v.name))
-        out = own if out is None else out.unionByName(own)
-    return out
+def sweep(tracts: DataFrame, roads: DataFrame, variants: tuple[Variant, ...] = SWEEP, classes: tuple[str, ...] = ("primary",)) -> DataFrame:
+    """All variants in one plan, tagged by name: one scan of each layer makes a row for each geometry (variants that only round
+    lengths share one), one join on (geometry, cell) clips them all, and lengths are then rounded for each variant."""
+    shape = lambda v: (v.snap_roads, v.snap_tracts, v.longest)
+    shapes = list(dict.fromkeys(map(shape, variants)))
+    kind = "struct<geom:int,snap_roads:double,snap_tracts:double,longest:double>"
+    each = F.explode(F.array(*(F.struct(F.lit(k), *(F.lit(x).cast("double") for x in s)).cast(kind) for k, s in enumerate(shapes))))
+    spread_ = lambda df: df.withColumn("_g", each).select("*", "_g.*").drop("_g")
+    r = spread_(roads.where(F.col("class").isin(*classes)).select("ax", "ay", "dx", "dy", "mapped"))
+    r = snap_roads(segmentize(r, F.col("longest")), F.col("snap_roads")).select("geom", "ax", "ay", "dx", "dy", "mapped")
+    t = snap_tracts(spread_(tracts.select("tid", "x0", "x1", "y0", "y1")), F.col("snap_tracts")).select("geom", "tid", "x0", "x1", "y0", "y1")
+    lengths = gaps.road_lengths(t, r, by=("geom",), shared=True)
+    named = lambda v: F.struct(F.lit(v.name).alias("variant"), F.lit(shapes.index(shape(v))).alias("geom"), F.lit(3 if v.round_lengths is None else v.round_lengths).alias("digits"))
+    every = tracts.select("tid", "region").withColumn("_v", F.explode(F.array(*map(named, variants)))).select("tid", "region", "_v.*").join(lengths, ["geom", "tid"], "left")
+    rounded = lambda c: F.coalesce(F.coalesce(*(F.when(F.col("digits") == n, F.round(c, n)) for n in sorted({3 if v.round_lengths is None else v.round_lengths for v in variants}))), F.lit(0.0))
+    every = every.withColumns({c: rounded(c) for c in ("ov_len", "tiger_len")})
+    every = every.withColumn("transport_gap", planar.ratio_gap(F.col("ov_len"), F.col("tiger_len")))
+    return every.select("tid", "region", "ov_len", "tiger_len", "transport_gap", "variant")
 
 
 def isolated(tracts: DataFrame, roads: DataFrame, variants: tuple[Variant, ...], write: Callable[[DataFrame, str], None]) -> dict[str, str]:

@@ -70,3 +70,93 @@ score AS MATERIALIZED (SELECT *, CAST(transport_gap IS NOT NULL AS INT) + CAST(b
 
 def over(select: str, *more: str, measures: bool = False) -> str:
     return "WITH " + ", ".join([LAYERS, *([MEASURES] if measures else []), *more]) + "\n" + select
+
+
+# ---- projections, apart from functions/crs.py: other forms of the same formulas, their constants computed in SQL
+
+_ALBERS = {"5070": 23.0, "6350": 23.0, "102003": 37.5}
+_E2 = "(2 / 298.257222101e0 - 1 / (298.257222101e0 * 298.257222101e0))"
+
+
+def _authalic(sine: str, e2: str = "e2") -> str:
+    return f"((1 - {e2}) * ({sine} / (1 - {e2} * {sine} * {sine}) + atanh(sqrt({e2}) * {sine}) / sqrt({e2})))"
+
+
+def _parallel(degrees: float) -> str:
+    return f"(cos(radians({degrees}e0)) / sqrt(1 - e2 * sin(radians({degrees}e0)) * sin(radians({degrees}e0))))"
+
+
+#: One row for each conic projection: cone constant, c and the radius of its origin.
+CONES = f"""cone0 AS (SELECT unnest(['{"', '".join(_ALBERS)}']) AS crs, unnest([{", ".join(f"{v}e0" for v in _ALBERS.values())}]) AS lat0, {_E2} AS e2),
+cone1 AS (SELECT *, (power({_parallel(29.5)}, 2) - power({_parallel(45.5)}, 2)) / ({_authalic("sin(radians(45.5e0))")} - {_authalic("sin(radians(29.5e0))")}) AS n, {_authalic("sin(radians(lat0))")} AS q0 FROM cone0),
+cone2 AS (SELECT *, power({_parallel(29.5)}, 2) + n * {_authalic("sin(radians(29.5e0))")} AS c FROM cone1),
+cone AS MATERIALIZED (SELECT crs, e2, n, c, 6378137e0 * sqrt(c - n * q0) / n AS rho0 FROM cone2)"""
+
+
+def planar_of(table: str, crs: str = "t.crs") -> str:
+    """A table with lon and lat (and crs), with px and py beside them."""
+    rho = f"(6378137e0 * sqrt(cone.c - cone.n * {_authalic('sin(radians(lat))', 'cone.e2')}) / cone.n)"
+    turn = "(cone.n * radians(lon + 96e0))"
+    flat = f"{crs} = '3857'"
+    return f"SELECT t.*, CASE WHEN {flat} THEN lon * 20037508.342789244e0 / 180 ELSE {rho} * sin({turn}) END AS px, CASE WHEN {flat} THEN 6378137e0 * asinh(tan(radians(lat))) ELSE cone.rho0 - {rho} * cos({turn}) END AS py FROM {table} t LEFT JOIN cone ON cone.crs = {crs}"
+
+
+_NAD = {"op3": (-1, -1, 1), "op2": (2, 0, -4)}
+
+
+def moved(table: str, columns: str) -> str:
+    """A table's points (lon, lat) on the datum that ``shift`` names: to geocentric, and back by iteration."""
+    step = lambda k: f"atan2(gz + {_E2} * 6378137e0 / sqrt(1 - {_E2} * sin(f{k}) * sin(f{k})) * sin(f{k}), gp) AS f{k + 1}"
+    cases = lambda i: "CASE shift " + " ".join(f"WHEN '{n}' THEN {v[i]}e0" for n, v in _NAD.items()) + " END"
+    w2 = "(2 / 298.257223563e0 - 1 / (298.257223563e0 * 298.257223563e0))"
+    nu = f"(6378137e0 / sqrt(1 - {w2} * power(sin(radians(lat)), 2)))"
+    return f"""SELECT {columns}, CASE WHEN shift IS NULL THEN lon ELSE degrees(atan2(gy, gx)) END AS lon, CASE WHEN shift IS NULL THEN lat ELSE degrees(f5) END AS lat FROM (
+  SELECT *, {nu} * cos(radians(lat)) * cos(radians(lon)) + {cases(0)} AS gx, {nu} * cos(radians(lat)) * sin(radians(lon)) + {cases(1)} AS gy, {nu} * (1 - {w2}) * sin(radians(lat)) + {cases(2)} AS gz,
+    sqrt(gx * gx + gy * gy) AS gp, atan2(gz, gp * (1 - {_E2})) AS f0, {", ".join(map(step, range(5)))} FROM {table})"""
+
+
+def metre_gaps(settings) -> str:
+    """CTEs that end in ``metre_gap`` (variant, tid, region, ov_len, tiger_len, transport_gap): corners are rounded, moved, projected and
+    snapped; a road's part is clipped by the four edges of its tract as half-planes."""
+    none = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{float(v)!r}e0" if "e" not in repr(float(v)) else f"CAST({float(v)!r} AS DOUBLE)"
+    rows = ", ".join(f"({', '.join(none(v) for v in (s.name, s.crs, s.degrees, s.rounded, s.shift, s.snap, s.longest))})" for s in settings)
+    grid = lambda c, by: f"round_even({c} / {by}, 0) * {by}"
+    on = lambda c: f"CASE WHEN degrees IS NOT NULL AND rounded IN ('both', layer) THEN {grid(c, 'degrees')} ELSE {c} END AS {c}"
+    snapped = lambda c, n: f"CASE WHEN snap IS NULL THEN {c} ELSE {grid(c, 'snap')} END AS {n}"
+    lon, lat = "-100e0 + {} / 1e6", "30e0 + {} / 1e6"
+    ends = " UNION ALL ".join(f"SELECT 'roads' AS layer, rid AS id, {k} AS k, {lon.format(x)} AS lon, {lat.format(y)} AS lat FROM road WHERE class = 'primary'" for k, (x, y) in enumerate((("ax", "ay"), ("(ax + dx)", "(ay + dy)"))))
+    corners = " UNION ALL ".join(f"SELECT 'tracts', tid, {k}, {lon.format(x)}, {lat.format(y)} FROM tract" for k, (x, y) in enumerate((("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))))
+    s, d = ((lambda k, f=f: f.format(x=f"x{k}", y=f"y{k}", u=f"x{(k + 1) % 4}", v=f"y{(k + 1) % 4}")) for f in ("(({u} - {x}) * (ay - {y}) - ({v} - {y}) * (ax - {x}))", "(({u} - {x}) * dy - ({v} - {y}) * dx)"))
+    enter = ", ".join(f"CASE WHEN {d(k)} > 0 THEN -{s(k)} / {d(k)} WHEN {d(k)} = 0 AND {s(k)} < 0 THEN 2 ELSE 0 END" for k in range(4))
+    leave = ", ".join(f"CASE WHEN {d(k)} < 0 THEN -{s(k)} / {d(k)} ELSE 1 END" for k in range(4))
+    return f"""{CONES},
+setting(variant, crs, degrees, rounded, shift, snap, longest) AS (VALUES {rows}),
+corner AS ({ends} UNION ALL {corners}),
+c1 AS (SELECT variant, crs, shift, snap, longest, layer, id, k, {on("lon")}, {on("lat")} FROM corner, setting),
+c2 AS ({moved("c1", "variant, crs, snap, longest, layer, id, k")}),
+c3 AS MATERIALIZED (SELECT variant, longest, layer, id, k, {snapped("px", "x")}, {snapped("py", "y")} FROM ({planar_of("c2")})),
+line AS (SELECT variant, longest, id AS rid, max(x) FILTER (WHERE k = 0) AS x, max(y) FILTER (WHERE k = 0) AS y, max(x) FILTER (WHERE k = 1) - max(x) FILTER (WHERE k = 0) AS wx, max(y) FILTER (WHERE k = 1) - max(y) FILTER (WHERE k = 0) AS wy FROM c3 WHERE layer = 'roads' GROUP BY ALL),
+cut_ AS (SELECT *, CAST(greatest(1, ceil(coalesce(sqrt(wx * wx + wy * wy) / longest, 1))) AS INT) AS n FROM line),
+part AS MATERIALIZED (SELECT variant, mapped, x + i * wx / n AS ax, y + i * wy / n AS ay, wx / n AS dx, wy / n AS dy FROM (SELECT *, unnest(range(n)) AS i FROM cut_) JOIN road USING (rid)),
+quad AS MATERIALIZED (SELECT variant, id AS tid, {", ".join(f"max({c}) FILTER (WHERE k = {k}) AS {c}{k}" for k in range(4) for c in "xy")}, min(x) AS bx0, max(x) AS bx1, min(y) AS by0, max(y) AS by1 FROM c3 WHERE layer = 'tracts' GROUP BY ALL),
+metre_len AS (SELECT variant, tid, round(sum(CASE WHEN mapped THEN len ELSE 0 END), 3) AS ov_len, round(sum(CASE WHEN mapped THEN 0 ELSE len END), 3) AS tiger_len FROM (
+  SELECT variant, tid, mapped, greatest(0, least(1, {leave}) - greatest(0, {enter})) * sqrt(dx * dx + dy * dy) AS len
+  FROM part JOIN quad USING (variant) WHERE least(ax, ax + dx) <= bx1 AND greatest(ax, ax + dx) >= bx0 AND least(ay, ay + dy) <= by1 AND greatest(ay, ay + dy) >= by0) GROUP BY ALL),
+metre_gap AS MATERIALIZED (SELECT variant, tid, region, coalesce(ov_len, 0) AS ov_len, coalesce(tiger_len, 0) AS tiger_len, {gap("ov_len", "tiger_len")} AS transport_gap FROM (SELECT tid, region, variant FROM tract, setting) LEFT JOIN metre_len USING (variant, tid))"""
+
+
+def geodesic_of(table: str, rounds: int = 7) -> str:
+    """A table with the ellipsoidal distance ``metres`` of (lon1, lat1) and (lon2, lat2): the inverse problem with the series in Helmert's
+    third-flattening form, each round as its own columns."""
+    f = "(1 / 298.257222101e0)"
+    first = f"radians(lon2 - lon1) AS big, atan((1 - {f}) * tan(radians(lat1))) AS u1, atan((1 - {f}) * tan(radians(lat2))) AS u2, big AS l0"
+    steps = []
+    for k in range(rounds):
+        steps.append(
+            f"sqrt(power(cos(u2) * sin(l{k}), 2) + power(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(l{k}), 2)) AS s{k}, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(l{k}) AS c{k}, atan2(s{k}, c{k}) AS w{k}, "
+            f"coalesce(cos(u1) * cos(u2) * sin(l{k}) / nullif(s{k}, 0), 0) AS a{k}, 1 - a{k} * a{k} AS k{k}, coalesce(c{k} - 2 * sin(u1) * sin(u2) / nullif(k{k}, 0), 0) AS m{k}, "
+            f"{f} / 16 * k{k} * (4 + {f} * (4 - 3 * k{k})) AS g{k}, big + (1 - g{k}) * {f} * a{k} * (w{k} + g{k} * s{k} * (m{k} + g{k} * c{k} * (2 * m{k} * m{k} - 1))) AS l{k + 1}"
+        )
+    z = rounds - 1
+    last = f"k{z} * (1 / ((1 - {f}) * (1 - {f})) - 1) AS h, (sqrt(1 + h) - 1) / (sqrt(1 + h) + 1) AS j, (1 + j * j / 4) / (1 - j) AS aa, j * (1 - 3 * j * j / 8) AS bb, bb * s{z} * (m{z} + bb / 4 * (c{z} * (2 * m{z} * m{z} - 1) - bb / 6 * m{z} * (4 * s{z} * s{z} - 3) * (4 * m{z} * m{z} - 3))) AS dd, 6378137e0 * (1 - {f}) * aa * (w{z} - dd) AS metres"
+    return f"SELECT *, {first}, {', '.join(steps)}, {last} FROM {table}"
