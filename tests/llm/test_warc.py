@@ -25,8 +25,18 @@ def test_round_trip(spark, tmp_path):
     for name in ("a.warc", "b.warc.gz"):
         got = [tuple(r) for r in W.read_warc(spark, str(tmp_path / name)).collect()]
         assert [(*g[:6], bytes(g[6])) for g in got] == want
-    with pytest.raises(ValueError):
-        list(W.read_records(io.BytesIO(b"junk\r\n")))
+
+
+def test_malformed_records_end_nothing(spark, tmp_path):
+    good = [W.write_record(f"urn:{i}", f"http://h/{i}", "2026-01-01T00:00:00Z", "response", 200, {}, b"x") for i in range(3)]
+    no_length = b"WARC/1.1\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: many\r\n\r\n"
+    assert [r[3] for r in W.read_records(io.BytesIO(b"junk\r\n"))] == ["malformed"]
+    assert [r[0] for r in W.read_records(io.BytesIO(good[0] + b"junk\r\nmore\r\n" + good[1] + no_length + good[2]))] == ["urn:0", None, "urn:1", None, "urn:2"]
+    assert [r[3] for r in W.read_records(io.BytesIO(good[0] + good[1][:-20]))] == ["response", "malformed"]
+    (tmp_path / "a.warc").write_bytes(b"".join(good))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(good[0]) + b"\x1f\x8b broken")
+    kinds = sorted(r["type"] for r in W.read_warc(spark, str(tmp_path)).collect())
+    assert kinds == ["malformed"] + ["response"] * 4
 
 
 @pytest.mark.parametrize("a,b", [("http://www.A.com:80/x/?utm_source=f&b=1#t", "https://a.com/x?b=1"), ("http://a.com/", "http://a.com"), ("http://a.com/x?ref=q&utm_medium=z", "http://A.com/x/")])
