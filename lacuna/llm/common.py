@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +66,9 @@ class Scratch:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
     def close(self) -> None:
-        self._delete(self.root)
+        """Deletes the folder; after the session's end it is the cluster's to clear."""
+        if self.spark.sparkContext._jsc is not None:
+            self._delete(self.root)
 
 
 #: Scratch folders in use; their tables may still be read lazily by a returned DataFrame.
@@ -76,12 +80,38 @@ def _cleanup() -> None:
     while _kept:
         scratch = _kept.pop()
         try:
-            if scratch.spark.sparkContext._jsc is not None:
-                scratch.close()
+            scratch.close()
         except Exception:  # the JVM is gone: the folder is the cluster's to clear
             return
 
 
+@contextmanager
+def scratch_made(into: list[Scratch]) -> Iterator[None]:
+    """Adds to ``into`` the scratch folders that are made within."""
+    before = len(_kept)
+    try:
+        yield
+    finally:
+        into += _kept[before:]
+
+
+def release(made: list[Scratch]) -> None:
+    """Removes these folders' tables before the process ends: for callers that wrote what they read from them."""
+    while made:
+        scratch = made.pop()
+        scratch.close()
+        _kept.remove(scratch)
+
+
+def numbered(docs: DataFrame, scratch: Scratch, **columns: str) -> DataFrame:
+    """The rows of ``docs`` as a struct (_row), a number of each row's own (row) and some of their columns under given names.
+
+    The table is written once, so the numbers hold; a text stands in it once, and scans read only the fields that are named.
+    """
+    rows = scratch.save(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("row")), "rows")
+    return rows.select("_row", "row", *(F.col("_row").getField(c).alias(name) for name, c in columns.items()))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

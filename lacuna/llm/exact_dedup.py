@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Scratch
+from .common import WHITE, Scratch, numbered
 
 #: Distinct digests in a shard of the index, about.
 SHARD = 20_000
@@ -196,7 +196,7 @@ def by_arrival(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, Data
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns. Of a class of equal texts it is the row that the class names, whatever
     repeats in ids and texts: rows are numbered in a written table, so the numbers hold."""
-    rows = Scratch(docs.sparkSession, "exact").save(docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "rows")
+    rows = numbered(docs, Scratch(docs.sparkSession, "exact"), id=id_col, text=text_col)
     kept = exact_duplicates(*by_arrival(rows, "id"), "id", "text", row_col="row").where("kept").select("row")
     return rows.select("row", "_row").join(kept, "row", "left_semi").select("_row.*")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, numbered
 
 WEIGHTS, REPEATS, SEED = (1, 2, 3), 3, "mix"
 #: About so many documents are ordered in one bucket of a pattern; a bucket's name are leading hexadecimal digits, of which
@@ -235,12 +235,11 @@ def take(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", te
     Sources may overlap (an array column). Rows are numbered in a written table and joined by that number, once. Of rows that
     share id, text and sources those with lower numbers are taken first. Texts without words are never taken.
     """
-    scratch = Scratch(docs.sparkSession, "taking")
-    named = {"id": F.col(id_col), "text": F.col(text_col), "source": F.col(source_col), "row": F.monotonically_increasing_id()}
-    rows = scratch.save(docs.select(F.struct(*docs.columns).alias("_row"), *(c.alias(k) for k, c in named.items())), "rows")
+    rows = numbered(docs, Scratch(docs.sparkSession, "taking"), id=id_col, text=text_col, source=source_col)
     told = mix(rows, source_col="source", id_col="id", text_col="text", row_col="row", **options).where("taken > 0").select("row", "size", "taken")
     kind = rows.schema["_row"].dataType.simpleString()
-    out = rows.select("row", "_row", "text").join(told, "row").select("_row", "text", "size", "taken").mapInArrow(_copies, f"_row {kind}, text string")
+    # the text is taken out of the row after the join, so that the shuffle carries it once
+    out = rows.select("row", "_row").join(told, "row").select("_row", F.col("_row").getField(text_col).alias("text"), "size", "taken").mapInArrow(_copies, f"_row {kind}, text string")
     new = {text_col: F.col("text")} | ({length_col: F.length("text").cast("long")} if length_col in docs.columns else {})
     return out.select(*(new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
 

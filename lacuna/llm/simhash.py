@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, numbered
 from .components import connected_components
 
 #: Generator of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -470,9 +470,7 @@ class _Near:
 
     def __init__(self, docs: DataFrame, size: int, similarity: float, id_col: str, text_col: str, bucket: int):
         self.scratch, self.size, self.similarity, self.bucket = Scratch(docs.sparkSession, "near"), size, similarity, bucket
-        row = F.struct(*docs.columns)
-        # written once, so that the numbers hold: they name rows, whatever repeats in them
-        self.base = self.scratch.save(docs.select(row.alias("_row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "base")
+        self.base = numbered(docs, self.scratch, id=id_col, text=text_col)
         self.texts = self.base.select("row", "text")
         own = self.texts.mapInArrow(_looks(size, similarity, *_common(self.texts, size)), "row long, fps array<long>, look binary, shingles long, first array<long>")
         self.looks = self.scratch.save(own, "looks")
