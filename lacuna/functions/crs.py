@@ -109,7 +109,7 @@ def shifted(lon: str, lat: str, shift: tuple[float, float, float], source: tuple
     return f"degrees(atan2({y}, {x}))", lat2
 
 
-def geodesic(columns: tuple[str, str, str, str], rounds: int = 4, ellipsoid: tuple[float, float] = GRS80) -> list[tuple[str, str]]:
+def geodesic(columns: tuple[str, str, str, str], rounds: int = 5, ellipsoid: tuple[float, float] = GRS80) -> list[tuple[str, str]]:
     """Steps (name, expression) that end in ``metres``: Vincenty's inverse from (lon1, lat1) to (lon2, lat2).
 
     Each step uses the ones before it; ``rounds`` suffice for distances of a few hundred kilometres.

@@ -69,8 +69,11 @@ def placeholder_check(df: DataFrame, targets: dict[str, float]) -> DataFrame:
     return out.withColumn("within", F.abs("diff") < F.lit(0.5e-6) * F.col("n_rows"))
 
 
-def format_checks(df: DataFrame, key: str, score: str, rows: int, width: int) -> DataFrame:
-    """(check_name, ok) of an export, in one pass: text keys of a width, digits, no repeats, no blanks, range, rows, leading zeros."""
+def format_checks(df: DataFrame, key: str, score: str, rows: int | DataFrame, width: int) -> DataFrame:
+    """(check_name, ok) of an export, in one pass: text keys of a width, digits, no repeats, no blanks, range, rows, leading zeros.
+
+    ``rows``: how many are due, or the table that has them, which is counted in the same plan.
+    """
     k, s = F.col(key), F.col(score)
     checks = {
         "key_width": F.bool_and(F.length(k) == width),
@@ -78,11 +81,13 @@ def format_checks(df: DataFrame, key: str, score: str, rows: int, width: int) ->
         "key_unique": F.count(k) == F.count_distinct(k),
         "no_nulls": F.count_if(k.isNull() | s.isNull()) == 0,
         "in_range": F.bool_and(s.between(0, 1)),
-        "row_count": F.count(F.lit(1)) == rows,
+        "row_count": F.count(F.lit(1)) == (rows if isinstance(rows, int) else F.max("_due")),
         "leading_zero": F.bool_or(F.startswith(k, F.lit("0"))),
         "six_places": F.bool_and(F.abs(s * 1e6 - F.round(s * 1e6)) < 1e-3),
         "not_constant": F.min(s) < F.max(s),
     }
+    if not isinstance(rows, int):
+        df = df.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("_due"))))  # one row
     wide = df.agg(*(F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()))
     return wide.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check_name"), F.col(n).alias("ok")) for n in checks))).alias("r")).select("r.*")
 
@@ -172,6 +177,11 @@ def rows_from_rmse(base: Column, moved: Column, d: Column) -> Column:
     return F.try_divide(d * d, moved * moved - base * base)
 
 
+def implied_component(component: Column, k: Column, error: Column) -> Column:
+    """A component's value in the reference, if the error of the composite, a mean of k components, is all its own."""
+    return component + k * error
+
+
 def error_budget(df: DataFrame, pred: str, ref: str) -> DataFrame:
     """Sum of errors and of absolute errors, the largest, and its share."""
     e = F.col(pred) - F.col(ref)

@@ -45,6 +45,7 @@ def clipped(where: str = "true") -> str:
 
 PAIRS = {
     "centroid": "cx >= x0 AND cx < x1 AND cy >= y0 AND cy < y1",
+    "centroid_inside": "cx > x0 AND cx < x1 AND cy > y0 AND cy < y1",
     "intersects": "cx - half <= x1 AND cx + half >= x0 AND cy - half <= y1 AND cy + half >= y0",
     "within": "cx - half >= x0 AND cx + half <= x1 AND cy - half >= y0 AND cy + half <= y1",
 }
@@ -101,6 +102,26 @@ def planar_of(table: str, crs: str = "t.crs") -> str:
     return f"SELECT t.*, CASE WHEN {flat} THEN lon * 20037508.342789244e0 / 180 ELSE {rho} * sin({turn}) END AS px, CASE WHEN {flat} THEN 6378137e0 * asinh(tan(radians(lat))) ELSE cone.rho0 - {rho} * cos({turn}) END AS py FROM {table} t LEFT JOIN cone ON cone.crs = {crs}"
 
 
+def both_ends(table: str, crs: str, keep: str) -> str:
+    """(keep, px1, py1, px2, py2) of a table's segments from (lon1, lat1) to (lon2, lat2)."""
+    one = planar_of(f"(SELECT {keep}, lon1 AS lon, lat1 AS lat, lon2, lat2 FROM {table})", f"'{crs}'")
+    two = planar_of(f"(SELECT {keep}, px AS px1, py AS py1, lon2 AS lon, lat2 AS lat FROM ({one}))", f"'{crs}'")
+    return f"SELECT {keep}, px1, py1, px AS px2, py AS py2 FROM ({two})"
+
+
+def deltas() -> str:
+    """Each setting's total beside the base, from ``metre_gap``."""
+    return """SELECT variant, coalesce(CAST(sum(CAST(round(g * 1e6) AS BIGINT)) AS BIGINT), 0) / 1e6 AS total, count(*) FILTER (WHERE abs(g - b) > 1e-6) AS n_changed, round(max(abs(g - b)), 6) AS max_delta
+  FROM (SELECT m.variant, m.transport_gap AS g, base.transport_gap AS b FROM metre_gap m JOIN metre_gap base ON base.variant = 'base' AND base.tid = m.tid) GROUP BY variant"""
+
+
+def _chain(table: str, steps: list[str]) -> str:
+    """A table with columns added step by step, each as a level of its own: an alias used beside its definition is written out anew."""
+    for step in steps:
+        table = f"(SELECT *, {step} FROM {table})"
+    return table
+
+
 _NAD = {"op3": (-1, -1, 1), "op2": (2, 0, -4)}
 
 
@@ -110,9 +131,9 @@ def moved(table: str, columns: str) -> str:
     cases = lambda i: "CASE shift " + " ".join(f"WHEN '{n}' THEN {v[i]}e0" for n, v in _NAD.items()) + " END"
     w2 = "(2 / 298.257223563e0 - 1 / (298.257223563e0 * 298.257223563e0))"
     nu = f"(6378137e0 / sqrt(1 - {w2} * power(sin(radians(lat)), 2)))"
-    return f"""SELECT {columns}, CASE WHEN shift IS NULL THEN lon ELSE degrees(atan2(gy, gx)) END AS lon, CASE WHEN shift IS NULL THEN lat ELSE degrees(f5) END AS lat FROM (
-  SELECT *, {nu} * cos(radians(lat)) * cos(radians(lon)) + {cases(0)} AS gx, {nu} * cos(radians(lat)) * sin(radians(lon)) + {cases(1)} AS gy, {nu} * (1 - {w2}) * sin(radians(lat)) + {cases(2)} AS gz,
-    sqrt(gx * gx + gy * gy) AS gp, atan2(gz, gp * (1 - {_E2})) AS f0, {", ".join(map(step, range(5)))} FROM {table})"""
+    to = f"{nu} * cos(radians(lat)) * cos(radians(lon)) + {cases(0)} AS gx, {nu} * cos(radians(lat)) * sin(radians(lon)) + {cases(1)} AS gy, {nu} * (1 - {w2}) * sin(radians(lat)) + {cases(2)} AS gz"
+    there = _chain(table, [to, "sqrt(gx * gx + gy * gy) AS gp", f"atan2(gz, gp * (1 - {_E2})) AS f0", *map(step, range(5))])
+    return f"SELECT {columns}, CASE WHEN shift IS NULL THEN lon ELSE degrees(atan2(gy, gx)) END AS lon, CASE WHEN shift IS NULL THEN lat ELSE degrees(f5) END AS lat FROM {there}"
 
 
 def metre_gaps(settings) -> str:
@@ -149,14 +170,21 @@ def geodesic_of(table: str, rounds: int = 7) -> str:
     """A table with the ellipsoidal distance ``metres`` of (lon1, lat1) and (lon2, lat2): the inverse problem with the series in Helmert's
     third-flattening form, each round as its own columns."""
     f = "(1 / 298.257222101e0)"
-    first = f"radians(lon2 - lon1) AS big, atan((1 - {f}) * tan(radians(lat1))) AS u1, atan((1 - {f}) * tan(radians(lat2))) AS u2, big AS l0"
-    steps = []
+    steps = [f"radians(lon2 - lon1) AS big, atan((1 - {f}) * tan(radians(lat1))) AS u1, atan((1 - {f}) * tan(radians(lat2))) AS u2", "big AS l0"]
     for k in range(rounds):
-        steps.append(
-            f"sqrt(power(cos(u2) * sin(l{k}), 2) + power(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(l{k}), 2)) AS s{k}, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(l{k}) AS c{k}, atan2(s{k}, c{k}) AS w{k}, "
-            f"coalesce(cos(u1) * cos(u2) * sin(l{k}) / nullif(s{k}, 0), 0) AS a{k}, 1 - a{k} * a{k} AS k{k}, coalesce(c{k} - 2 * sin(u1) * sin(u2) / nullif(k{k}, 0), 0) AS m{k}, "
-            f"{f} / 16 * k{k} * (4 + {f} * (4 - 3 * k{k})) AS g{k}, big + (1 - g{k}) * {f} * a{k} * (w{k} + g{k} * s{k} * (m{k} + g{k} * c{k} * (2 * m{k} * m{k} - 1))) AS l{k + 1}"
-        )
+        steps += [
+            f"sqrt(power(cos(u2) * sin(l{k}), 2) + power(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(l{k}), 2)) AS s{k}, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(l{k}) AS c{k}",
+            f"atan2(s{k}, c{k}) AS w{k}, coalesce(cos(u1) * cos(u2) * sin(l{k}) / nullif(s{k}, 0), 0) AS a{k}",
+            f"1 - a{k} * a{k} AS k{k}",
+            f"coalesce(c{k} - 2 * sin(u1) * sin(u2) / nullif(k{k}, 0), 0) AS m{k}, {f} / 16 * k{k} * (4 + {f} * (4 - 3 * k{k})) AS g{k}",
+            f"big + (1 - g{k}) * {f} * a{k} * (w{k} + g{k} * s{k} * (m{k} + g{k} * c{k} * (2 * m{k} * m{k} - 1))) AS l{k + 1}",
+        ]
     z = rounds - 1
-    last = f"k{z} * (1 / ((1 - {f}) * (1 - {f})) - 1) AS h, (sqrt(1 + h) - 1) / (sqrt(1 + h) + 1) AS j, (1 + j * j / 4) / (1 - j) AS aa, j * (1 - 3 * j * j / 8) AS bb, bb * s{z} * (m{z} + bb / 4 * (c{z} * (2 * m{z} * m{z} - 1) - bb / 6 * m{z} * (4 * s{z} * s{z} - 3) * (4 * m{z} * m{z} - 3))) AS dd, 6378137e0 * (1 - {f}) * aa * (w{z} - dd) AS metres"
-    return f"SELECT *, {first}, {', '.join(steps)}, {last} FROM {table}"
+    steps += [
+        f"k{z} * (1 / ((1 - {f}) * (1 - {f})) - 1) AS h",
+        "(sqrt(1 + h) - 1) / (sqrt(1 + h) + 1) AS j",
+        "(1 + j * j / 4) / (1 - j) AS aa, j * (1 - 3 * j * j / 8) AS bb",
+        f"bb * s{z} * (m{z} + bb / 4 * (c{z} * (2 * m{z} * m{z} - 1) - bb / 6 * m{z} * (4 * s{z} * s{z} - 3) * (4 * m{z} * m{z} - 3))) AS dd",
+        f"6378137e0 * (1 - {f}) * aa * (w{z} - dd) AS metres",
+    ]
+    return f"SELECT * FROM {_chain(table, steps)}"

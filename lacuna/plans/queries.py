@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crs, planar
-from ..operators import gaps, reports, variants
+from ..operators import gaps, metres, reports, variants
 from ..operators.spatial_join import grid_join
 from ..sources import tables
 from ..streaming.incremental import windowed_gap
@@ -54,7 +54,7 @@ def _building(how: str, name: str) -> None:
     query(over(_BUILDING, f"c AS ({oracles.counts(how)})"))(run)
 
 
-for _how in ("centroid", "intersects", "within"):
+for _how in ("centroid", "centroid_inside", "intersects", "within"):
     _building(_how, f"building_gap_{_how}")
 
 
@@ -200,8 +200,7 @@ def placeholder_validation(spark, root):
   FROM (SELECT lpad(CAST(tid AS VARCHAR), 11, '0') AS g, round(coverage_gap_score, 6) AS s FROM score)""", measures=True))
 def format_checks(spark, root):
     s = _scores(spark, root).select(F.lpad(F.col("tid").cast("string"), 11, "0").alias("GEOID"), r6("coverage_gap_score"))
-    n = tables.tracts(spark, root).count()
-    return reports.format_checks(s, "GEOID", "coverage_gap_score", n, 11)
+    return reports.format_checks(s, "GEOID", "coverage_gap_score", tables.read(spark, root, "customer", ["c_custkey"]), 11)
 
 
 @query(over("SELECT count(d) AS n, round(median(d), 6) AS median_diff, round(max(d), 6) AS max_diff, round(avg(CAST(d <= 1e-6 AS INT)), 6) AS exact_share, count(*) FILTER (WHERE (a IS NULL) <> (b IS NULL)) AS n_undefined_differs FROM (SELECT poi_gap AS a, (poi_gap_fire + poi_gap_ems + poi_gap_schools) / 3 AS b, abs(poi_gap - (poi_gap_fire + poi_gap_ems + poi_gap_schools) / 3) AS d FROM score)", measures=True))
@@ -212,6 +211,23 @@ def formula_consistency(spark, root):
     return out.select("n", r6("median_diff"), r6("max_diff"), r6("exact_share"), "n_undefined_differs")
 
 
+_PARTS = ", ".join(f"round({c}, 6) AS {c}" for c in _GAPS[:3])
+
+
+@query(over(f"""SELECT count(d) AS n, round(median(d), 8) AS median_diff, round(max(d), 8) AS max_diff, round(avg(CAST(d <= 1e-6 AS INT)), 6) AS exact_share, count(*) FILTER (WHERE (a IS NULL) <> (b IS NULL)) AS n_undefined_differs FROM (SELECT a, b, abs(a - b) AS d FROM (
+  SELECT a, (coalesce(transport_gap, 0) + coalesce(building_gap, 0) + coalesce(poi_gap, 0)) / nullif(k, 0) AS b FROM (SELECT round(coverage_gap_score, 6) AS a, k, {_PARTS} FROM score)))""", measures=True))
+def composite_consistency(spark, root):
+    """The published score against the mean of the published components."""
+    s = _scores(spark, root).select(*(r6(c) for c in _GAPS))
+    out = reports.consistency(s, F.col("coverage_gap_score"), planar.mean_of_defined(*(F.col(c) for c in _GAPS[:3])), 1e-6)
+    return out.select("n", F.round("median_diff", 8).alias("median_diff"), F.round("max_diff", 8).alias("max_diff"), r6("exact_share"), "n_undefined_differs")
+
+
+@query(over("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(DISTINCT round({c}, 6)) AS \"distinct\", count(*) FILTER (WHERE {c} = 0) AS zeros FROM score" for c in _GAPS) + ") WHERE nulls > 0", measures=True))
+def undefined_columns(spark, root):
+    return reports.null_profile(_scores(spark, root).select(*(r6(c) for c in _GAPS)), _GAPS, only_nulls=True)
+
+
 @query(over("SELECT 'only_left' AS side, (SELECT count(*) FROM tract WHERE tid NOT IN (SELECT tid FROM poi)) AS n UNION ALL SELECT 'only_right', (SELECT count(DISTINCT tid) FROM poi WHERE tid NOT IN (SELECT tid FROM tract))"))
 def key_set_difference(spark, root):
     return reports.missing_keys(tables.tracts(spark, root), tables.pois(spark, root), "tid")
@@ -273,9 +289,9 @@ def undefined_as_gap_bound(spark, root):
 _DEGREES = "deg AS (SELECT *, -100e0 + ax / 1e6 AS lon1, 30e0 + ay / 1e6 AS lat1, -100e0 + (ax + dx) / 1e6 AS lon2, 30e0 + (ay + dy) / 1e6 AS lat2 FROM road)"
 
 
-def _length_sql(projection) -> str:
-    (x1, y1), (x2, y2) = projection("lon1", "lat1"), projection("lon2", "lat2")
-    return f"SELECT class, count(*) AS n, round(sum(sqrt(power({x2} - {x1}, 2) + power({y2} - {y1}, 2))), 2) AS metres, round(min({x1}), 4) AS x_min, round(max({y2}), 4) AS y_max FROM deg GROUP BY class"
+def _length_sql(code: str) -> str:
+    ends = oracles.both_ends("deg", code, "class")
+    return over(f"SELECT class, count(*) AS n, round(sum(sqrt(power(px2 - px1, 2) + power(py2 - py1, 2))), 2) AS metres, round(min(px1), 4) AS x_min, round(max(py2), 4) AS y_max FROM ({ends}) GROUP BY class", _DEGREES, oracles.CONES)
 
 
 def _projected_length(spark: SparkSession, root: str, projection) -> DataFrame:
@@ -284,28 +300,25 @@ def _projected_length(spark: SparkSession, root: str, projection) -> DataFrame:
     return p.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(metres), 2).alias("metres"), F.round(F.min("px1"), 4).alias("x_min"), F.round(F.max("py2"), 4).alias("y_max"))
 
 
-@query(over(_length_sql(crs.EPSG5070.expressions), _DEGREES))
+@query(_length_sql("5070"))
 def albers_project(spark, root):
     return _projected_length(spark, root, crs.EPSG5070.expressions)
 
 
-@query(over(_length_sql(crs.ESRI102003.expressions), _DEGREES))
+@query(_length_sql("102003"))
 def albers_contiguous_project(spark, root):
     return _projected_length(spark, root, crs.ESRI102003.expressions)
 
 
-@query(over(_length_sql(crs.mercator), _DEGREES))
+@query(_length_sql("3857"))
 def mercator_project(spark, root):
     return _projected_length(spark, root, crs.mercator)
 
 
-def _clipped_sql() -> str:
-    (x1, y1), (x2, y2) = crs.EPSG5070.expressions("lon1", "lat1"), crs.EPSG5070.expressions("lon2", "lat2")
-    metres = f"sqrt(power({x2} - {x1}, 2) + power({y2} - {y1}, 2))"
-    return f"SELECT tid, round(sum(CASE WHEN mapped THEN m ELSE 0 END), 3) AS ov_len, round(sum(CASE WHEN mapped THEN 0 ELSE m END), 3) AS tiger_len FROM (SELECT tid, mapped, {metres} AS m FROM cut) GROUP BY tid"
+_CLIPPED = "SELECT tid, round(sum(CASE WHEN mapped THEN m ELSE 0 END), 3) AS ov_len, round(sum(CASE WHEN mapped THEN 0 ELSE m END), 3) AS tiger_len FROM (SELECT tid, mapped, sqrt(power(px2 - px1, 2) + power(py2 - py1, 2)) AS m FROM ends) GROUP BY tid"
 
 
-@query(over(_clipped_sql(), f"cut AS ({oracles.clipped()})"))
+@query(over(_CLIPPED, f"cut AS ({oracles.clipped()})", oracles.CONES, f"ends AS ({oracles.both_ends('cut', '5070', 'tid, mapped')})"))
 def clip_then_project(spark, root):
     t, _, r, _ = _layers(spark, root)
     out = variants.clipped_then_projected(t, r, crs.EPSG5070.expressions)
@@ -316,7 +329,10 @@ _SHIFT = {name: crs.shifted("lon", "lat", s) for name, s in crs.SHIFTS.items()}
 _POINTS = "pt AS (SELECT tid, -100e0 + x0 / 1e6 AS lon, 30e0 + y0 / 1e6 AS lat FROM tract)"
 
 
-@query(over("SELECT tid, op, round(x, 3) AS x, round(y, 3) AS y FROM (" + " UNION ALL ".join("SELECT tid, op, {} AS x, {} AS y FROM s_{}".format(*crs.EPSG5070.expressions("lon2", "lat2"), n) for n in _SHIFT) + ")", _POINTS, *(f"s_{n} AS MATERIALIZED (SELECT tid, '{n}' AS op, {lon} AS lon2, {lat} AS lat2 FROM pt)" for n, (lon, lat) in _SHIFT.items())))
+_SHIFTED = oracles.moved(f"(SELECT tid, lon, lat, shift FROM pt, (SELECT unnest({list(_SHIFT)!r}) AS shift))", "tid, shift AS op")
+
+
+@query(over("SELECT tid, op, round(px, 3) AS x, round(py, 3) AS y FROM flat", _POINTS, oracles.CONES, f"there AS ({_SHIFTED})", f"flat AS ({oracles.planar_of('there', "'5070'")})"))
 def datum_shift_project(spark, root):
     pt = tables.tracts(spark, root).select("tid", (F.lit(-100.0) + F.col("x0") / 1e6).alias("lon"), (F.lit(30.0) + F.col("y0") / 1e6).alias("lat"))
     out = None
@@ -327,14 +343,7 @@ def datum_shift_project(spark, root):
     return out
 
 
-def _geodesic_sql() -> str:
-    inner = "deg"
-    for name, expression in crs.geodesic(("lon1", "lat1", "lon2", "lat2")):
-        inner = f"(SELECT *, {expression} AS {name} FROM {inner})"
-    return f"SELECT class, mapped, count(*) AS n, round(sum(metres), 2) AS metres FROM {inner} GROUP BY class, mapped"
-
-
-@query(over(_geodesic_sql(), _DEGREES))
+@query(over(f"SELECT class, mapped, count(*) AS n, round(sum(metres), 2) AS metres FROM ({oracles.geodesic_of('deg')}) GROUP BY class, mapped", _DEGREES))
 def geodesic_length(spark, root):
     out = variants.geodesic(variants.degrees(tables.roads(spark, root)))
     return out.groupBy("class", "mapped").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("metres"), 2).alias("metres"))
@@ -357,6 +366,53 @@ def point_in_polygon(spark, root):
     return grid_join(b, shapes, ("cx", "cx", "cy", "cy"), ("x0", "x1", "y0", "y1"), gaps.CELL, inside).groupBy("tid").agg(F.count(F.lit(1)).alias("n_inside"))
 
 
+def _footprints(b: DataFrame) -> DataFrame:
+    cx, cy, half = (F.col(c) for c in ("cx", "cy", "half"))
+    rings = planar.rectangle(cx - half, cx + half, cy - half, cy + half)
+    return gaps.with_edges(b.select("bid", "in_mapped", "in_ref", rings.alias("rings")))
+
+
+_COUNTED = "SELECT tid, count(*) FILTER (WHERE in_mapped) AS ov_cnt, count(*) FILTER (WHERE in_ref) AS ms_cnt FROM building JOIN tract ON "
+
+
+@query(over(_COUNTED + "cx - half <= x1 AND cx + half >= x0 AND cy - half <= y1 AND cy + half >= y0 AND (cx - half <= x0 + 10000 OR cy - half <= y0 + 10000) GROUP BY tid"))
+def footprints_intersect_polygon(spark, root):
+    t, b, *_ = _layers(spark, root)
+    return gaps.footprint_counts(_l_shapes(t), _footprints(b), "intersects")
+
+
+@query(over(_COUNTED + "cx - half >= x0 AND cx + half <= x1 AND cy - half >= y0 AND cy + half <= y1 AND (cx + half <= x0 + 10000 OR cy + half <= y0 + 10000) GROUP BY tid"))
+def footprints_in_polygon(spark, root):
+    t, b, *_ = _layers(spark, root)
+    return gaps.footprint_counts(_l_shapes(t), _footprints(b), "covers")
+
+
+_PLACES = ("fire_department", "ambulance_and_ems_services", "elementary_school", "private_school", "restaurant", None)
+_IN_L = "(cx > x0 AND cx < x1 AND cy > y0 AND cy < y0 + 10000) OR (cx > x0 AND cx < x0 + 10000 AND cy > y0 AND cy < y1)"
+
+
+@query(over(f"SELECT tid, CASE bid % 6 WHEN 0 THEN 'fire' WHEN 1 THEN 'ems' WHEN 2 THEN 'schools' WHEN 3 THEN 'schools' ELSE 'other' END AS kind, count(*) FILTER (WHERE in_mapped) AS mapped, count(*) FILTER (WHERE in_ref) AS ref FROM building JOIN tract ON {_IN_L} GROUP BY 1, 2"))
+def places_by_category(spark, root):
+    """Buildings as places: the polygon that holds each, and its kind by category."""
+    t, b, *_ = _layers(spark, root)
+    category = F.element_at(F.array(*map(F.lit, _PLACES)), (F.col("bid") % 6 + 1).cast("int"))
+    places = b.select(F.col("cx").cast("double").alias("px"), F.col("cy").cast("double").alias("py"), category.alias("category"), "in_mapped", "in_ref")
+    placed = gaps.placed(_l_shapes(t), places).withColumn("kind", F.coalesce(gaps.kind_of(F.col("category")), F.lit("other")))
+    return gaps.poi_counts(placed)
+
+
+@query(over("SELECT tid, -100e0 + x0 / 1e6 AS xmin, -100e0 + x1 / 1e6 AS xmax, 30e0 + y0 / 1e6 AS ymin, 30e0 + y1 / 1e6 AS ymax FROM tract"))
+def geometry_boxes(spark, root):
+    boxed = metres.degree_rings(tables.tracts(spark, root)).select("tid", planar.box_of_rings(F.col("rings")).alias("box"))
+    return boxed.select("tid", *(F.col(f"box.{c}").alias(c) for c in ("xmin", "xmax", "ymin", "ymax")))
+
+
+@query("SELECT count(*) AS n_rows, count(*) AS n_ids, count(*) - 1 AS last_row FROM customer")
+def row_ids(spark, root):
+    c = tables.with_row_ids(tables.read(spark, root, "customer", ["c_custkey", "_metadata"]))
+    return c.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("file", "row").alias("n_ids"), F.max("row").alias("last_row"))
+
+
 # ---- variants
 
 
@@ -412,9 +468,24 @@ def variant_pivot(spark, root):
     return variants.pivot(_swept(spark, root))
 
 
+_KNOWN = {5: 0.0, 17: 0.0, 40: 0.5, 100: 0.25}
+
+
+@query(over("SELECT variant, tid, round(transport_gap, 6) AS transport_gap, round(transport_gap - v, 6) AS diff FROM swept JOIN (VALUES " + ", ".join(f"({k}, {v}e0)" for k, v in _KNOWN.items()) + ") known(k, v) ON k = tid WHERE abs(transport_gap - v) < 0.25", _SWEPT))
+def variant_hits(spark, root):
+    return variants.hits(_swept(spark, root), _KNOWN, 0.25).select("variant", "tid", r6("transport_gap"), r6("diff"))
+
+
 # ---- error metrics
 
 
+@query(over("SELECT tid, CAST(k AS INT) AS k, round(transport_gap + k * CASE WHEN tid % 7 = 0 THEN 0.002e0 ELSE 0 END, 6) AS implied FROM score WHERE transport_gap IS NOT NULL", measures=True))
+def component_backsolve(spark, root):
+    error = F.when(F.col("tid") % 7 == 0, F.lit(0.002)).otherwise(F.lit(0.0))
+    s = _scores(spark, root).where(F.col("transport_gap").isNotNull())
+    return s.select("tid", "k", F.round(reports.implied_component(F.col("transport_gap"), F.col("k"), error), 6).alias("implied"))
+
+
 @query(over("SELECT tid, round(s, 6) AS base, round(s + CASE WHEN s > 0.995 THEN -0.01 ELSE 0.01 END, 6) AS perturbed, s > 0.995 AS flipped FROM (SELECT tid, round(coverage_gap_score, 6) AS s FROM score)", measures=True))
 def perturb_global(spark, root):
     s = _scores(spark, root).select("tid", F.round("coverage_gap_score", 6).alias("base"))
@@ -506,11 +577,11 @@ _T = "greatest(0, least(1, coalesce(((mx - b.ax) * b.dx + (my - b.ay) * b.dy) /
 @query(over(f"""SELECT class, count(*) AS n, count(d) AS n_near, round(avg(d), 3) AS mean_distance FROM (
   SELECT m.rid, m.class, min(sqrt(power(mx - b.ax - {_T} * b.dx, 2) + power(my - b.ay - {_T} * b.dy, 2))) FILTER (WHERE sqrt(power(mx - b.ax - {_T} * b.dx, 2) + power(my - b.ay - {_T} * b.dy, 2)) <= 5000) AS d
   FROM m LEFT JOIN (SELECT * FROM road WHERE mapped) b ON least(b.ax, b.ax + b.dx) <= mx + 5000 AND greatest(b.ax, b.ax + b.dx) >= mx - 5000 AND least(b.ay, b.ay + b.dy) <= my + 5000 AND greatest(b.ay, b.ay + b.dy) >= my - 5000 GROUP BY m.rid, m.class) GROUP BY class""",
-  "m AS MATERIALIZED (SELECT rid, class, ax + dx / 2 AS mx, ay + dy / 2 AS my FROM road WHERE NOT mapped AND class <> 'residential')"))
+  "m AS MATERIALIZED (SELECT rid, class, ax + dx / 2 AS mx, ay + dy / 2 AS my FROM road WHERE NOT mapped)"))
 def road_distance(spark, root):
     r = tables.roads(spark, root)
     # the segment itself names a reference road: equal ones are as far from any other
-    keyed = r.where("NOT mapped AND class <> 'residential'").withColumn("ref_id", F.concat_ws("|", "class", "ax", "ay", "dx", "dy"))
+    keyed = r.where("NOT mapped").withColumn("ref_id", F.concat_ws("|", "class", "ax", "ay", "dx", "dy"))
     refs = keyed.groupBy("ref_id", "class", "ax", "ay", "dx", "dy").agg(F.count(F.lit(1)).alias("copies"))
     near = gaps.nearest_road(r.where("mapped"), refs, 5000)
     out = refs.select("ref_id", "class", "copies").join(near, "ref_id")
