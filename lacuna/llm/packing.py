@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -50,26 +51,42 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 @cache
 def encoder(path: str):
-    """text -> ids, as the tokenizers library's file says.
+    """text -> ids, as the tokenizers library's file says: strings of its special tokens are those tokens.
 
     Where the same vocabulary lies beside it as ranks, tiktoken makes the same ids several times as fast.
     """
+    if not (ranked := _ranks(path)):
+        return file_encoder(path)
+    added = json.loads(Path(path).read_text())["added_tokens"]
+    own, special = ranked({t["content"]: t["id"] for t in added}), [t["content"] for t in added]
+    return lambda text: own.encode(text, allowed_special="all") if any(s in text for s in special) else own.encode_ordinary(text)
+
+
+@cache
+def plain_text_encoder(path: str):
+    """text -> ids, where strings of special tokens are plain text."""
+    return ranked({}).encode_ordinary if (ranked := _ranks(path)) else file_encoder(path, plain=True)
+
+
+def _ranks(path: str):
+    """special tokens -> the encoding of the ranks that lie beside a file; None where there are none."""
     ranks = Path(path).with_suffix(".tiktoken")
-    if ranks.exists():
-        import public_tokenizers
-        import tiktoken
+    if not ranks.exists():
+        return None
+    import public_tokenizers
+    import tiktoken
 
-        pairs = (line.split() for line in ranks.read_bytes().splitlines() if line)
-        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
-        return own.encode_ordinary
-    return plain_encoder(path)
+    pairs = (line.split() for line in ranks.read_bytes().splitlines() if line)
+    own = {base64.b64decode(a): int(b) for a, b in pairs}
+    return lambda special: tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own, special_tokens=special)
 
 
-def plain_encoder(path: str):
+def file_encoder(path: str, plain: bool = False):
+    """text -> ids by the library itself; ``plain``: strings of special tokens are plain text."""
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
+    own.encode_special_tokens = plain
     return lambda text: own.encode(text, add_special_tokens=False).ids
 
 

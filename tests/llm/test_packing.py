@@ -40,7 +40,7 @@ def test_round_trip(spark, block):
     word = lambda: "".join(r.choices("abc déñ日 <|endoftext|>'s 12\n", k=r.randrange(1, 9)))
     rows = [(i, " ".join(word() for _ in range(r.choice([0, 1, 5, 50, 400])))) for i in range(80)]
     rows += [(100, None), (101, ""), (102, "  \n\n \t x"), (103, "x" * 60_000), (104, "<|endoftext|>")]
-    plain = P.plain_encoder(P.vocabulary())
+    plain = P.file_encoder(P.vocabulary())
     out = P.pack_documents(spark.createDataFrame(rows, SCHEMA), size=256, block=block)
     pieces = [tuple(p) for p in out.collect()]
     check(pieces, {d: plain(t or "") + [1] for d, t in rows}, 256)
@@ -49,9 +49,13 @@ def test_round_trip(spark, block):
 
 def test_ids_are_those_of_the_file():
     r = random.Random(2)
-    plain, fast = P.plain_encoder(P.vocabulary()), P.encoder(P.vocabulary())
+    path = P.vocabulary()
     texts = ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 900), r.randrange(0x4E00, 0x4F00), 10, 32, 0x1F600])) for _ in range(300)) for _ in range(60)]
-    assert [plain(t) for t in texts] == [list(fast(t)) for t in texts]
+    end = "<|endoftext|>"
+    texts += [end, f"a {end} b", f"{end}{end}", f"  {end}\n", "<|endoftext", f"x{end}y <| endoftext|>"]
+    for plain, fast in ((P.file_encoder(path), P.encoder(path)), (P.file_encoder(path, plain=True), P.plain_text_encoder(path))):
+        assert [plain(t) for t in texts] == [list(fast(t)) for t in texts]
+    assert P.encoder(path)(end) == [50256] and len(P.plain_text_encoder(path)(end)) > 1
 
 
 def test_balance_and_few_cuts():
