@@ -109,6 +109,47 @@ def shifted(lon: str, lat: str, shift: tuple[float, float, float], source: tuple
     return f"degrees(atan2({y}, {x}))", lat2
 
 
+Step = tuple[str, str]
+
+
+def shift_steps(lon: str, lat: str, tx: str, ty: str, tz: str, source: tuple[float, float] = WGS84, target: tuple[float, float] = GRS80) -> list[Step]:
+    """The datum shift as steps (name, expression), each from the ones before it, ending in ``lon`` and ``lat`` anew. The shift comes from
+    expressions, so that one plan serves rows of many shifts; where ``tx`` is NULL the point stays."""
+    a, e2, a2, e22 = source[0], _squared(source), target[0], _squared(target)
+    b2 = a2 * (1 - 1 / target[1])
+    return [
+        ("d_s", f"sin(radians({lat}))"),
+        ("d_c", f"cos(radians({lat}))"),
+        ("d_nu", f"{lit(a)} / sqrt(1 - {lit(e2)} * d_s * d_s)"),
+        ("d_x", f"d_nu * d_c * cos(radians({lon})) + {tx}"),
+        ("d_y", f"d_nu * d_c * sin(radians({lon})) + {ty}"),
+        ("d_z", f"d_nu * {lit(1 - e2)} * d_s + {tz}"),
+        ("d_p", "sqrt(d_x * d_x + d_y * d_y)"),
+        ("d_t", f"atan2(d_z * {lit(a2)}, d_p * {lit(b2)})"),
+        (lon, f"CASE WHEN {tx} IS NULL THEN {lon} ELSE degrees(atan2(d_y, d_x)) END"),
+        (lat, f"CASE WHEN {tx} IS NULL THEN {lat} ELSE degrees(atan2(d_z + {lit(e22 / (1 - e22) * b2)} * power(sin(d_t), 3), d_p - {lit(e22 * a2)} * power(cos(d_t), 3))) END"),
+    ]
+
+
+def conic_steps(lon: str, lat: str, n: str, c: str, rho0: str, ellipsoid: tuple[float, float] = GRS80, longitude: float = -96.0) -> list[Step]:
+    """The conic projection as steps that end in ``p_x`` and ``p_y``; its constants are expressions (see ``Albers.constants``), and where
+    ``n`` is NULL the projection is the spherical Mercator."""
+    e = math.sqrt(e2 := _squared(ellipsoid))
+    flat_x, flat_y = mercator(lon, lat)
+    return [
+        ("p_s", f"sin(radians({lat}))"),
+        ("p_q", f"{lit(1 - e2)} * (p_s / (1 - {lit(e2)} * p_s * p_s) - ln((1 - {lit(e)} * p_s) / (1 + {lit(e)} * p_s)) / {lit(2 * e)})"),
+        ("p_r", f"{lit(ellipsoid[0])} * sqrt({c} - {n} * p_q) / {n}"),
+        ("p_t", f"{n} * radians({lon} - ({lit(longitude)}))"),
+        ("p_x", f"CASE WHEN {n} IS NULL THEN {flat_x} ELSE p_r * sin(p_t) END"),
+        ("p_y", f"CASE WHEN {n} IS NULL THEN {flat_y} ELSE {rho0} - p_r * cos(p_t) END"),
+    ]
+
+
+#: Constants of the projections that are conic, by code; the other one is the spherical Mercator.
+CONES = {"5070": EPSG5070.constants(), "6350": EPSG6350.constants(), "102003": ESRI102003.constants(), "3857": (None, None, None)}
+
+
 def geodesic(columns: tuple[str, str, str, str], rounds: int = 5, ellipsoid: tuple[float, float] = GRS80) -> list[tuple[str, str]]:
     """Steps (name, expression) that end in ``metres``: Vincenty's inverse from (lon1, lat1) to (lon2, lat2).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -163,16 +163,57 @@ def clip_share(ax: Column, ay: Column, dx: Column, dy: Column, edge_list: Column
     return share_inside(ax, ay, dx, dy, edge_list, crossings(ax, ay, dx, dy, edge_list))
 
 
-def map_vertices(rings: str, change: Callable[[str, str], tuple[str, str]]) -> Column:
-    """The column of rings with every vertex changed; ``change`` gives SQL of new coordinates for SQL of old ones."""
-    x, y = change("p.x", "p.y")
-    return F.expr(f"transform({rings}, r -> transform(r, p -> named_struct('x', {x}, 'y', {y})))")
+def map_vertices(rings: str, steps: list[tuple[str, str]], result: tuple[str, str]) -> Column:
+    """The column of rings with every vertex changed by steps (name, SQL), each from ``x``, ``y`` and the names before it and from other
+    columns of the row; ``result`` names the new coordinates. A step is computed once a vertex, however often later ones use it."""
+    out, known = rings, ["x", "y"]
+    for k, (name, sql) in enumerate(steps):
+        own = f"_p{k}"
+        held = re.sub(r"\b(" + "|".join(sorted(known, key=len, reverse=True)) + r")\b", lambda m, own=own: f"{own}.{m[1]}", sql)
+        known = [*(c for c in known if c != name), name]
+        fields = ", ".join(f"'{c}', {held if c == name else f'{own}.{c}'}" for c in known)
+        out = f"transform({out}, _r{k} -> transform(_r{k}, {own} -> named_struct({fields})))"
+    x, y = result
+    return F.expr(f"transform({out}, _r -> transform(_r, _p -> named_struct('x', _p.{x}, 'y', _p.{y})))")
 
 
-def without_repeats(rings: Column) -> Column:
-    """Rings without vertices that repeat the one before them, as snapping leaves them; those of fewer than four are dropped."""
-    one = lambda r: F.filter(r, lambda p, k: (k == 0) | (p != F.get(r, k - 1)))
-    return F.filter(F.transform(rings, one), lambda r: F.size(r) > 3)
+def _same_point(a: Column, b: Column) -> Column:
+    return (a["x"] == b["x"]) & (a["y"] == b["y"])
+
+
+def _without_folds(ring: Column) -> Column:
+    """An open ring's vertices, each put on a stack; one that equals the top is left out, and one that equals the vertex below the
+    top, or goes back along the edge to it, takes the top off: a spike's tip."""
+
+    def add(stack: Column, p: Column) -> Column:
+        n = F.size(stack)
+        top, below = F.get(stack, n - 1), F.get(stack, n - 2)
+        ux, uy, vx, vy = top["x"] - below["x"], top["y"] - below["y"], p["x"] - top["x"], p["y"] - top["y"]
+        back = (ux * vy - uy * vx == 0) & (ux * vx + uy * vy < 0)
+        popped = F.slice(stack, 1, n - 1)
+        under = F.get(popped, F.size(popped) - 1)
+        return (
+            F.when((n > 0) & _same_point(top, p), stack)
+            .when((n > 1) & back, F.when(_same_point(under, p), popped).otherwise(F.array_append(popped, p)))
+            .otherwise(F.array_append(stack, p))
+        )
+
+    return F.aggregate(ring, F.slice(ring, 1, 0), add)
+
+
+def repaired(rings: Column) -> Column:
+    """Closed rings after snapping: repeated vertices, spikes (also across a ring's start) and rings without area are taken out.
+
+    Spikes may be nested; two passes, the second from another start, find those across the start. Crossing edges stay: the
+    even-odd rule of the predicates here has a meaning for them.
+    """
+    turned = lambda r: F.concat(F.slice(r, F.floor(F.size(r) / 2).cast("int") + 1, F.size(r)), F.slice(r, 1, F.floor(F.size(r) / 2).cast("int")))
+    opened = F.transform(rings, lambda r: F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))))
+    once = F.transform(opened, _without_folds)
+    twice = F.transform(F.transform(once, turned), _without_folds)
+    closed = F.transform(twice, lambda r: F.when(F.size(r) > 2, F.concat(r, F.slice(r, 1, 1))).otherwise(F.slice(r, 1, 0)))
+    area = lambda r: F.aggregate(F.sequence(F.lit(1), F.size(r) - 1), F.lit(0.0), lambda s, k: s + F.get(r, k - 1)["x"] * F.get(r, k)["y"] - F.get(r, k)["x"] * F.get(r, k - 1)["y"])
+    return F.filter(closed, lambda r: (F.size(r) > 3) & (F.when(F.size(r) > 3, area(r)).otherwise(F.lit(0.0)) != 0))
 
 
 def rectangle(x0: Column, x1: Column, y0: Column, y1: Column) -> Column:

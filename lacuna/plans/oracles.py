@@ -138,27 +138,27 @@ def moved(table: str, columns: str) -> str:
 
 def metre_gaps(settings) -> str:
     """CTEs that end in ``metre_gap`` (variant, tid, region, ov_len, tiger_len, transport_gap): corners are rounded, moved, projected and
-    snapped; a road's part is clipped by the four edges of its tract as half-planes."""
+    snapped; a road is clipped by the four edges of its tract as half-planes. Cutting straight roads into parts changes no length, so that
+    is left out here."""
     none = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{float(v)!r}e0" if "e" not in repr(float(v)) else f"CAST({float(v)!r} AS DOUBLE)"
-    rows = ", ".join(f"({', '.join(none(v) for v in (s.name, s.crs, s.degrees, s.rounded, s.shift, s.snap, s.longest))})" for s in settings)
+    rows = ", ".join(f"({', '.join(none(v) for v in (s.name, s.crs, s.degrees, s.rounded, s.shift, s.snap))})" for s in settings)
     grid = lambda c, by: f"round_even({c} / {by}, 0) * {by}"
     on = lambda c: f"CASE WHEN degrees IS NOT NULL AND rounded IN ('both', layer) THEN {grid(c, 'degrees')} ELSE {c} END AS {c}"
     snapped = lambda c, n: f"CASE WHEN snap IS NULL THEN {c} ELSE {grid(c, 'snap')} END AS {n}"
-    lon, lat = "-100e0 + {} / 1e6", "30e0 + {} / 1e6"
+    lon, lat = "-100e0 + {} / 999983e0", "30e0 + {} / 999983e0"
     ends = " UNION ALL ".join(f"SELECT 'roads' AS layer, rid AS id, {k} AS k, {lon.format(x)} AS lon, {lat.format(y)} AS lat FROM road WHERE class = 'primary'" for k, (x, y) in enumerate((("ax", "ay"), ("(ax + dx)", "(ay + dy)"))))
     corners = " UNION ALL ".join(f"SELECT 'tracts', tid, {k}, {lon.format(x)}, {lat.format(y)} FROM tract" for k, (x, y) in enumerate((("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))))
     s, d = ((lambda k, f=f: f.format(x=f"x{k}", y=f"y{k}", u=f"x{(k + 1) % 4}", v=f"y{(k + 1) % 4}")) for f in ("(({u} - {x}) * (ay - {y}) - ({v} - {y}) * (ax - {x}))", "(({u} - {x}) * dy - ({v} - {y}) * dx)"))
     enter = ", ".join(f"CASE WHEN {d(k)} > 0 THEN -{s(k)} / {d(k)} WHEN {d(k)} = 0 AND {s(k)} < 0 THEN 2 ELSE 0 END" for k in range(4))
     leave = ", ".join(f"CASE WHEN {d(k)} < 0 THEN -{s(k)} / {d(k)} ELSE 1 END" for k in range(4))
     return f"""{CONES},
-setting(variant, crs, degrees, rounded, shift, snap, longest) AS (VALUES {rows}),
+setting(variant, crs, degrees, rounded, shift, snap) AS (VALUES {rows}),
 corner AS ({ends} UNION ALL {corners}),
-c1 AS (SELECT variant, crs, shift, snap, longest, layer, id, k, {on("lon")}, {on("lat")} FROM corner, setting),
-c2 AS ({moved("c1", "variant, crs, snap, longest, layer, id, k")}),
-c3 AS MATERIALIZED (SELECT variant, longest, layer, id, k, {snapped("px", "x")}, {snapped("py", "y")} FROM ({planar_of("c2")})),
-line AS (SELECT variant, longest, id AS rid, max(x) FILTER (WHERE k = 0) AS x, max(y) FILTER (WHERE k = 0) AS y, max(x) FILTER (WHERE k = 1) - max(x) FILTER (WHERE k = 0) AS wx, max(y) FILTER (WHERE k = 1) - max(y) FILTER (WHERE k = 0) AS wy FROM c3 WHERE layer = 'roads' GROUP BY ALL),
-cut_ AS (SELECT *, CAST(greatest(1, ceil(coalesce(sqrt(wx * wx + wy * wy) / longest, 1))) AS INT) AS n FROM line),
-part AS MATERIALIZED (SELECT variant, mapped, x + i * wx / n AS ax, y + i * wy / n AS ay, wx / n AS dx, wy / n AS dy FROM (SELECT *, unnest(range(n)) AS i FROM cut_) JOIN road USING (rid)),
+c1 AS (SELECT variant, crs, shift, snap, layer, id, k, {on("lon")}, {on("lat")} FROM corner, setting),
+c2 AS ({moved("c1", "variant, crs, snap, layer, id, k")}),
+c3 AS MATERIALIZED (SELECT variant, layer, id, k, {snapped("px", "x")}, {snapped("py", "y")} FROM ({planar_of("c2")})),
+line AS (SELECT variant, id AS rid, max(x) FILTER (WHERE k = 0) AS ax, max(y) FILTER (WHERE k = 0) AS ay, max(x) FILTER (WHERE k = 1) - max(x) FILTER (WHERE k = 0) AS dx, max(y) FILTER (WHERE k = 1) - max(y) FILTER (WHERE k = 0) AS dy FROM c3 WHERE layer = 'roads' GROUP BY ALL),
+part AS MATERIALIZED (SELECT variant, mapped, line.ax, line.ay, line.dx, line.dy FROM line JOIN road USING (rid)),
 quad AS MATERIALIZED (SELECT variant, id AS tid, {", ".join(f"max({c}) FILTER (WHERE k = {k}) AS {c}{k}" for k in range(4) for c in "xy")}, min(x) AS bx0, max(x) AS bx1, min(y) AS by0, max(y) AS by1 FROM c3 WHERE layer = 'tracts' GROUP BY ALL),
 metre_len AS (SELECT variant, tid, round(sum(CASE WHEN mapped THEN len ELSE 0 END), 3) AS ov_len, round(sum(CASE WHEN mapped THEN 0 ELSE len END), 3) AS tiger_len FROM (
   SELECT variant, tid, mapped, greatest(0, least(1, {leave}) - greatest(0, {enter})) * sqrt(dx * dx + dy * dy) AS len

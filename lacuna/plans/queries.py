@@ -403,7 +403,8 @@ def places_by_category(spark, root):
 
 @query(over("SELECT tid, -100e0 + x0 / 1e6 AS xmin, -100e0 + x1 / 1e6 AS xmax, 30e0 + y0 / 1e6 AS ymin, 30e0 + y1 / 1e6 AS ymax FROM tract"))
 def geometry_boxes(spark, root):
-    boxed = metres.degree_rings(tables.tracts(spark, root)).select("tid", planar.box_of_rings(F.col("rings")).alias("box"))
+    x0, x1, y0, y1 = (F.lit(variants.ORIGIN["xy".index(c[0])]) + F.col(c) / 1e6 for c in ("x0", "x1", "y0", "y1"))
+    boxed = tables.tracts(spark, root).withColumn("rings", planar.rectangle(x0, x1, y0, y1)).select("tid", planar.box_of_rings(F.col("rings")).alias("box"))
     return boxed.select("tid", *(F.col(f"box.{c}").alias(c) for c in ("xmin", "xmax", "ymin", "ymax")))
 
 
@@ -476,6 +477,44 @@ def variant_hits(spark, root):
     return variants.hits(_swept(spark, root), _KNOWN, 0.25).select("variant", "tid", r6("transport_gap"), r6("diff"))
 
 
+# ---- lengths in metres before the clip
+
+
+def _in_metres(spark: SparkSession, root: str, settings: tuple[metres.Setting, ...]) -> DataFrame:
+    t, _, r, _ = _layers(spark, root)
+    return metres.transport(metres.degree_rings(t), metres.degree_ends(r), settings)
+
+
+@query(over("SELECT tid, region, ov_len, tiger_len, tiger_len > 0 AS transport_defined, round(transport_gap, 6) AS transport_gap FROM metre_gap", oracles.metre_gaps((metres.BASE,))))
+def transport_gap_projected(spark, root):
+    """Roads and tracts projected vertex by vertex, then clipped and measured."""
+    out = _in_metres(spark, root, (metres.BASE,))
+    return out.select("tid", "region", "ov_len", "tiger_len", planar.defined(F.col("tiger_len")).alias("transport_defined"), r6("transport_gap"))
+
+
+_MEAN, _WITHIN = 0.3, 0.0062
+_RANKED = f"""SELECT *, abs(diff) < {_WITHIN}e0 * n AS hit FROM (SELECT *, round(total - {_MEAN}e0 * n, 6) AS diff FROM (
+  SELECT variant, count(*) AS n, count(transport_gap) AS n_defined, coalesce(CAST(sum(CAST(round(transport_gap * 1e6) AS BIGINT)) AS BIGINT), 0) / 1e6 AS total FROM metre_gap GROUP BY variant))"""
+
+
+@query(over(_RANKED, oracles.metre_gaps(metres.TRANSPORT)))
+def transport_sweep(spark, root):
+    """Fourteen settings of precision, projection and density, nearest to a known mean first."""
+    return metres.ranked(_in_metres(spark, root, metres.TRANSPORT), _MEAN, _WITHIN)
+
+
+@query(over(_RANKED, oracles.metre_gaps(metres.DATUM)))
+def datum_sweep(spark, root):
+    """Datum operations applied to each vertex, through to the gap."""
+    return metres.ranked(_in_metres(spark, root, metres.DATUM), _MEAN, _WITHIN)
+
+
+@query(over(oracles.deltas(), oracles.metre_gaps(metres.PRECISION)))
+def precision_sweep(spark, root):
+    """Precision grids in metres and degrees, and the tracts that each changes."""
+    return metres.deltas(_in_metres(spark, root, metres.PRECISION)).select("variant", "total", "n_changed", r6("max_delta"))
+
+
 # ---- error metrics
 
 
