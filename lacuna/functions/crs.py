@@ -78,14 +78,23 @@ TAG = "crs"
 
 
 def tagged(df: DataFrame, columns: tuple[str, ...], code: str) -> DataFrame:
-    """The frame with columns that say in which system their coordinates are; plans and Parquet keep it."""
-    return df.withMetadata(columns[0], {TAG: code}) if len(columns) == 1 else tagged(tagged(df, columns[:1], code), columns[1:], code)
+    """The frame with columns that say in which system their coordinates are: selections, joins and Parquet files keep it, new
+    expressions don't (see ``like``)."""
+    for c in columns:
+        df = df.withMetadata(c, {**df.schema[c].metadata, TAG: code})
+    return df
 
 
 def code_of(df: DataFrame, column: str) -> str | None:
     return df.schema[column].metadata.get(TAG)
 
 
+def like(df: DataFrame, source: str, columns: tuple[str, ...]) -> DataFrame:
+    """The frame with columns tagged as the column they were made from; as it is if that one has no tag."""
+    code = code_of(df, source)
+    return tagged(df, columns, code) if code else df
+
+
 def same_code(left: DataFrame, right: DataFrame, columns: tuple[str, str]) -> None:
     """Fails where two columns are tagged with different systems."""
     a, b = code_of(left, columns[0]), code_of(right, columns[1])

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import planar
+from ..functions import crs, planar
 from .spatial_join import grid_join
 
 CELL = 20_000
@@ -58,19 +58,25 @@ def building_gap(tracts: DataFrame, buildings: DataFrame, how: str = "centroid",
     return with_gap(tracts, counts, "ov_cnt", "ms_cnt", "building_gap")
 
 
+SEGMENT = ("ax", "ay", "dx", "dy")
+ROAD_BOX = ("rx0", "rx1", "ry0", "ry1")
+
+
 def road_boxes(roads: DataFrame) -> DataFrame:
-    ax, ay, dx, dy = (F.col(c) for c in ("ax", "ay", "dx", "dy"))
-    return roads.withColumns({"rx0": F.least(ax, ax + dx), "rx1": F.greatest(ax, ax + dx), "ry0": F.least(ay, ay + dy), "ry1": F.greatest(ay, ay + dy)})
+    """Segments with their boxes, which are in the reference system of their ends."""
+    ax, ay, dx, dy = (F.col(c) for c in SEGMENT)
+    out = roads.withColumns({"rx0": F.least(ax, ax + dx), "rx1": F.greatest(ax, ax + dx), "ry0": F.least(ay, ay + dy), "ry1": F.greatest(ay, ay + dy)})
+    return crs.like(out, "ax", ROAD_BOX)
 
 
-def road_lengths(tracts: DataFrame, roads: DataFrame, cell: float = CELL, by: tuple[str, ...] = (), shared: bool = False) -> DataFrame:
+def road_lengths(tracts: DataFrame, roads: DataFrame, cell: float = CELL, by: tuple[str, ...] = (), shared: bool = False, touched: bool = False) -> DataFrame:
     """(tid, ov_len, tiger_len): lengths of both sides' roads clipped to closed tracts; ``by``: further columns of roads to group by,
-    which tracts have too and must be equal if they are ``shared``.
+    which tracts have too and must be equal if they are ``shared``. ``touched``: also tracts that only roads' boxes overlap, with 0.
 
     The share that is clipped is summed before anything is shuffled by tract.
     """
     common = by if shared else ()
-    pairs = grid_join(road_boxes(roads), tracts.select(*common, "tid", *_TRACT_BOX), ("rx0", "rx1", "ry0", "ry1"), _TRACT_BOX, cell, by=common)
+    pairs = grid_join(road_boxes(roads), tracts.select(*common, "tid", *_TRACT_BOX), ROAD_BOX, _TRACT_BOX, cell, by=common, segment=None if touched else SEGMENT)
     share = planar.clip_to_box(*(F.col(c) for c in ("ax", "ay", "dx", "dy", "x0", "x1", "y0", "y1")))
     pairs = pairs.withColumn("len", share * planar.length(F.col("dx"), F.col("dy")))
     return pairs.groupBy("tid", *by).agg(F.sum(F.when(F.col("mapped"), F.col("len")).otherwise(0.0)).alias("ov_len"), F.sum(F.when(~F.col("mapped"), F.col("len")).otherwise(0.0)).alias("tiger_len"))
@@ -81,8 +87,8 @@ def polygon_lengths(polygons: DataFrame, roads: DataFrame, cell: float = CELL, b
     by id, once a pair, and the groups are then where they are needed. ``by``: keys that roads and polygons share, as a variant."""
     keys = [*by, "tid"]
     boxes = polygons.select(*keys, *_TRACT_BOX)
-    pairs = grid_join(road_boxes(roads.select(*by, "ax", "ay", "dx", "dy", "mapped")), boxes, ("rx0", "rx1", "ry0", "ry1"), _TRACT_BOX, cell, by=by)
-    segment = [F.col(c) for c in ("ax", "ay", "dx", "dy")]
+    pairs = grid_join(road_boxes(roads.select(*by, "ax", "ay", "dx", "dy", "mapped")), boxes, ROAD_BOX, _TRACT_BOX, cell, by=by, segment=SEGMENT)
+    segment = [F.col(c) for c in SEGMENT]
     pairs = pairs.where(planar.clip_to_box(*segment, *(F.col(c) for c in _TRACT_BOX)) > 0).select(*keys, "ax", "ay", "dx", "dy", "mapped")
     pairs = pairs.join(polygons.select(*keys, "edges"), keys).withColumn("crossed", planar.crossings(*segment, F.col("edges")))
     pairs = pairs.withColumn("len", planar.share_inside(*segment, F.col("edges"), F.col("crossed")) * planar.length(F.col("dx"), F.col("dy")))
@@ -92,7 +98,8 @@ def polygon_lengths(polygons: DataFrame, roads: DataFrame, cell: float = CELL, b
 def with_edges(polygons: DataFrame, rings: str = "rings") -> DataFrame:
     """Polygons with their edges and box in place of rings."""
     out = polygons.withColumns({"edges": planar.edges(F.col(rings)), "_box": planar.box_of_rings(F.col(rings))})
-    return out.withColumns({c: F.col(f"_box.{n}") for c, n in zip(_TRACT_BOX, ("xmin", "xmax", "ymin", "ymax"), strict=True)}).drop("_box", rings)
+    out = out.withColumns({c: F.col(f"_box.{n}") for c, n in zip(_TRACT_BOX, ("xmin", "xmax", "ymin", "ymax"), strict=True)})
+    return crs.like(out, rings, _TRACT_BOX).drop("_box", rings)
 
 
 #: How a footprint belongs to a polygon.
@@ -190,7 +197,7 @@ def nearest_road(roads: DataFrame, refs: DataFrame, reach: float) -> DataFrame:
     """
     mid = refs.select("ref_id", (F.col("ax") + F.col("dx") / 2).alias("mx"), (F.col("ay") + F.col("dy") / 2).alias("my"))
     near = mid.withColumns({"m0": F.col("mx") - reach, "m1": F.col("mx") + reach, "n0": F.col("my") - reach, "n1": F.col("my") + reach})
-    pairs = grid_join(near, road_boxes(roads), ("m0", "m1", "n0", "n1"), ("rx0", "rx1", "ry0", "ry1"), 2 * reach)
+    pairs = grid_join(near, road_boxes(roads), ("m0", "m1", "n0", "n1"), ROAD_BOX, 2 * reach)
     ax, ay, dx, dy = (F.col(c) for c in ("ax", "ay", "dx", "dy"))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((F.col("mx") - ax) * dx + (F.col("my") - ay) * dy, dx * dx + dy * dy), F.lit(0.0))))
     apart = planar.length(F.col("mx") - ax - t * dx, F.col("my") - ay - t * dy)

@@ -148,8 +148,11 @@ def transport(tracts: DataFrame, roads: DataFrame, settings: tuple[Setting, ...]
     """(variant, tid, region, ov_len, tiger_len, transport_gap) for each tract (with rings in degrees) and setting; roads have both ends in
     degrees. ``digits``: of the lengths, so that a road that only touches a tract has the length 0."""
     geometries = Geometries.of(settings)
+    codes = {s.crs for s in settings}
+    code = codes.pop() if len(codes) == 1 else "metres"
     some = roads.where(F.col("class").isin(*classes))
-    lengths = gaps.polygon_lengths(tracts_in_metres(tracts, geometries), roads_in_metres(some, geometries), CELL, ("geom",))
+    shapes, lines = crs.tagged(tracts_in_metres(tracts, geometries), ("x0", "x1", "y0", "y1"), code), crs.tagged(roads_in_metres(some, geometries), ("ax",), code)
+    lengths = gaps.polygon_lengths(shapes, lines, CELL, ("geom",))
     lengths = lengths.select("geom", "tid", *(F.round(c, digits).alias(c) for c in ("ov_len", "tiger_len")))
     named = F.explode(F.array(*(F.struct(F.lit(s.name).alias("variant"), F.lit(geometries.of_setting[s.name]).alias("geom")) for s in settings)))
     every = tracts.select("tid", "region", named.alias("_s")).select("tid", "region", "_s.*").join(lengths, ["geom", "tid"], "left")

@@ -153,7 +153,7 @@ def projected(roads: DataFrame, projection: Callable[[str, str], tuple[str, str]
 def clipped_then_projected(tracts: DataFrame, roads: DataFrame, projection: Callable[[str, str], tuple[str, str]], cell: float = gaps.CELL) -> DataFrame:
     """(tid, ov_len, tiger_len) in map metres with the clip in degrees, before projecting: the ends of the clipped part are projected."""
     box = ("x0", "x1", "y0", "y1")
-    pairs = grid_join(gaps.road_boxes(roads), tracts.select("tid", *box), ("rx0", "rx1", "ry0", "ry1"), box, cell)
+    pairs = grid_join(gaps.road_boxes(roads), tracts.select("tid", *box), gaps.ROAD_BOX, box, cell, segment=gaps.SEGMENT)
     enter, leave = planar.clip_interval(*(F.col(c) for c in ("ax", "ay", "dx", "dy", *box)))
     pairs = pairs.withColumns({"t0": enter, "t1": leave}).where("t1 > t0")
     part = {"ax": F.col("ax") + F.col("t0") * F.col("dx"), "ay": F.col("ay") + F.col("t0") * F.col("dy")}

@@ -70,7 +70,7 @@ def grid_candidate_pairs(spark, root):
 @query(over("SELECT tid, coalesce(ov_len, 0) AS ov_len, coalesce(tiger_len, 0) AS tiger_len FROM l", f"l AS ({lengths()})"))
 def transport_lengths_rect(spark, root):
     t, _, r, _ = _layers(spark, root)
-    return gaps.road_lengths(t, r).select("tid", F.round("ov_len", 3).alias("ov_len"), F.round("tiger_len", 3).alias("tiger_len"))
+    return gaps.road_lengths(t, r, touched=True).select("tid", F.round("ov_len", 3).alias("ov_len"), F.round("tiger_len", 3).alias("tiger_len"))
 
 
 def _l_shapes(t: DataFrame) -> DataFrame:
