@@ -8,14 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.layers import written
+from .quantiles import exact_quantiles
+
 # ---- profiles
 
 
 def describe(df: DataFrame, by: str | None, value: str) -> DataFrame:
-    """count, mean, std, min, quartiles and max of defined values; quartiles are exact and interpolated."""
+    """count, mean, std, min, quartiles and max of defined values; quartiles are exact and interpolated, and no task holds a group."""
+    held = written(df.select(*([by] if by else []), value), "describe")
     v = F.col(value)
-    stats = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.percentile(v, 0.25).alias("q1"), F.median(v).alias("median"), F.percentile(v, 0.75).alias("q3"), F.max(v).alias("max")]
-    return df.groupBy(by).agg(*stats) if by else df.agg(*stats)
+    stats = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
+    cuts = exact_quantiles(held, value, (0.25, 0.5, 0.75), by, held=True)
+    cuts = cuts.select(*([F.col(by).alias("_by")] if by else []), F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
+    if not by:
+        return held.agg(*stats).join(F.broadcast(cuts))  # one row each
+    out = held.groupBy(by).agg(*stats)
+    return out.join(cuts, out[by].eqNullSafe(cuts["_by"])).drop("_by")
 
 
 def null_profile(df: DataFrame, columns: Sequence[str], only_nulls: bool = False) -> DataFrame:
@@ -94,8 +103,11 @@ def format_checks(df: DataFrame, key: str, score: str, rows: int | DataFrame, wi
 
 def consistency(df: DataFrame, a: Column, b: Column, eps: float = 1e-9) -> DataFrame:
     """Rows compared, median and largest difference, share of exact rows, and rows where only one is defined."""
-    d = F.abs(a - b)
-    return df.agg(F.count(d).alias("n"), F.median(d).alias("median_diff"), F.max(d).alias("max_diff"), F.avg((d <= eps).cast("int")).alias("exact_share"), F.count_if(a.isNull() != b.isNull()).alias("n_undefined_differs"))
+    held = written(df.select(F.abs(a - b).alias("d"), (a.isNull() != b.isNull()).alias("differs")), "consistency")
+    d = F.col("d")
+    median = exact_quantiles(held, "d", (0.5,), held=True).select(F.col("q0").alias("median_diff"))
+    out = held.agg(F.count(d).alias("n"), F.max(d).alias("max_diff"), F.avg((d <= eps).cast("int")).alias("exact_share"), F.count_if("differs").alias("n_undefined_differs"))
+    return out.join(F.broadcast(median)).select("n", "median_diff", "max_diff", "exact_share", "n_undefined_differs")  # one row each
 
 
 # ---- equity
@@ -115,7 +127,7 @@ def quartiles(df: DataFrame, value: str, key: str) -> DataFrame:
 
     Cut points are one row; a global ntile() would sort all rows in one task.
     """
-    cuts = df.agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("cuts"))
+    cuts = exact_quantiles(df, value, (0.25, 0.5, 0.75)).select(F.array("q0", "q1", "q2").alias("cuts"))
     q = sum(((F.col(value) > F.col("cuts")[i]).cast("int") for i in (1, 2)), (F.col(value) > F.col("cuts")[0]).cast("int")) + 1
     return df.join(F.broadcast(cuts)).withColumn("quartile", q).drop("cuts")
 
@@ -140,8 +152,8 @@ def regression_metrics(df: DataFrame, by: str | None, pred: str, ref: str) -> Da
 
 def conformal(df: DataFrame, pred: str, ref: str, level: float = 0.9) -> DataFrame:
     """One row: the half width that covers ``level`` of errors, what it covers when clipped to [0, 1], and the mean width."""
-    err = F.abs(F.col(pred) - F.col(ref))
-    q = df.agg(F.percentile(err, level).alias("q_hat"))
+    df = written(df.select(pred, ref), "conformal")
+    q = exact_quantiles(df, F.abs(F.col(pred) - F.col(ref)), (level,), held=True).select(F.col("q0").alias("q_hat"))
     low, high = F.greatest(F.lit(0.0), F.col(pred) - F.col("q_hat")), F.least(F.lit(1.0), F.col(pred) + F.col("q_hat"))
     out = df.where(F.col(pred).isNotNull() & F.col(ref).isNotNull()).join(F.broadcast(q))
     return out.agg(F.max("q_hat").alias("q_hat"), F.avg(F.col(ref).between(low, high).cast("int")).alias("coverage"), F.avg(high - low).alias("mean_width"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import crs, planar
 from ..operators import gaps, metres, reports, variants
 from ..operators.spatial_join import grid_join
-from ..sources import tables
+from ..sources import layers, tables, wkb
 from ..streaming.incremental import windowed_gap
 from . import oracles
 from .oracles import gap, lengths, over
@@ -450,8 +450,9 @@ _SUMS = "sums AS (SELECT variant, count(transport_gap) AS n_defined, coalesce(CA
 
 
 def _swept(spark: SparkSession, root: str) -> DataFrame:
+    """The sweep as a kept layer, which the queries over it share."""
     t, _, r, _ = _layers(spark, root)
-    return variants.sweep(t, r)
+    return layers.kept("variant-sweep", [t, r], lambda: variants.sweep(t, r), settings=[str(v) for v in variants.SWEEP])
 
 
 @query(over("SELECT variant, n_defined, total / 1e6 AS total, (total - (SELECT total FROM sums WHERE variant = 'base')) / 1e6 AS diff FROM sums", _SWEPT, _SUMS))
