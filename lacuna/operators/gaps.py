@@ -102,6 +102,22 @@ def with_edges(polygons: DataFrame, rings: str = "rings") -> DataFrame:
     return crs.like(out, rings, _TRACT_BOX).drop("_box", rings)
 
 
+def snapped_polygons(polygons: DataFrame, grid: float) -> DataFrame:
+    """(tid, edges, n_rings) of polygons (tid, rings) with vertices on a grid: spikes and rings that collapsed are gone, and so are edges that
+    occur an even number of times, as parts that snapping made adjacent share them.
+
+    Edges are counted per polygon by one aggregation, not by comparing all of them; a polygon without edges left is kept with none.
+    """
+    rings = planar.repaired(planar.map_vertices("rings", [("x", f"rint(x / {float(grid)!r}D) * {float(grid)!r}D"), ("y", f"rint(y / {float(grid)!r}D) * {float(grid)!r}D")], ("x", "y")))
+    out = polygons.select("tid", rings.alias("rings")).withColumns({"n_rings": F.size("rings"), "edges": planar.edges(F.col("rings"))})
+    e = F.col("e")
+    ends = lambda x, y: F.struct(e[x].alias("x"), e[y].alias("y"))
+    each = out.select("tid", F.explode("edges").alias("e")).groupBy("tid", F.least(ends("x", "y"), ends("u", "v")).alias("low"), F.greatest(ends("x", "y"), ends("u", "v")).alias("high"))
+    odd = each.agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("e")).where("n % 2 = 1").groupBy("tid").agg(F.collect_list("e").alias("edges"))
+    none = F.slice(F.array(F.struct(*(F.lit(0.0).alias(c) for c in "xyuv"))), 1, 0)
+    return out.select("tid", "n_rings").join(odd, "tid", "left").select("tid", F.coalesce("edges", none).alias("edges"), "n_rings")
+
+
 #: How a footprint belongs to a polygon.
 SHAPES = {"intersects": planar.polygons_intersect, "covers": planar.polygon_covers}
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crs, planar
-from ..operators import gaps, metres, reports, variants
+from ..operators import gaps, matching, metres, reports, variants
 from ..operators.spatial_join import grid_join
 from ..sources import layers, tables, wkb
 from ..streaming.incremental import windowed_gap
@@ -73,12 +73,16 @@ def transport_lengths_rect(spark, root):
     return gaps.road_lengths(t, r, touched=True).select("tid", F.round("ov_len", 3).alias("ov_len"), F.round("tiger_len", 3).alias("tiger_len"))
 
 
-def _l_shapes(t: DataFrame) -> DataFrame:
+def _l_rings(t: DataFrame) -> DataFrame:
     """A concave polygon in each tract: the square without its upper right quarter."""
     x0, x1, y0, y1 = (F.col(c).cast("double") for c in ("x0", "x1", "y0", "y1"))
     xm, ym = (x0 + x1) / 2, (y0 + y1) / 2
     ring = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, ym), (xm, ym), (xm, y1), (x0, y1), (x0, y0))))
-    return t.withColumn("edges", planar.edges(F.array(ring)))
+    return t.withColumn("rings", F.array(ring))
+
+
+def _l_shapes(t: DataFrame) -> DataFrame:
+    return _l_rings(t).withColumn("edges", planar.edges(F.col("rings"))).drop("rings")
 
 
 _TWO = f"""half AS (SELECT *, x0 + 10000 AS xm, y0 + 10000 AS ym FROM tract),
@@ -408,6 +412,43 @@ def geometry_boxes(spark, root):
     return boxed.select("tid", *(F.col(f"box.{c}").alias(c) for c in ("xmin", "xmax", "ymin", "ymax")))
 
 
+@query(over("SELECT tid, round(x0 + 25e4 / 30, 3) AS cx, round(y0 + 25e4 / 30, 3) AS cy, 3e8 AS area, 6 AS n_edges FROM tract"))
+def polygons_from_wkb(spark, root):
+    """Polygons as well-known binary in a kept layer, and read back from it; the layer keeps their reference system."""
+    t = tables.tracts(spark, root)
+    rings = _l_rings(t).select("tid", "rings")
+    stored = layers.kept("tract-wkb", [t], lambda: wkb.with_wkb(crs.tagged(rings, ("rings",), "micro"), "rings"))
+    read = gaps.with_edges(wkb.with_rings(stored, "rings"))
+    assert crs.code_of(read, "x0") == "micro"
+    out = read.select("tid", planar.centroid(F.col("edges")).alias("c"), F.size("edges").alias("n_edges"))
+    return out.select("tid", F.round("c.x", 3).alias("cx"), F.round("c.y", 3).alias("cy"), F.col("c.area").alias("area"), "n_edges")
+
+
+def _slit(t: DataFrame) -> DataFrame:
+    """Squares off the grid with a slit from above and a hole; both may be narrower than the grid."""
+    k = F.col("tid")
+    x0, x1, y0, y1 = (F.col(c).cast("double") + F.expr(f"tid % {m}") for c, m in (("x0", 10), ("x1", 7), ("y0", 3), ("y1", 9)))
+    xm, ym, w = F.col("x0") + 10_000.0, F.col("y0") + 10_000.0, (k % 9 + 2).cast("double")
+    hx, hy, h = F.col("x0") + 2000.0, F.col("y0") + 2000.0, (k % 8 + 1).cast("double")
+    one = lambda *p: F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in p))
+    outer = one((x0, y0), (x1, y0), (x1, y1), (xm + w, y1), (xm + w, ym), (xm, ym), (xm, y1), (x0, y1), (x0, y0))
+    hole = one((hx, hy), (hx, hy + h), (hx + h, hy + h), (hx + h, hy), (hx, hy))
+    return t.select("tid", F.array(outer, hole).alias("rings"))
+
+
+_on_ten = "round_even(({}) / 10e0, 0) * 10".format
+
+
+@query(over("""SELECT tid, (a1 - a0) * (b1 - b0) - slit * (b1 - ym) - hole * hole AS area, CASE WHEN hole > 0 THEN 2 ELSE 1 END AS n_rings,
+  CASE WHEN slit > 0 THEN 8 ELSE 5 END + CASE WHEN hole > 0 THEN 4 ELSE 0 END AS n_edges FROM snapped""",
+  f"""snapped AS (SELECT tid, y0 + 10000e0 AS ym, {_on_ten("x0 + tid % 10")} AS a0, {_on_ten("x1 + tid % 7")} AS a1, {_on_ten("y0 + tid % 3")} AS b0, {_on_ten("y1 + tid % 9")} AS b1,
+  {_on_ten("tid % 9 + 2")} AS slit, {_on_ten("tid % 8 + 1")} AS hole FROM tract)"""))
+def snap_polygons(spark, root):
+    """Polygons on a grid of 10: slits and holes that close are gone."""
+    out = gaps.snapped_polygons(_slit(tables.tracts(spark, root)), 10.0)
+    return out.select("tid", planar.centroid(F.col("edges"))["area"].alias("area"), "n_rings", F.size("edges").alias("n_edges"))
+
+
 @query("SELECT count(*) AS n_rows, count(*) AS n_ids, count(*) - 1 AS last_row FROM customer")
 def row_ids(spark, root):
     c = tables.with_row_ids(tables.read(spark, root, "customer", ["c_custkey", "_metadata"]))
@@ -629,6 +670,45 @@ def road_distance(spark, root):
     return out.groupBy("class").agg(F.sum("copies").alias("n"), F.coalesce(F.sum(some), F.lit(0)).alias("n_near"), F.round(F.sum(F.col("distance") * F.col("copies")) / F.sum(some), 3).alias("mean_distance"))
 
 
+def _segments(r: DataFrame) -> DataFrame:
+    """Reference roads, of which alike ones are one with a number of copies."""
+    return r.where("NOT mapped").groupBy("class", *gaps.SEGMENT).agg(F.count(F.lit(1)).alias("copies")).withColumn("ref_id", F.concat_ws("|", "class", *gaps.SEGMENT))
+
+
+@query(over("""SELECT class, CAST(sum(copies) AS BIGINT) AS n, CAST(coalesce(sum(copies) FILTER (WHERE h < 5000), 0) AS BIGINT) AS n_covered, round(sum(h * copies) FILTER (WHERE h < 5000) / sum(copies) FILTER (WHERE h < 5000), 3) AS mean_distance FROM (
+  SELECT class, copies, max(d) AS h FROM (SELECT p.class, p.ax, p.ay, p.dx, p.dy, p.copies, p.m, least(5000, coalesce(min(d), 5000)) AS d FROM place p LEFT JOIN near USING (id, m) GROUP BY ALL) GROUP BY class, ax, ay, dx, dy, copies) GROUP BY class""",
+  "one AS (SELECT row_number() OVER () AS id, * FROM (SELECT class, ax, ay, dx, dy, count(*) AS copies FROM road WHERE NOT mapped GROUP BY ALL))",
+  "place AS MATERIALIZED (SELECT *, ax + dx * (m / 64e0) AS px, ay + dy * (m / 64e0) AS py, CAST(floor((ax + dx * (m / 64e0)) / 10000) AS BIGINT) AS i, CAST(floor((ay + dy * (m / 64e0)) / 10000) AS BIGINT) AS j FROM (SELECT *, unnest(range(65)) AS m FROM one))",
+  "wide AS (SELECT *, unnest(range(CAST(floor((least(ax, ax + dx) - 5000) / 10000) AS BIGINT), CAST(floor((greatest(ax, ax + dx) + 5000) / 10000) AS BIGINT) + 1)) AS i FROM road WHERE mapped)",
+  "spread_ AS MATERIALIZED (SELECT *, unnest(range(CAST(floor((least(ay, ay + dy) - 5000) / 10000) AS BIGINT), CAST(floor((greatest(ay, ay + dy) + 5000) / 10000) AS BIGINT) + 1)) AS j FROM wide)",
+  "near AS (SELECT id, m, sqrt((px - b.ax - t * b.dx) * (px - b.ax - t * b.dx) + (py - b.ay - t * b.dy) * (py - b.ay - t * b.dy)) AS d FROM (SELECT p.id, p.m, p.px, p.py, b.*, greatest(0, least(1, coalesce(((p.px - b.ax) * b.dx + (p.py - b.ay) * b.dy) / nullif(b.dx * b.dx + b.dy * b.dy, 0), 0))) AS t FROM place p JOIN spread_ b USING (i, j)) b)"))
+def road_coverage_distance(spark, root):
+    """How far reference roads lie from the mapped ones, at the farthest of 65 places along each."""
+    r = tables.roads(spark, root)
+    refs = _segments(r)
+    out = refs.select("ref_id", "class", "copies").join(matching.coverage_distance(refs, r.where("mapped"), 5000.0), "ref_id")
+    some = F.when(F.col("distance") < 5000, F.col("copies"))
+    return out.groupBy("class").agg(F.sum("copies").alias("n"), F.coalesce(F.sum(some), F.lit(0)).alias("n_covered"), F.round(F.sum(F.col("distance") * some) / F.sum(some), 3).alias("mean_distance"))
+
+
+_CLASSES = ("primary", "secondary", "residential")
+
+
+@query(over("SELECT rclass AS ref_class, " + ", ".join(f"count(*) FILTER (WHERE mclass = '{c}') AS {c}" for c in _CLASSES) + " FROM a JOIN b USING (rid, mid) GROUP BY rclass",
+  "ref_ AS MATERIALIZED (SELECT row_number() OVER () AS rid, ax + dx / 2 AS x, ay + dy / 2 AS y, * FROM (SELECT DISTINCT class, ax, ay, dx, dy FROM road WHERE NOT mapped))",
+  "map_ AS MATERIALIZED (SELECT row_number() OVER () AS mid, ax + dx / 2 AS x, ay + dy / 2 AS y, * FROM (SELECT DISTINCT class, ax, ay, dx, dy FROM road WHERE mapped))",
+  """pair_ AS MATERIALIZED (SELECT rid, mid, r.class AS rclass, m.class AS mclass, r.ax AS rax, r.ay AS ray, r.dx AS rdx, r.dy AS rdy, m.ax AS max_, m.ay AS may, m.dx AS mdx, m.dy AS mdy, (r.x - m.x) * (r.x - m.x) + (r.y - m.y) * (r.y - m.y) AS q
+  FROM (SELECT *, unnest([-1, 0, 1]) + CAST(floor(x / 3000) AS BIGINT) AS i FROM ref_) r JOIN (SELECT *, CAST(floor(x / 3000) AS BIGINT) AS i FROM map_) m USING (i)
+  WHERE (r.x - m.x) * (r.x - m.x) + (r.y - m.y) * (r.y - m.y) <= 9e6 AND abs(r.dx * m.dy - r.dy * m.dx) <= abs(r.dx * m.dx + r.dy * m.dy) * tan(radians(20e0)) AND (r.dx <> 0 OR r.dy <> 0) AND (m.dx <> 0 OR m.dy <> 0))""",
+  "a AS (SELECT rid, mid, rclass, mclass FROM pair_ QUALIFY row_number() OVER (PARTITION BY rid ORDER BY q, max_, may, mdx, mdy, mclass) = 1)",
+  "b AS (SELECT rid, mid FROM pair_ QUALIFY row_number() OVER (PARTITION BY mid ORDER BY q, rax, ray, rdx, rdy, rclass) = 1)"))
+def matched_class_confusion(spark, root):
+    """Classes of reference and mapped roads that are each other's nearest within 3,000 and 20 degrees."""
+    r = tables.roads(spark, root)
+    pairs = matching.matched_pairs(r.where("NOT mapped"), r.where("mapped"), 3000.0, 20.0)
+    return pairs.groupBy(F.col("r_class").alias("ref_class")).agg(*(F.count_if(F.col("m_class") == c).alias(c) for c in _CLASSES))
+
+
 @query(over(f"SELECT day, kind, mapped, ref, round({gap('mapped', 'ref')}, 6) AS gap FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, count(*) FILTER (WHERE user_id % 2 = 0) AS mapped, count(*) FILTER (WHERE user_id % 3 > 0) AS ref FROM events GROUP BY 1, 2)"))
 def windowed_poi_gap(spark, root):
     """The stream's aggregation over the table as a batch."""

@@ -172,7 +172,10 @@ def _mapped(df: DataFrame, column: str, kind: str, change) -> DataFrame:
             at = b.schema.get_field_index(column)
             yield pa.RecordBatch.from_arrays([change(b.column(k)) if k == at else b.column(k) for k in range(b.num_columns)], b.schema.names)
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {kind if f.name == column else f.dataType.simpleString()}" for f in df.schema))
+    out = df.mapInArrow(run, ", ".join(f"`{f.name}` {kind if f.name == column else f.dataType.simpleString()}" for f in df.schema))
+    for f in df.schema:  # such as a reference system
+        out = out.withMetadata(f.name, f.metadata) if f.metadata else out
+    return out
 
 
 def with_rings(df: DataFrame, column: str = "geometry") -> DataFrame:
