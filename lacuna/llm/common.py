@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..deploy import ship
@@ -112,6 +112,19 @@ def numbered(docs: DataFrame, scratch: Scratch, **columns: str) -> DataFrame:
     return rows.select("_row", "row", *(F.col("_row").getField(c).alias(name) for name, c in columns.items()))
 
 
+def in_order(df: DataFrame, order: list[str], scratch: Scratch, tag: str) -> DataFrame:
+    """Adds ``k``, a row's place from 0 in this order, by a sort by ranges: no task has more than a range.
+
+    How many rows the ranges before hold comes from a table with a row for each range.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    saved = scratch.save(ranged, tag).withColumn("_part", F.shiftright("_row", 33))
+    parts = saved.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    parts = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n") - F.col("_first")).alias("_shift"))
+    # a row for each range: a few numbers times the shuffle partitions
+    return saved.join(F.broadcast(parts), "_part").withColumn("k", F.col("_row") + F.col("_shift")).drop("_row", "_part", "_shift")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,8 +10,10 @@ Targets: sources in order (by code point, null last) have weights 1, 2, 3, repea
 share the total of all sizes; no target is above ``repeats`` times its source's size, and the excess is
 reshared by weight until none is.
 
-The plan has one row per pattern and is made on the driver; its number is bounded by ``most_patterns``
-and checked. Documents are never gathered or globally sorted. Their order within a pattern is that of a
+Sources are rows of a table, however many there are: their places in the order come from a sort by ranges, and the level up
+to which targets rise is found by a few aggregations over them. A source that shares no document with another needs no
+flow: its quota is its target. Sources that do share documents are joined to components, and each component's flow is one
+task's work on its patterns. Documents are never gathered or globally sorted. Their order within a pattern is that of a
 hash of seed, id and text: rows that share all three are one class, aggregated before anything is
 ordered, so neither null ids nor copies make a bucket hot. Classes are put in buckets by leading digits
 of the hash, as many as keep a bucket small; buckets' totals are summed in order on two levels, and a
@@ -23,20 +25,21 @@ documents of their own; a null id is hashed as the empty text. Reruns give the s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbered
+from .common import Scratch, in_order, numbered
+from .components import connected_components
 
 WEIGHTS, REPEATS, SEED = (1, 2, 3), 3, "mix"
 #: About so many documents are ordered in one bucket of a pattern; a bucket's name are leading hexadecimal digits, of which
 #: the first COARSE are summed on one level and the others below it. A class's rows are counted in so many slices.
 BUCKET_ROWS, COARSE, SLICES = 250, 4, 256
-MOST_PATTERNS = 10_000
 
 
 @dataclass
@@ -48,7 +51,11 @@ class Edge:
 
 
 class Flow:
-    """Min-cost flow by successive shortest paths; capacities and costs are whole numbers."""
+    """Min-cost flow; capacities are whole numbers, costs whole and not negative.
+
+    Potentials keep all costs that are left at zero or more, so that a heap finds the cheapest paths; all paths of one cost are then
+    filled at once, level by level of the edges that are on any of them. There are as many rounds as there are different costs.
+    """
 
     def __init__(self, nodes: int):
         self.out: list[list[Edge]] = [[] for _ in range(nodes)]
@@ -59,72 +66,144 @@ class Flow:
         self.out[b].append(Edge(a, 0, -cost, len(self.out[a]) - 1))
         return there
 
+    def _distances(self, source: int, high: list[int]) -> list[int | None]:
+        dist: list[int | None] = [None] * len(self.out)
+        queue = [(0, source)]
+        while queue:
+            d, a = heapq.heappop(queue)
+            if dist[a] is not None:
+                continue
+            dist[a] = d
+            for e in self.out[a]:
+                if e.free and dist[e.to] is None:
+                    heapq.heappush(queue, (d + e.cost + high[a] - high[e.to], e.to))
+        return dist
+
+    def _levels(self, source: int, high: list[int]) -> list[int]:
+        level = [-1] * len(self.out)
+        level[source], now = 0, [source]
+        while now:
+            new = []
+            for a in now:
+                for e in self.out[a]:
+                    if e.free and level[e.to] < 0 and e.cost + high[a] == high[e.to]:
+                        level[e.to] = level[a] + 1
+                        new.append(e.to)
+            now = new
+        return level
+
+    def _fill(self, source: int, sink: int, high: list[int], level: list[int]) -> None:
+        """Fills paths along rising levels until there is none; an edge that leads nowhere is not tried again."""
+        tried = [0] * len(self.out)
+        path: list[Edge] = []
+        at = source
+        while True:
+            if at == sink:
+                n = min(e.free for e in path)
+                for e in path:
+                    e.free -= n
+                    self.out[e.to][e.back].free += n
+                path, at = [], source
+                continue
+            while tried[at] < len(self.out[at]):
+                e = self.out[at][tried[at]]
+                if e.free and level[e.to] == level[at] + 1 and e.cost + high[at] == high[e.to]:
+                    break
+                tried[at] += 1
+            if tried[at] < len(self.out[at]):
+                path.append(self.out[at][tried[at]])
+                at = path[-1].to
+            elif path:
+                back = path.pop()
+                at = self.out[back.to][back.back].to
+                tried[at] += 1
+            else:
+                return
+
     def run(self, source: int, sink: int) -> None:
+        high = [0] * len(self.out)
         while True:
-            dist: dict[int, int] = {source: 0}
-            came: dict[int, tuple[int, Edge]] = {}
-            queue, waiting = [source], {source}
-            while queue:
-                a = queue.pop(0)
-                waiting.discard(a)
-                for e in self.out[a]:
-                    if e.free and dist[a] + e.cost < dist.get(e.to, 1 << 60):
-                        dist[e.to], came[e.to] = dist[a] + e.cost, (a, e)
-                        if e.to not in waiting:
-                            queue.append(e.to)
-                            waiting.add(e.to)
-            if sink not in came:
+            dist = self._distances(source, high)
+            if dist[sink] is None:
                 return
-            path, at = [], sink
-            while at != source:
-                at, e = came[at]
-                path.append(e)
-            n = min(e.free for e in path)
-            for e in path:
-                e.free -= n
-                self.out[e.to][e.back].free += n
-
-
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS) -> dict[str | None, float]:
-    """Each source's target: shares of the total by weight, capped at ``repeats`` times its size, the excess reshared."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    own = {s: (sizes[s] * repeats, weights[k % len(weights)]) for k, s in enumerate(order)}
-    # sources reach their cap in the order of cap by weight
-    by_ratio = sorted(order, key=lambda s: (own[s][0] / own[s][1], order.index(s)))
-    total, weight, out = sum(sizes.values()), sum(w for _, w in own.values()), {}
-    level = None
-    for s in by_ratio:
-        cap, w = own[s]
-        if level is None and cap >= total / weight * w:
-            level = total / weight
-        out[s] = float(cap) if level is None else level * w
-        total, weight = total - cap, weight - w
-    return out
-
-
-def plan(patterns: dict[tuple, int], weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS) -> tuple[dict, dict, dict]:
-    """(size of each source, target of each source, tokens from each (pattern, source)) for pattern sizes."""
-    sizes: dict[str | None, int] = {}
-    for p, n in patterns.items():
-        for s in p:
-            sizes[s] = sizes.get(s, 0) + n
-    # sources share what there is: a document of two sources counts once
-    goal = targets(sizes, weights, repeats)
-    scale = sum(patterns.values()) / max(1, sum(sizes.values()))
-    if scale < 1:
-        goal = {s: g * scale for s, g in goal.items()}
-    names, keys = list(goal), list(patterns)
-    flow = Flow(2 + len(keys) + len(names))
-    edges = {}
-    for k, p in enumerate(keys):
+            # what can't be reached stays as far as the farthest, so that costs left stay at zero or more
+            far = max(d for d in dist if d is not None)
+            high = [h + (far if d is None else d) for h, d in zip(high, dist, strict=True)]
+            while (level := self._levels(source, high))[sink] >= 0:
+                self._fill(source, sink, high, level)
+
+
+def route(patterns: Sequence[tuple[Sequence[int], int]], goal: dict[int, float], repeats: int = REPEATS) -> list[dict[int, int]]:
+    """Of each pattern (sources, size) the tokens that go to each of its sources; ``goal``: the sources' targets."""
+    names = {s: k for k, s in enumerate(sorted(goal))}
+    flow = Flow(2 + len(patterns) + len(names))
+    edges: list[dict[int, Edge]] = []
+    for k, (sources, size) in enumerate(patterns):
         for t in range(repeats):
-            flow.edge(0, 2 + k, patterns[p], t)
-        for s in p:
-            edges[p, s] = flow.edge(2 + k, 2 + len(keys) + names.index(s), repeats * patterns[p], 0)
-    for k, s in enumerate(names):
-        flow.edge(2 + len(keys) + k, 1, int(goal[s]), 0)
+            flow.edge(0, 2 + k, size, t)
+        edges.append({s: flow.edge(2 + k, 2 + len(patterns) + names[s], repeats * size, 0) for s in sources})
+    for s, k in names.items():
+        flow.edge(2 + len(patterns) + k, 1, int(goal[s]), 0)
     flow.run(0, 1)
-    return sizes, goal, {(p, s): repeats * patterns[p] - e.free for (p, s), e in edges.items()}
+    return [{s: repeats * size - e.free for s, e in own.items()} for own, (_, size) in zip(edges, patterns, strict=True)]
+
+
+def _routed(repeats: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One component: rows (pattern, size, k, goal) of its patterns' sources."""
+        sources, size, goal = {}, {}, {}
+        for p, n, k, g in zip(*(table[c].to_pylist() for c in ("pattern", "size", "k", "goal")), strict=True):
+            sources.setdefault(p, []).append(k)
+            size[p], goal[k] = n, g
+        keys = sorted(sources)
+        flows = route([(sorted(sources[p]), size[p]) for p in keys], goal, repeats)
+        return pa.table({"pattern": pa.array(keys, pa.string()), "flow": pa.array([sum(f.values()) for f in flows], pa.int64())})
+
+    return run
+
+
+def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """(source, source_size, k, target) of sources (source, source_size): places from 0 by code point, NULL last, and shares of the total by
+    weight, capped at ``repeats`` times the source's size, the excess reshared.
+
+    A target is the lesser of its cap and ``level`` times its weight. The level rises to where targets sum to the total: from the
+    sources that are capped at one level follows the next, which is never too high, until no further source is capped.
+    """
+    own = in_order(sizes.withColumn("none", F.col("source").isNull()), ["none", "source"], scratch, "sources").drop("none")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("k") % len(weights) + 1).cast("int"))
+    own = own.withColumns({"weight": weight, "cap": F.col("source_size") * repeats})
+    total = own.agg(F.sum("source_size")).first()[0] or 0
+    level, capped = 0.0, -1
+    while True:
+        over = F.col("cap") < F.lit(level) * F.col("weight")
+        n, caps, left = own.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0)), F.sum(F.when(~over, F.col("weight")))).first()
+        if n == capped or not left:
+            break
+        level, capped = (total - caps) / left, n
+    target = F.when(F.col("cap") < F.lit(level) * F.col("weight"), F.col("cap").cast("double")).otherwise(F.lit(level) * F.col("weight"))
+    return own.select("source", "source_size", "k", target.alias("target"))
+
+
+def quotas(patterns: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """(pattern, total, flow, source_size, target) of patterns (pattern, size): the tokens that are taken of each, and size and target of its
+    first source."""
+    member = patterns.select("pattern", "size", F.posexplode(pattern_of("pattern")).alias("place", "source")).withColumn("name", F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-")))
+    sizes = member.groupBy("name").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    goals = source_targets(sizes.drop("name"), scratch, weights, repeats)
+    # sources share what there is: a document of two sources counts once
+    both = patterns.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.col("size") * F.size(pattern_of("pattern"))), F.lit(0)), F.coalesce(F.max(F.size(pattern_of("pattern"))), F.lit(0))).first()
+    scale = min(1.0, both[0] / max(1, both[1]))
+    goals = goals.select(F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-")).alias("name"), "source_size", "k", (F.col("target") * scale if scale < 1 else F.col("target")).alias("goal"))
+    member = scratch.save(member.drop("source").join(goals, "name").drop("name"), "members")
+    first = member.where("place = 0").select("pattern", F.col("size").alias("total"), "source_size", F.col("goal").alias("target"), "k")
+    alone = F.floor("target").cast("long")
+    if both[2] <= 1:
+        return first.withColumn("flow", alone).drop("k")
+    least = member.where("place > 0").select("pattern").distinct().join(first.select("pattern", F.col("k").alias("a")), "pattern")
+    edges = least.join(member.select("pattern", F.col("k").alias("b")), "pattern").select("a", "b")
+    groups = connected_components(edges, scratch).select(F.col("node").alias("k"), "component")
+    shared = member.join(groups, "k").groupBy("component").applyInArrow(_routed(repeats), "pattern string, flow long")
+    return first.join(shared, "pattern", "left").withColumn("flow", F.coalesce("flow", alone)).drop("k")
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +238,6 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     bucket_rows: int = BUCKET_ROWS,
-    most_patterns: int = MOST_PATTERNS,
     row_col: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: id, pattern (sorted sources), size, taken (words, repeats counted), of the pattern's first
@@ -178,20 +256,13 @@ def mix(
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     read = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.to_json(pattern).alias("pattern"), hash_.alias("hash"), F.col(text_col).alias("text"))
     own = scratch.save(read.mapInArrow(_sizes, f"row long, id {id_type}, pattern string, hash string, size long"), "own")
-    # one row per pattern, whose number is checked before any is read
-    rows = own.groupBy("pattern").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.first(pattern_of("pattern")).alias("sources")).limit(most_patterns + 1).collect()
-    if len(rows) > most_patterns:
-        raise ValueError(f"more than {most_patterns} membership patterns: merge small sources first")
-    name = {r["pattern"]: tuple(r["sources"]) for r in rows}
-    sizes, goal, routed = plan({name[r["pattern"]]: r["size"] for r in rows}, weights, repeats)
-    taken = {p: sum(routed[name[p], s] for s in name[p]) for p in name}
-    told = [(r["pattern"], r["size"], taken[r["pattern"]], sizes[name[r["pattern"]][0]], float(goal[name[r["pattern"]][0]])) for r in rows]
-    told_df = F.broadcast(spark.createDataFrame(told, "pattern string, total long, flow long, source_size long, target double"))  # most_patterns rows at most
-    digits = 1
-    while 16**digits * bucket_rows < max((r["n"] for r in rows), default=0):
+    patterns = scratch.save(own.groupBy("pattern").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "patterns")
+    told = scratch.save(quotas(patterns.drop("n"), scratch, weights, repeats), "told")
+    most, digits = patterns.agg(F.max("n")).first()[0] or 0, 1
+    while 16**digits * bucket_rows < most:
         digits += 1
     some = own.where("size > 0")
-    classes = _starts(some.groupBy("pattern", "hash", "size").agg(F.count(F.lit(1)).alias("n")), digits).join(told_df.select("pattern", "total", "flow"), "pattern")
+    classes = _starts(some.groupBy("pattern", "hash", "size").agg(F.count(F.lit(1)).alias("n")), digits).join(told.select("pattern", "total", "flow"), "pattern")
     # of a class's words beyond whole rounds, ``part`` are taken: of its first rows in whole, of the next one in part
     part = F.greatest(F.lit(0), F.least(F.col("size") * F.col("n"), F.expr("flow % total") - F.col("start")))
     classes = scratch.save(classes.select("pattern", "hash", "n", F.expr("flow div total").alias("base"), part.alias("part")), "classes")
@@ -204,7 +275,7 @@ def mix(
     ranked = many.withColumn("nth", nth).join(ahead.hint("merge"), ["pattern", "hash", "slice"])
     several = ranked.select("row", "id", "pattern", "size", words(F.col("ahead") + F.col("nth")).alias("taken"))
     none = own.where("size = 0").select("row", "id", "pattern", "size", F.lit(0).cast("long").alias("taken"))
-    out = single.unionByName(several).unionByName(none).join(told_df.select("pattern", "source_size", "target"), "pattern")
+    out = single.unionByName(several).unionByName(none).join(told.select("pattern", "source_size", "target"), "pattern")
     return out.select(F.col("id").alias(id_col), pattern_of("pattern").alias("pattern"), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "row")
 
 
