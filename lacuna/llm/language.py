@@ -128,10 +128,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     n = usable.count()
     if not n:
         return train([])
-    # about ``sample`` rows; the hash of the id decides, not the layout
+    # about ``sample`` rows; the hash of id and text decides, not the layout, and rows that are alike count once, so that a
+    # row that is repeated without end is one row here
     most = min(1.0, sample / n)
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1 << 30)) < int(most * (1 << 30))
-    rows = usable.where(draw).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).collect()
+    draw = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) < int(most * (1 << 30))
+    rows = usable.where(draw).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).distinct().limit(2 * sample).collect()
     return train([(r["t"], r["l"]) for r in sorted(rows, key=lambda r: (r["i"], r["l"], r["t"]))])
 
 

@@ -58,3 +58,45 @@ def test_parts_and_nothing_to_learn(spark, rows, monkeypatch):
     assert L.identify(spark.createDataFrame([], SCHEMA)).count() == 0
     odd = spark.createDataFrame([(1, "abc", "x", 4)], SCHEMA + ", score int")
     assert L.identify(odd).columns == ["doc_id", "held_out", "lang_pred", "score", "rejected"]
+
+
+def plain_features(text):
+    """Buckets by their definition, one n-gram after another, with whole numbers of Python."""
+    data = b" " + text.lower().encode() + b"  "
+    word = 0xFFFFFFFF
+    out = []
+    for k in range(len(data) - 2):
+        three = data[k] | data[k + 1] << 8 | data[k + 2] << 16
+        out.append((three * 2654435761 & word) >> 32 - L.BITS)
+    for k in range(len(data) - 3):
+        four = data[k] | data[k + 1] << 8 | data[k + 2] << 16 | data[k + 3] << 24
+        out.append(((four ^ four >> 15) * 0x85EBCA6B & word) >> 32 - L.BITS)
+    return out
+
+
+def test_features_and_logits_against_plain_arithmetic(rows):
+    r = random.Random(3)
+    model = L.train([(t, lang) for _, t, lang in rows[:120]])
+    for t in ["a", "ÀÉ ß", "日本", " \n\t", rows[5][1], "".join(r.choices("aé日 Z", k=300))]:
+        want = plain_features(t)
+        assert sorted(L.features(t).tolist()) == sorted(want)
+        logits = [sum(float(model.table[b][k]) for b in want) / len(want) + float(model.bias[k]) for k in range(len(model.languages))]
+        assert model.logits(t).tolist() == pytest.approx(logits, rel=1e-6, abs=1e-6)
+
+
+def test_a_repeated_row_is_one_row_of_the_sample(spark, rows, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "train", lambda own: seen.append(own))
+    same = (rows[0][0], rows[0][1], rows[0][2])
+    assert zlib.crc32(str(same[0]).encode()) % 4 != 2
+    L.fit(spark.createDataFrame([same] * 5000 + rows[1:100], SCHEMA), sample=10_000)
+    assert seen[0].count((same[1], same[2])) == 1 and len(seen[0]) == len(set(seen[0])) > 50
+    L.fit(spark.createDataFrame(rows, SCHEMA), sample=40)
+    assert len(seen[1]) <= 80
+
+
+def test_accuracy_on_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    held = [r for r in L.identify(docs).collect() if r.held_out and r.lang_pred != "und" and lang[r.doc_id]]
+    assert len(held) > 150 and sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held)
