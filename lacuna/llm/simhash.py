@@ -290,12 +290,15 @@ def digest(out: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 #: Fingerprints of each text's distinct words; slots and bits of the sketch that sorts out clear cases.
 SEEDS, SLOTS = (42, 43), 256
-#: Sketches with so many slots filled settle a pair whose estimate is below the first or from the second bound on; at a
-#: similarity of 0.8 the chance of either is under 1e-14. All other pairs are settled on the full sets.
-FILLED, NEVER, SURE = 250, 0.55, 0.97
+#: Sketches with so many slots filled rule out a pair whose estimate is below this; at a similarity of 0.8 the chance is under
+#: 1e-14. All other pairs are settled on the full sets.
+FILLED, NEVER = 250, 0.55
+#: Pairs of one row that are settled in one run of rows.
+HUB = 1024
 #: Of texts one in 32, or so many if that is more, say which shingles are common; at most so many shingles are held as common.
 _SAMPLE, _COMMON = 8192, 1 << 18
-#: The chance, for a text, that none of the shingles it is looked for by stands in a text that is similar enough.
+#: The chance, for a text, that none of the shingles it is looked for by stands in a text that is similar enough; 0: none, with
+#: a fifth of all shingles in place of some 18 a text.
 MISS = 1e-12
 
 
@@ -330,13 +333,13 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def prefix(h: np.ndarray, similarity: float, common: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def prefix(h: np.ndarray, similarity: float, common: np.ndarray, weight: np.ndarray, miss: float = MISS) -> np.ndarray:
     """The set's first shingles, rare ones first: sets of ``similarity`` or more have one of these in common.
 
     The order is the same for all texts: by the weight of ``common`` shingles, 0 for others, then by hash. Of n shingles a
     set that is similar enough lacks m = n - ceil(similarity * n) at most, so the first m + 1 can't all be missing. Of r
     rare ones, in an order as good as random, the first k are all missing with a chance of (m / r)^k at most; so k that
-    brings this under ``MISS`` will do where that is fewer.
+    brings this under ``miss`` will do where that is fewer.
     """
     if not len(h):
         return h
@@ -344,8 +347,8 @@ def prefix(h: np.ndarray, similarity: float, common: np.ndarray, weight: np.ndar
     own = np.where(common[at] == h, weight[at], 0) if len(common) else np.zeros(len(h), np.int64)
     missing = len(h) - int(np.ceil(similarity * len(h) - 1e-9))
     rare, take = h[own == 0], missing + 1
-    if 0 < missing < len(rare):
-        take = min(take, int(np.ceil(np.log(MISS) / np.log(missing / len(rare)))))
+    if miss and 0 < missing < len(rare):
+        take = min(take, int(np.ceil(np.log(miss) / np.log(missing / len(rare)))))
     return rare[:take] if take <= len(rare) else h[np.lexsort((h, own))[:take]]
 
 
@@ -369,7 +372,7 @@ def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return shingle.view(np.uint64)[order], n[order]
 
 
-def _looks(size: int, similarity: float, common: np.ndarray, weight: np.ndarray):
+def _looks(size: int, similarity: float, common: np.ndarray, weight: np.ndarray, miss: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps, sketches, n, first = [], [], [], []
@@ -380,7 +383,7 @@ def _looks(size: int, similarity: float, common: np.ndarray, weight: np.ndarray)
                 h = np.unique(shingle_hashes(w, size))
                 sketches.append(sketch(h))
                 n.append(len(h))
-                first.append(prefix(h, similarity, common, weight).view(np.int64))
+                first.append(prefix(h, similarity, common, weight, miss).view(np.int64))
             columns = [pa.array(fps, pa.list_(_LONG)), pa.array(sketches, pa.binary()), pa.array(n, _LONG), pa.array(first, pa.list_(_LONG))]
             yield pa.RecordBatch.from_arrays([b["row"], *columns], ["row", "fps", "look", "shingles", "first"])
 
@@ -440,27 +443,35 @@ def _sharing(similarity: float, best_only: bool) -> Callable:
 
 
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that their sketches (columns x, y) don't rule out, and whether these prove them."""
+    """Pairs that their sketches (columns x, y) don't rule out."""
     for batch in batches:
         if batch.num_rows:
             x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, SLOTS) for c in ("x", "y"))
             full = ((x != 0xFFFF).sum(axis=1) >= FILLED) & ((y != 0xFFFF).sum(axis=1) >= FILLED)
-            like = estimate(x, y)
-            keep = pa.array(~full | (like >= NEVER))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(full & (like >= SURE))], ["a", "b", "sure"]).filter(keep)
+            yield batch.select(["a", "b"]).filter(pa.array(~full | (estimate(x, y) >= NEVER)))
 
 
-def _settled(size: int, similarity: float) -> Callable:
+def _sets(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs whose texts (columns x, y) are similar enough; the last y is kept, since a hub's pairs come together."""
-        last, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array([shingle_set(t, size).tobytes() for t in batch["text"].to_pylist()], pa.binary())], ["row", "own"])
+
+    return run
+
+
+def _settled(similarity: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose shingle sets are similar enough. Rows (b, run, a, own) come sorted: first the set of b itself (a is NULL), then those
+        of the rows that it is compared with, so a row's set is held once however many pairs it has."""
+        hub = np.zeros(0, np.uint64)
         for batch in batches:
             ok = []
-            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
-                if y != last:
-                    last, own = y, shingle_set(y, size)
-                ok.append(jaccard(shingle_set(x, size), own) >= similarity)
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+            for a, own in zip(batch["a"].to_pylist(), batch["own"].to_pylist(), strict=True):
+                h = np.frombuffer(own, np.uint64)
+                if a is None:
+                    hub = h
+                ok.append(a is not None and jaccard(h, hub) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -468,11 +479,11 @@ def _settled(size: int, similarity: float) -> Callable:
 class _Near:
     """The steps of ``near_copies`` over one table of rows."""
 
-    def __init__(self, docs: DataFrame, size: int, similarity: float, id_col: str, text_col: str, bucket: int):
+    def __init__(self, docs: DataFrame, size: int, similarity: float, id_col: str, text_col: str, bucket: int, miss: float):
         self.scratch, self.size, self.similarity, self.bucket = Scratch(docs.sparkSession, "near"), size, similarity, bucket
         self.base = numbered(docs, self.scratch, id=id_col, text=text_col)
         self.texts = self.base.select("row", "text")
-        own = self.texts.mapInArrow(_looks(size, similarity, *_common(self.texts, size)), "row long, fps array<long>, look binary, shingles long, first array<long>")
+        own = self.texts.mapInArrow(_looks(size, similarity, *_common(self.texts, size), miss), "row long, fps array<long>, look binary, shingles long, first array<long>")
         self.looks = self.scratch.save(own, "looks")
 
     def golay_pairs(self) -> DataFrame:
@@ -489,16 +500,22 @@ class _Near:
         return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame, tag: str) -> DataFrame:
-        """The pairs whose shingle sets are similar enough."""
+        """The pairs whose shingle sets are similar enough: sketches rule out what they can, sets decide on the rest.
+
+        Each row of a pair is hashed once. A pair carries the set of its row a; that of b goes ahead of its pairs, once for each run of
+        about ``HUB`` of them, so neither a row of many pairs is copied for each nor all its pairs meet in one task.
+        """
         save, pairs = self.scratch.save, self.scratch.save(pairs, f"{tag}-pairs")
-        ends = lambda of, c, p: p.join(of.select(F.col("row").alias("a"), F.col(c).alias("x")), "a").join(of.select(F.col("row").alias("b"), F.col(c).alias("y")), "b")
-        told = save(ends(self.looks, "look", pairs).mapInArrow(_told, "a long, b long, sure boolean"), f"{tag}-told")
-        open_ = told.where("not sure").select("a", "b")
-        wanted = open_.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-        held = save(self.texts.join(wanted, "row"), f"{tag}-texts")
-        late = ends(held, "text", open_).mapInArrow(_settled(self.size, self.similarity), "a long, b long")
-        out = save(told.where("sure").select("a", "b").unionByName(late), f"{tag}-links")
-        self.scratch.drop(f"{tag}-texts", f"{tag}-told")
+        look = lambda c, name: self.looks.select(F.col("row").alias(c), F.col("look").alias(name))
+        told = save(pairs.join(look("a", "x"), "a").join(look("b", "y"), "b").mapInArrow(_told, "a long, b long"), f"{tag}-told")
+        wanted = told.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+        sets = save(self.texts.join(wanted, "row").mapInArrow(_sets(self.size), "row long, own binary"), f"{tag}-sets")
+        runs = told.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("runs"))
+        members = told.join(runs, "b").select("b", F.pmod(F.xxhash64("a"), "runs").cast("int").alias("run"), "a").join(sets.withColumnRenamed("row", "a"), "a").select("b", "run", "a", "own")
+        hubs = runs.select("b", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(None).cast("long").alias("a")).join(sets.withColumnRenamed("row", "b"), "b").select("b", "run", "a", "own")
+        dealt = hubs.unionByName(members).repartition("b", "run").sortWithinPartitions("b", "run", F.asc_nulls_first("a"))
+        out = save(dealt.mapInArrow(_settled(self.similarity), "a long, b long"), f"{tag}-links")
+        self.scratch.drop(f"{tag}-sets", f"{tag}-told")
         return out
 
     def parts(self, links: DataFrame, tag: str) -> DataFrame:
@@ -552,12 +569,12 @@ class _Near:
         return part
 
 
-def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bucket: int = 512) -> tuple[DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bucket: int = 512, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
     """The rows of ``docs`` as (_row, id, text, row), and (row, keeper) for each row in a group of near copies.
 
     Groups are the components of all pairs of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more; the
-    keeper is the group's row of least id, nulls last. They are found in two passes, of which the second is complete by itself
-    and the first leaves it little to do:
+    keeper is the group's row of least id, nulls last. They are found in two passes, of which the second would find all of them
+    (with ``miss`` 0 by proof, else but for that chance a text) and the first leaves it little to do:
 
     * links at 4 bits between fingerprints of the distinct words, any of ``SEEDS``, found with Golay keys as above: a changed
       word alters ``size`` shingles but one word, so copies have close word fingerprints. Each row is compared with one row
@@ -566,10 +583,10 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
       ``prefix``). Rows of different parts that share one are compared, unless their sizes or places rule it out: first each
       with one other by each shingle, then, with the parts that are left, with all.
 
-    ``SLOTS`` minima settle pairs far from ``similarity``, the full sets all others. Null and empty texts, without words, are one
+    Sketches of ``SLOTS`` minima rule out pairs far below ``similarity``, the full sets settle all others. Null and empty texts, without words, are one
     another's copies; repeated rows are copies, of which one stays.
     """
-    near = _Near(docs, size, similarity, id_col, text_col, bucket)
+    near = _Near(docs, size, similarity, id_col, text_col, bucket, miss)
     groups = near.groups().join(near.base.select("row", "id"), "row")
     keeper = groups.groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("k")).select("part", F.col("k.row").alias("keeper"))
     return near.base, near.scratch.save(groups.join(keeper, "part").select("row", "keeper"), "keepers")

@@ -170,11 +170,12 @@ def test_pairs_near_the_threshold_are_settled_exactly():
         x, y = ({tuple(t.split()[i : i + 5]) for i in range(1496)} for t in texts)
         want = len(x & y) / len(x | y) >= 0.8
         seen.add(want)
-        pair = pa.RecordBatch.from_pydict({"a": [1], "b": [0], "x": texts[:1], "y": texts[1:]})
-        assert sum(b.num_rows for b in S._settled(5, 0.8)(iter([pair]))) == want
-        looks = [S.sketch(S.shingle_set(t, 5)) for t in texts]
+        sets = [S.shingle_set(t, 5) for t in texts]
+        pair = pa.RecordBatch.from_pydict({"a": pa.array([None, 1], pa.int64()), "b": [0, 0], "own": [x.tobytes() for x in sets]})
+        assert sum(b.num_rows for b in S._settled(0.8)(iter([pair]))) == want
+        looks = [S.sketch(h) for h in sets]
         told = next(S._told(iter([pa.RecordBatch.from_pydict({"a": [1], "b": [0], "x": looks[:1], "y": looks[1:]})])))
-        assert told.to_pydict() == {"a": [1], "b": [0], "sure": [False]}  # left to the full sets
+        assert told.to_pydict() == {"a": [1], "b": [0]}  # left to the full sets
     assert seen == {True, False}
 
 
@@ -229,8 +230,9 @@ def test_groups_do_not_depend_on_the_word_fingerprints(spark, monkeypatch):
         rows.append((len(rows), " ".join(w)))
     want = groups_of(rows)
     monkeypatch.setattr(S, "hamming_links", lambda fps, scratch, *a, **k: spark.createDataFrame([], "a long, b long, space long"))
-    for bucket in (512, 7):
-        assert keepers(spark.createDataFrame(rows, SCHEMA), bucket=bucket) == {i: c for i, c in want.items() if list(want.values()).count(c) > 1}
+    for bucket, hub, miss in ((512, 1024, S.MISS), (7, 1, 0.0)):
+        monkeypatch.setattr(S, "HUB", hub)
+        assert keepers(spark.createDataFrame(rows, SCHEMA), bucket=bucket, miss=miss) == {i: c for i, c in want.items() if list(want.values()).count(c) > 1}
 
 
 def test_prefixes_of_similar_sets_meet():
@@ -249,3 +251,5 @@ def test_prefixes_of_similar_sets_meet():
                 x, y = (S.prefix(s, 0.8, common, np.full(len(common), 3)) for s in (a, b))
                 assert len(np.intersect1d(x, y))
                 assert len(S.prefix(a, 0.8, none, none)) <= 18
+                full = len(a) - int(np.ceil(0.8 * len(a) - 1e-9)) + 1
+                assert len(S.prefix(a, 0.8, common, np.full(len(common), 3), 0.0)) == full
