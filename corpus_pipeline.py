@@ -6,65 +6,40 @@ as the next stage's docs. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import threading
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lacuna.llm import exact_dedup, mixing, packing, quality, simhash
 from lacuna.llm.common import Scratch, release, scratch_made
 
 
-class _Held(threading.local):
-    """Intermediate tables of the stage that this thread ran last."""
-
-    def __init__(self):
-        self.made: list[Scratch] = []
-
-
-_held = _Held()
-
-
-def stage(work: Callable) -> Callable:
-    """A stage, at whose start the intermediate tables of the one before go: that one's result is written by then."""
-
-    @wraps(work)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(_held.made)
-        with scratch_made(_held.made):
-            return work(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go. NULL and empty texts have no words and are rejected; rows that are alike, or share an
+    id, are judged each for itself; columns beyond those of ``documents``, whatever their names, stay; an empty table stays empty."""
     return quality.keep_good(docs)
 
 
-@stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts stays, the longest, of equals the least id; of rows alike in both any one. NULL is
+    an empty text; further columns stay; an empty table stays empty."""
     return exact_dedup.keep_first(docs)
 
 
-@stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies stays, the one of least id, a NULL id last: five-word shingles, similarity 0.8 or
+    more. Texts without words, NULL included, are copies of one another; further columns stay; an empty table stays empty."""
     return simhash.keep_one(docs)
 
 
-@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them, the last of a source in part."""
+    """Documents as often as their source's target takes them, the last of a source in part, with ``n_chars`` anew. A NULL source is a
+    source; texts without words, NULL included, are never taken; rows that are alike are taken as one order of them says, the
+    same at each run; further columns stay; an empty table stays empty."""
     return mixing.take(docs)
 
 
-@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of the mix's tokens; one row per piece."""
+    """Sequences of the mix's tokens; one row per piece. NULL and empty texts are an end id; rows that repeat an id, as the mix makes
+    them, are documents of their own; other columns are not read; an empty table gives no pieces."""
     return packing.pack_documents(docs)
 
 
@@ -74,7 +49,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's result is a table; when it is written, the tables that the stage made on its way go, and so
+    does the result of the stage before it."""
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
-    for name, work in STAGES:
-        docs = scratch.save(work(spark, docs, sf_dir), name)
+    for k, (name, work) in enumerate(STAGES):
+        made: list[Scratch] = []
+        with scratch_made(made):
+            result = work(spark, docs, sf_dir)
+        docs = scratch.save(result, name)
+        release(made)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
     return docs
