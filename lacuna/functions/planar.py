@@ -163,6 +163,38 @@ def clip_share(ax: Column, ay: Column, dx: Column, dy: Column, edge_list: Column
     return share_inside(ax, ay, dx, dy, edge_list, crossings(ax, ay, dx, dy, edge_list))
 
 
+def signed_area(ring: Column) -> Column:
+    """Twice the area of a closed ring, above 0 if it runs counterclockwise."""
+    return F.aggregate(F.sequence(F.lit(1), F.size(ring) - 1), F.lit(0.0), lambda s, k: s + F.get(ring, k - 1)["x"] * F.get(ring, k)["y"] - F.get(ring, k)["x"] * F.get(ring, k - 1)["y"])
+
+
+def oriented(rings: Column) -> Column:
+    """Rings with what they enclose by the even-odd rule on their left: counterclockwise where an even number of others holds them.
+
+    Rings of a valid polygon don't cross, so a ring's first vertex stands for it.
+    """
+    short = lambda r: F.size(r) < 4
+    around = lambda r, k: F.size(F.filter(rings, lambda o, j: (j != k) & ~short(o) & contains(F.get(r, F.lit(0))["x"], F.get(r, F.lit(0))["y"], edges(F.array(o))))) % 2 == 0
+    left = lambda r, k: F.when(F.size(rings) == 1, F.lit(True)).otherwise(around(r, k))
+    return F.transform(rings, lambda r, k: F.when(short(r) | ((signed_area(r) > 0) == left(r, k)), r).otherwise(F.reverse(r)))
+
+
+def edge_share(ax: Column, ay: Column, dx: Column, dy: Column, x: Column, y: Column, u: Column, v: Column) -> Column:
+    """What an edge (x, y) to (u, v) of oriented rings adds to the share of a segment inside them: summed over all edges it is the share in
+    the closed polygon. No edge needs to know of the others, so the sum can be made by any aggregation.
+
+    Where the segment's line leaves over an edge, the place counts, cut to the segment; where it enters, it counts negative. A corner
+    on the line belongs to the line's left, so a stretch along an edge with the inside on the left counts as outside and is added.
+    """
+    clip = lambda t: F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+    side = lambda px, py: dx * (py - ay) - dy * (px - ax)
+    first, last = side(x, y), side(u, v)
+    at = clip(((x - ax) * (v - y) - (y - ay) * (u - x)) / F.nullif(dx * (v - y) - dy * (u - x), F.lit(0.0)))
+    along = lambda px, py: clip(((px - ax) * dx + (py - ay) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))
+    same_way = (u - x) * dx + (v - y) * dy > 0
+    return F.when((first >= 0) & (last < 0), -at).when((first < 0) & (last >= 0), at).when((first == 0) & (last == 0) & same_way, along(u, v) - along(x, y)).otherwise(F.lit(0.0))
+
+
 def map_vertices(rings: str, steps: list[tuple[str, str]], result: tuple[str, str]) -> Column:
     """The column of rings with every vertex changed by steps (name, SQL), each from ``x``, ``y`` and the names before it and from other
     columns of the row; ``result`` names the new coordinates. A step is computed once a vertex, however often later ones use it."""
@@ -212,8 +244,7 @@ def repaired(rings: Column) -> Column:
     once = F.transform(opened, _without_folds)
     twice = F.transform(F.transform(once, turned), _without_folds)
     closed = F.transform(twice, lambda r: F.when(F.size(r) > 2, F.concat(r, F.slice(r, 1, 1))).otherwise(F.slice(r, 1, 0)))
-    area = lambda r: F.aggregate(F.sequence(F.lit(1), F.size(r) - 1), F.lit(0.0), lambda s, k: s + F.get(r, k - 1)["x"] * F.get(r, k)["y"] - F.get(r, k)["x"] * F.get(r, k - 1)["y"])
-    return F.filter(closed, lambda r: (F.size(r) > 3) & (F.when(F.size(r) > 3, area(r)).otherwise(F.lit(0.0)) != 0))
+    return F.filter(closed, lambda r: (F.size(r) > 3) & (F.when(F.size(r) > 3, signed_area(r)).otherwise(F.lit(0.0)) != 0))
 
 
 def rectangle(x0: Column, x1: Column, y0: Column, y1: Column) -> Column:

@@ -58,6 +58,19 @@ def building_gap(tracts: DataFrame, buildings: DataFrame, how: str = "centroid",
     return with_gap(tracts, counts, "ov_cnt", "ms_cnt", "building_gap")
 
 
+def building_gaps(tracts: DataFrame, buildings: DataFrame, hows: tuple[str, ...], cell: float = CELL) -> DataFrame:
+    """The gap under several rules, a row for each tract and rule (``variant``), from one join: each rule implies that the boxes overlap."""
+    half = F.col("half")
+    boxed = buildings.withColumns({"bx0": F.col("cx") - half, "bx1": F.col("cx") + half, "by0": F.col("cy") - half, "by1": F.col("cy") + half})
+    pairs = grid_join(boxed, tracts.select("tid", *_TRACT_BOX), ("bx0", "bx1", "by0", "by1"), _TRACT_BOX, cell)
+    sides = (("ov_cnt", "in_mapped"), ("ms_cnt", "in_ref"))
+    counts = pairs.groupBy("tid").agg(*(F.count_if(PREDICATES[h]() & F.col(c)).alias(f"{h}_{n}") for h in hows for n, c in sides))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    one = lambda h: F.struct(F.lit(h).alias("variant"), *(zero(f"{h}_{n}").alias(n) for n, _ in sides))
+    out = tracts.join(counts, "tid", "left").select(*tracts.columns, F.explode(F.array(*map(one, hows))).alias("_v")).select(*tracts.columns, "_v.*")
+    return out.withColumn("building_gap", planar.ratio_gap(F.col("ov_cnt"), F.col("ms_cnt")))
+
+
 SEGMENT = ("ax", "ay", "dx", "dy")
 ROAD_BOX = ("rx0", "rx1", "ry0", "ry1")
 
@@ -83,21 +96,23 @@ def road_lengths(tracts: DataFrame, roads: DataFrame, cell: float = CELL, by: tu
 
 
 def polygon_lengths(polygons: DataFrame, roads: DataFrame, cell: float = CELL, by: tuple[str, ...] = ()) -> DataFrame:
-    """The same for polygons (tid, edges, box). Candidates are pairs of a road and a polygon's box; the polygon's edges join them
-    by id, once a pair, and the groups are then where they are needed. ``by``: keys that roads and polygons share, as a variant."""
+    """The same for polygons (tid, edges, box) of oriented rings, as ``with_edges`` makes them. Candidates are pairs of a road and a polygon's
+    box; the polygon's edges join them by id, once a pair. What each edge adds to a road's share is a row's arithmetic and is summed per
+    polygon where it is made, so the clip runs in generated code and nothing is grouped by pair. ``by``: keys that roads and polygons
+    share, as a variant."""
     keys = [*by, "tid"]
     boxes = polygons.select(*keys, *_TRACT_BOX)
     pairs = grid_join(road_boxes(roads.select(*by, "ax", "ay", "dx", "dy", "mapped")), boxes, ROAD_BOX, _TRACT_BOX, cell, by=by, segment=SEGMENT)
     segment = [F.col(c) for c in SEGMENT]
-    pairs = pairs.where(planar.clip_to_box(*segment, *(F.col(c) for c in _TRACT_BOX)) > 0).select(*keys, "ax", "ay", "dx", "dy", "mapped")
-    pairs = pairs.join(polygons.select(*keys, "edges"), keys).withColumn("crossed", planar.crossings(*segment, F.col("edges")))
-    pairs = pairs.withColumn("len", planar.share_inside(*segment, F.col("edges"), F.col("crossed")) * planar.length(F.col("dx"), F.col("dy")))
-    return pairs.groupBy(*keys).agg(F.sum(F.when(F.col("mapped"), F.col("len")).otherwise(0.0)).alias("ov_len"), F.sum(F.when(~F.col("mapped"), F.col("len")).otherwise(0.0)).alias("tiger_len"))
+    pairs = pairs.where(planar.clip_to_box(*segment, *(F.col(c) for c in _TRACT_BOX)) > 0).select(*keys, *SEGMENT, "mapped")
+    each = pairs.join(polygons.select(*keys, "edges"), keys).select(*keys, *SEGMENT, "mapped", F.explode("edges").alias("_e"))
+    each = each.withColumn("len", planar.edge_share(*segment, *(F.col(f"_e.{c}") for c in "xyuv")) * planar.length(F.col("dx"), F.col("dy")))
+    return each.groupBy(*keys).agg(F.sum(F.when(F.col("mapped"), F.col("len")).otherwise(0.0)).alias("ov_len"), F.sum(F.when(~F.col("mapped"), F.col("len")).otherwise(0.0)).alias("tiger_len"))
 
 
 def with_edges(polygons: DataFrame, rings: str = "rings") -> DataFrame:
-    """Polygons with their edges and box in place of rings."""
-    out = polygons.withColumns({"edges": planar.edges(F.col(rings)), "_box": planar.box_of_rings(F.col(rings))})
+    """Polygons with the edges of their oriented rings and their box in place of rings."""
+    out = polygons.withColumns({"edges": planar.edges(planar.oriented(F.col(rings))), "_box": planar.box_of_rings(F.col(rings))})
     out = out.withColumns({c: F.col(f"_box.{n}") for c, n in zip(_TRACT_BOX, ("xmin", "xmax", "ymin", "ymax"), strict=True)})
     return crs.like(out, rings, _TRACT_BOX).drop("_box", rings)
 

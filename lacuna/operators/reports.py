@@ -115,10 +115,15 @@ def consistency(df: DataFrame, a: Column, b: Column, eps: float = 1e-9) -> DataF
 
 def disparity(df: DataFrame, value: str, strata: dict[str, Column]) -> DataFrame:
     """(stratum, mean_in, mean_out, ratio, pct_larger) over defined values, all strata in one pass."""
-    v = F.col(value)
-    wide = df.agg(*(F.avg(F.when(c if inside else ~c, v)).alias(f"{n}_{inside}") for n, c in strata.items() for inside in (True, False)))
-    rows = F.array(*(F.struct(F.lit(n).alias("stratum"), F.col(f"{n}_True").alias("mean_in"), F.col(f"{n}_False").alias("mean_out")) for n in strata))
-    out = wide.select(F.explode(rows).alias("r")).select("r.*").withColumn("ratio", F.try_divide("mean_in", "mean_out"))
+    return disparities(df, [value], strata).drop("component")
+
+
+def disparities(df: DataFrame, values: Sequence[str], strata: dict[str, Column]) -> DataFrame:
+    """(component, stratum, mean_in, mean_out, ratio, pct_larger) of several values, all in one pass over the table."""
+    mean = lambda v, c: F.avg(F.when(c, F.col(v)))
+    wide = df.agg(*(mean(v, c if inside else ~c).alias(f"{v}|{n}|{inside}") for v in values for n, c in strata.items() for inside in (True, False)))
+    one = lambda v, n: F.struct(F.lit(v).alias("component"), F.lit(n).alias("stratum"), F.col(f"`{v}|{n}|True`").alias("mean_in"), F.col(f"`{v}|{n}|False`").alias("mean_out"))
+    out = wide.select(F.explode(F.array(*(one(v, n) for v in values for n in strata))).alias("r")).select("r.*").withColumn("ratio", F.try_divide("mean_in", "mean_out"))
     return out.withColumn("pct_larger", (F.col("ratio") - 1) * 100)
 
 
@@ -174,6 +179,35 @@ def perturb_rows(df: DataFrame, key: str, value: str, moves: dict[int, float]) -
     return df.withColumn("perturbed", F.when(bad, F.raise_error(F.concat(F.lit("out of range: "), F.col(key).cast("string"))).cast("double")).otherwise(moved))
 
 
+def fix_and_perturb(df: DataFrame, key: str, value: str, fixed: dict[int, float], moves: dict[int, float]) -> DataFrame:
+    """Some rows set to known values, then some moved by a step of their own (also of those just set); fails where that leaves [0, 1]."""
+    set_ = F.col(value)
+    for k, v in fixed.items():
+        set_ = F.when(F.col(key) == k, F.lit(v)).otherwise(set_)
+    return perturb_rows(df.withColumn(value, set_), key, value, moves)
+
+
+def proxy(b: Column, a: Column, r: Column, p: Column, u: Column) -> Column:
+    """The linear proxy u - 1 - (b + 2 a + r + p) / 4, not below 0; NULL if any part is."""
+    x = u - 1 - (b + 2 * a + r + p) / 4
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), x))
+
+
+def ends(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first and the last ``n`` rows in this order, with their side; rows of a short table are on both."""
+    first = df.orderBy(*order).limit(n).withColumn("side", F.lit("first"))
+    return first.unionByName(df.orderBy(*(F.desc(c) for c in order)).limit(n).withColumn("side", F.lit("last")))
+
+
+def decode_mae_case(n: Column, base: Column, moved: Column, d: Column, eps: float = 1e-9) -> Column:
+    """(error, case) of a row whose value fell by d: its error if it lies between 0 and d; else the mean absolute error moves by d / n whatever
+    the error is, and only a bound can be told (``at_most`` 0, ``at_least`` d). A larger move has another cause: ``not_one_row``."""
+    step = n * (moved - base)
+    case = F.when(F.abs(step) > d + eps, "not_one_row").when(step >= d - eps, "at_most").when(step <= eps - d, "at_least").otherwise("exact")
+    error = F.when(case == "at_most", F.lit(0.0)).when(case == "at_least", d).when(case == "exact", decode_mae(n, base, moved, d))
+    return F.struct(error.alias("error"), case.alias("case"))
+
+
 def decode_mae(n: Column, base: Column, moved: Column, d: Column) -> Column:
     """A row's error, between 0 and d, from the mean absolute error before and after its value fell by d."""
     return (d - n * (moved - base)) / 2

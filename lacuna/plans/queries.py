@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +83,7 @@ def _l_rings(t: DataFrame) -> DataFrame:
 
 
 def _l_shapes(t: DataFrame) -> DataFrame:
+    """The same as edges; the ring is counterclockwise."""
     return _l_rings(t).withColumn("edges", planar.edges(F.col("rings"))).drop("rings")
 
 
@@ -258,11 +260,8 @@ def disparity_ratio(spark, root):
 
 @query(over(" UNION ALL ".join(f"SELECT '{c}' AS component, * FROM ({_disparity_sql(c)})" for c in _GAPS[:3]), measures=True))
 def component_disparity(spark, root):
-    scores, out = _scores(spark, root), None
-    for c in _GAPS[:3]:
-        own = _disparity(scores, c).select(F.lit(c).alias("component"), "*")
-        out = own if out is None else out.unionByName(own)
-    return out
+    out = reports.disparities(_scores(spark, root), _GAPS[:3], {n: F.expr(c) for n, c in _STRATA.items()})
+    return out.select("component", "stratum", r6("mean_in"), r6("mean_out"), r6("ratio"), F.round("pct_larger", 4).alias("pct_larger"))
 
 
 @query(over("SELECT CAST(1 + CAST(svi > a AS INT) + CAST(svi > b AS INT) + CAST(svi > c AS INT) AS INT) AS quartile, rural, count(*) AS n, round(avg(coverage_gap_score), 6) AS mean FROM score, (SELECT quantile_cont(svi, 0.25) AS a, quantile_cont(svi, 0.5) AS b, quantile_cont(svi, 0.75) AS c FROM score) GROUP BY 1, 2", measures=True))
@@ -629,6 +628,89 @@ def conformal_interval(spark, root):
     return reports.conformal(_predictions(spark, root), "p", "ref").select(r6("q_hat"), r6("coverage"), r6("mean_width"))
 
 
+_CASES = {3: 0.004, 4: -0.003, 6: 0.02}
+
+
+@query(over(" UNION ALL ".join(f"SELECT {k} AS tid, CASE WHEN abs(st) > 0.01e0 + 1e-9 THEN NULL WHEN st >= 0.01e0 - 1e-9 THEN 0 WHEN st <= 1e-9 - 0.01e0 THEN 0.01e0 ELSE round((0.01e0 - st) / 2, 7) END AS error, CASE WHEN abs(st) > 0.01e0 + 1e-9 THEN 'not_one_row' WHEN st >= 0.01e0 - 1e-9 THEN 'at_most' WHEN st <= 1e-9 - 0.01e0 THEN 'at_least' ELSE 'exact' END AS \"case\" FROM (SELECT count(*) * (avg(abs(CASE WHEN tid = {k} THEN {e}e0 - 0.01e0 ELSE p - ref END)) - avg(abs(CASE WHEN tid = {k} THEN {e}e0 ELSE p - ref END))) AS st FROM pred)" for k, e in _CASES.items()), _PRED, measures=True))
+def mae_decode_cases(spark, root):
+    """Probes of rows whose error lies within the step, below 0 and beyond it: all from one pass."""
+    p = _predictions(spark, root)
+    own = lambda k, e, d: F.avg(F.abs(F.when(F.col("tid") == k, F.lit(e - d)).otherwise(F.col("p") - F.col("ref"))))
+    m = p.agg(F.count(F.lit(1)).alias("n"), *(own(k, e, d).alias(f"m{k}_{w}") for k, e in _CASES.items() for w, d in (("base", 0.0), ("moved", 0.01))))
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("tid"), reports.decode_mae_case(F.col("n"), F.col(f"m{k}_base"), F.col(f"m{k}_moved"), F.lit(0.01)).alias("c")) for k in _CASES)))
+    return m.select(rows.alias("r")).select("r.tid", F.round("r.c.error", 7).alias("error"), F.col("r.c.case").alias("case"))
+
+
+@query(over("SELECT tid, base, round(base + CASE tid WHEN 5 THEN 0.001 WHEN 17 THEN 0.002 ELSE 0 END, 6) AS perturbed FROM (SELECT tid, CASE WHEN tid = 5 THEN 0.25e0 ELSE round(coverage_gap_score * 0.99, 6) END AS base FROM score)", measures=True))
+def perturb_fixed(spark, root):
+    s = _scores(spark, root).select("tid", F.round(F.col("coverage_gap_score") * 0.99, 6).alias("base"))
+    return reports.fix_and_perturb(s, "tid", "base", {5: 0.25}, _MOVES).select("tid", "base", r6("perturbed"))
+
+
+@query(over("SELECT tid, round(CASE WHEN x IS NOT NULL THEN greatest(0, x) END, 6) AS proxy FROM (SELECT tid, k - 1 - (building_gap + 2 * transport_gap + CAST(rural AS INT) + poi_gap) / 4 AS x FROM score)", measures=True))
+def proxy_formula(spark, root):
+    c = F.col
+    return _scores(spark, root).select("tid", F.round(reports.proxy(c("building_gap"), c("transport_gap"), c("rural").cast("int"), c("poi_gap"), c("k")), 6).alias("proxy"))
+
+
+@query(over("SELECT tid, round(coverage_gap_score, 6) AS coverage_gap_score, 'first' AS side FROM (SELECT * FROM score ORDER BY tid LIMIT 5) UNION ALL SELECT tid, round(coverage_gap_score, 6), 'last' FROM (SELECT * FROM score ORDER BY tid DESC LIMIT 5)", measures=True))
+def score_preview(spark, root):
+    return reports.ends(_scores(spark, root).select("tid", r6("coverage_gap_score")), 5, "tid")
+
+
+# ---- files
+
+_KINDS = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE"}
+_DESCRIBED = ("region", "nation", "customer", "supplier", "part", "documents", "labels")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, column_type FROM (DESCRIBE {t})" for t in _DESCRIBED))
+def describe_tables(spark, root):
+    rows = [(t, name, _KINDS.get(kind, kind)) for t in _DESCRIBED for name, kind, _ in tables.schema_report(tables.read(spark, root, t))]
+    return spark.createDataFrame(rows, "table_name string, column_name string, column_type string")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{layers.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_HEADER = "GEOID,coverage_gap_score"
+
+
+@query(over(f"SELECT '{_HEADER}' AS line, 1 AS n, 0 AS zeros, 0 AS places, 2 AS fields UNION ALL SELECT 'row', count(*), count(*) FILTER (WHERE lpad(CAST(tid AS VARCHAR), 11, '0') LIKE '0%'), 0, 2 FROM tract"))
+def export_lines(spark, root):
+    """The minimal export as the text that it is: the header, and rows with their leading zeros and places."""
+    path = _folder(spark, "export")
+    s = _scores(spark, root).select(F.lpad(F.col("tid").cast("string"), 11, "0").alias("GEOID"), "coverage_gap_score")
+    tables.export_scores(s, path)
+    return tables.line_profile(tables.read_lines(spark, path))
+
+
+@query(over("SELECT GEOID, region, round(coverage_gap_score, 6) AS coverage_gap_score FROM (SELECT lpad(CAST(t.tid AS VARCHAR), 11, '0') AS GEOID, 'R' || CAST(t.tid % 3 AS VARCHAR) AS region, s.coverage_gap_score FROM tract t JOIN score s USING (tid) WHERE t.tid % 7 <> 0 UNION ALL SELECT '99000000001', 'R1', NULL)", measures=True))
+def template_rows(spark, root):
+    """A CSV template says which tracts are scored: its keys stay text, its regions hold whatever a key begins with, tracts that it lacks go, and
+    a row that no tract has stays without a score."""
+    path = _folder(spark, "template")
+    t = tables.tracts(spark, root)
+    own = t.where("tid % 7 <> 0").select(F.lpad(F.col("tid").cast("string"), 11, "0").alias("GEOID"), F.concat(F.lit("R"), (F.col("tid") % 3).cast("string")).alias("region"), F.lit(None).cast("double").alias("coverage_gap_score"))
+    elsewhere = t.limit(1).select(F.lit("99000000001").alias("GEOID"), F.lit("R1").alias("region"), F.lit(None).cast("double").alias("coverage_gap_score"))
+    own.unionByName(elsewhere).write.csv(path, header=True)
+    s = _scores(spark, root).select(F.lpad(F.col("tid").cast("string"), 11, "0").alias("GEOID"), r6("coverage_gap_score"))
+    return tables.read_template(spark, path).drop("coverage_gap_score").join(s, "GEOID", "left")
+
+
+@query(over("SELECT variant, region, count(*) AS n, count(building_gap) AS n_defined, round(sum(building_gap), 4) AS total FROM (" + " UNION ALL ".join(f"SELECT '{h}' AS variant, region, building_gap FROM ({sql})" for h, sql in (("centroid", _BUILDING.replace("LEFT JOIN c ", f"LEFT JOIN ({oracles.counts('centroid')}) c ")), ("within", _BUILDING.replace("LEFT JOIN c ", f"LEFT JOIN ({oracles.counts('within')}) c ")))) + ") WHERE region = 'ASIA' GROUP BY ALL"))
+def component_slice(spark, root):
+    """A component table written by region and variant: a region's files alone are read, each row's variant comes from its file's path, and a
+    committed table would stand before the fresh one."""
+    t, b, *_ = _layers(spark, root)
+    fresh = _folder(spark, "component")
+    tables.write_component(gaps.building_gaps(t, b, ("centroid", "within")).select("tid", "region", "variant", r6("building_gap")), fresh)
+    table = tables.first_existing(spark, f"{root}/committed/component.parquet", fresh).where(F.col("region") == "ASIA")
+    named = table.drop("variant").select("*", F.regexp_extract(F.col("_metadata.file_path"), "variant=([^/]+)", 1).alias("variant"))
+    return named.groupBy("variant", "region").agg(F.count(F.lit(1)).alias("n"), F.count("building_gap").alias("n_defined"), F.round(F.sum("building_gap"), 4).alias("total"))
+
+
 # ---- sets, classes, distances
 
 
@@ -638,8 +720,7 @@ _BY_HOW = {h: _BUILDING.replace("LEFT JOIN c ", f"LEFT JOIN ({oracles.counts(h)}
 @query(over(" UNION ALL ".join(f"SELECT region, '{h}' AS variant, building_gap FROM ({sql})" for h, sql in _BY_HOW.items())))
 def union_regions(spark, root):
     t, b, *_ = _layers(spark, root)
-    own = lambda how: gaps.building_gap(t, b, how).select("region", F.lit(how).alias("variant"), r6("building_gap"))
-    return own("centroid").unionByName(own("within"))
+    return gaps.building_gaps(t, b, ("centroid", "within")).select("region", "variant", r6("building_gap"))
 
 
 @query(over("SELECT a.class AS ref_class, " + ", ".join(f"count(*) FILTER (WHERE b.class = '{c}') AS {c}" for c in ("primary", "secondary", "residential")) + " FROM road a JOIN road b ON NOT a.mapped AND b.mapped AND a.ax // 2000 = b.ax // 2000 AND a.ay // 2000 = b.ay // 2000 GROUP BY a.class"))

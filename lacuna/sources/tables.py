@@ -62,12 +62,23 @@ def write_component(df: DataFrame, path: str, by: Iterable[str] = ("region", "va
     df.write.mode("overwrite").partitionBy(*(c for c in by if c in df.columns)).parquet(path)
 
 
-def export_scores(df: DataFrame, path: str, components: bool = False, digits: int = 6) -> None:
-    """Scores as one CSV, with or without components. One row per tract: thousands of rows, so one file."""
+def export_scores(df: DataFrame, path: str, components: bool = False, digits: int = 6, files: int | None = 1) -> None:
+    """Scores as CSV, with or without components. One row per tract, thousands of rows, go to one file; ``files``: so many, or with None
+    as many as the frame has partitions, each with a header."""
     gaps = ["transport_gap", "building_gap", "poi_gap"]
     columns = ["GEOID", "coverage_gap_score", *(["region", *(c for g in gaps for c in (g, g.replace("gap", "defined")))] if components else [])]
     rounded = [F.bround(c, digits).alias(c) if c in (*gaps, "coverage_gap_score") else F.col(c) for c in columns]
-    df.select(*rounded).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    out = df.select(*rounded)
+    (out.coalesce(files) if files else out).write.mode("overwrite").csv(path, header=True)
+
+
+def line_profile(lines: DataFrame, digits: int = 6) -> DataFrame:
+    """(line, n, zeros, places, fields) of an export's text, per kind of line: the header or a row. ``zeros``: lines that start with a zero, which
+    a reader of numbers would lose; ``places``: rows of which a number has more digits after its point than it should; fields of a line."""
+    v = F.col("value")
+    kind = F.when(F.startswith(v, F.lit("GEOID,")), v).otherwise(F.lit("row"))
+    long = v.rlike(rf"\.[0-9]{{{digits + 1},}}") | v.rlike("[0-9][eE]-?[0-9]")
+    return lines.groupBy(kind.alias("line")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.startswith(v, F.lit("0"))).alias("zeros"), F.count_if(long).alias("places"), F.max(F.size(F.split(v, ","))).alias("fields"))
 
 
 def schema_report(df: DataFrame) -> list[tuple[str, str, bool]]:

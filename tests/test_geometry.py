@@ -151,3 +151,32 @@ def test_boxes_overlap(spark):
     s = lambda *v: planar.box(*lits(*v))
     df = spark.range(1).select(s(0, 2, 0, 2).alias("a"), s(2, 3, 2, 3).alias("b"), s(2.1, 3, 0, 1).alias("c"))
     assert df.select(planar.boxes_overlap("a", "b")).first()[0] and not df.select(planar.boxes_overlap("a", "c")).first()[0]
+
+
+def turned(rings):
+    return [r[::-1] for r in rings]
+
+
+NESTED = [*HOLE, [(1.5, 1.5), (2.5, 1.5), (2.5, 2.5), (1.5, 2.5), (1.5, 1.5)]]
+
+
+@pytest.mark.parametrize("rings", [SQUARE, ELL, HOLE, TWO, NESTED])
+def test_edges_sum_to_the_share_however_rings_are_drawn(spark, rings):
+    r = random.Random(len(rings))
+    segments = [(r.uniform(-1, 9), r.uniform(-1, 5), r.uniform(-8, 8), r.uniform(-6, 6)) for _ in range(60)]
+    segments += [(r.randrange(-1, 9), r.randrange(-1, 6), r.randrange(-4, 5), r.randrange(-4, 5)) for _ in range(60)]
+    segments += [(-1, 2, 6, 0), (0, -1, 0, 6), (-1, 0, 6, 0), (5, 4, -6, 0), (1, 1, 0, 0), (4, 5, 0, -6)]
+    rows = spark.createDataFrame([(k, *map(float, s)) for k, s in enumerate(segments)], "k int, ax double, ay double, dx double, dy double").coalesce(1)
+    segment = [F.col(c) for c in ("ax", "ay", "dx", "dy")]
+
+    def drawn(own):
+        data = [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in own]
+        return spark.createDataFrame([(data,)], "rings array<array<struct<x:double,y:double>>>").coalesce(1)
+
+    plain = drawn(rings).select(planar.edges(F.col("rings")).alias("edges"))
+    share = planar.clip_share(*segment, F.col("edges"))
+    want = {x.k: x.s for x in rows.crossJoin(plain).select("k", F.when((F.col("dx") != 0) | (F.col("dy") != 0), share).otherwise(0.0).alias("s")).collect()}
+    for own in (rings, turned(rings), [rings[0], *turned(rings[1:])]):
+        edges = drawn(own).select(F.explode(planar.edges(planar.oriented(F.col("rings")))).alias("e"))
+        got = {x.k: x.s for x in rows.crossJoin(edges).groupBy("k").agg(F.sum(planar.edge_share(*segment, *(F.col(f"e.{c}") for c in "xyuv"))).alias("s")).collect()}
+        assert [got[k] for k in range(len(segments))] == [pytest.approx(want[k], abs=1e-9) for k in range(len(segments))]
