@@ -53,3 +53,36 @@ def test_empty_and_other_columns(spark):
     assert S.find_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
     odd = spark.createDataFrame([(1, "token=abcdef", "s", 3, "k")], SCHEMA + ", row int, findings string")
     assert S.digest(S.find_secrets(odd)).collect()[0].n_assign == 1
+
+
+def test_ownership_against_counting(spark):
+    """Many owners and repositories: verdicts of all kinds of spans, and which bare tokens are added, from plain sets."""
+    r = random.Random(6)
+    made = lambda: "".join(r.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=28)) + "7x"
+    values = [made() for _ in range(40)]
+    spread = {v: r.choice([1, 1, 2, 3, 5, 25, 40]) for v in values}
+    rows = []
+    for v in values:
+        owners = [f"o{r.randrange(60)}" for _ in range(r.choice([1, 2, 3, 6]))]
+        for k in range(spread[v]):
+            line = r.choice([f"see {v} here", f"token = '{v}'", f"x {v}\\n{v}"])
+            rows.append((len(rows), f"text {line} end", r.choice(owners)))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    held = {}
+    for i, t, o in rows:
+        for _, _, _, v in S.scan(t):
+            held.setdefault(v, (set(), set()))
+            held[v][0].add(o)
+            held[v][1].add(i)
+    example = {v for v, (o, d) in held.items() if len(o) > S.MOST_OWNERS or len(d) > S.MOST_REPOSITORIES}
+    want, added = {}, 0
+    for i, t, _ in rows:
+        own = [(s, k, e, len(held[v][0]), len(held[v][1]), "example" if v in example else "live") for s, k, e, v in S.scan(t) if k < 3 or v not in example]
+        want[i] = own
+        added += sum(k == 3 for _, k, *_ in own)
+    got = {g.doc_id: [tuple(f) for f in g.findings] for g in S.find_secrets(docs).collect()}
+    assert got == want and added > 20
+    verdicts = {f[5] for own in want.values() for f in own if f[1] < 3}
+    assert verdicts == {"example", "live"} and any(len(d) > S.MOST_REPOSITORIES and len(o) <= S.MOST_OWNERS for o, d in held.values())
+    shown = {g.doc_id: (g.spans, g.n_live) for g in S.digest(S.find_secrets(docs)).collect()}
+    assert shown == {i: (",".join(f"{S.KINDS[k]}:{s}:{e}" for s, k, e, *_ in own), sum(f[5] == "live" for f in own)) for i, own in want.items()}
