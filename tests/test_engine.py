@@ -121,3 +121,29 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     finally:
         q.stop()
     assert got == sorted(map(str, windowed_gap(events).collect())) and got
+
+
+def test_timed_stages_count_all_rows(spark):
+    from lacuna.session import timed
+
+    got = list(timed([("a", lambda: spark.range(7)), ("b", lambda: spark.range(3).where("id > 5"))]))
+    assert [(name, rows) for name, rows, _ in got] == [("a", 7), ("b", 0)] and all(s >= 0 for *_, s in got)
+
+
+def test_ends_proxy_and_probe_cases(spark):
+    df = spark.createDataFrame([(k, k / 10) for k in range(6)], "k int, v double")
+    got = [(r.k, r.side) for r in reports.ends(df, 2, "k").collect()]
+    assert sorted(got) == [(0, "first"), (1, "first"), (4, "last"), (5, "last")]
+    row = spark.range(1).select(reports.proxy(*map(F.lit, (0.4, 0.2, 0.0, 0.0, 2.0))).alias("a"), reports.proxy(*map(F.lit, (4.0, 2.0, 0.0, 0.0, 1.0))).alias("b"), reports.proxy(F.lit(None).cast("double"), *map(F.lit, (0.2, 0.0, 0.0, 2.0))).alias("c")).first()
+    assert row.a == pytest.approx(0.8) and row.b == 0.0 and row.c is None
+    case = lambda step: spark.range(1).select(reports.decode_mae_case(F.lit(10), F.lit(0.0), F.lit(step / 10), F.lit(0.01)).alias("c")).first().c
+    assert [tuple(case(s)) for s in (0.01, -0.01, 0.02)] == [(0.0, "at_most"), (0.01, "at_least"), (None, "not_one_row")]
+    assert case(0.002).error == pytest.approx(0.004) and case(0.002).case == "exact"
+    fixed = reports.fix_and_perturb(df, "k", "v", {1: 0.9}, {1: 0.05, 2: 0.1}).orderBy("k").collect()
+    assert [r.perturbed for r in fixed[:3]] == [0.0, pytest.approx(0.95), pytest.approx(0.3)]
+
+
+def test_line_profile_sees_what_a_reader_of_numbers_would_lose(spark):
+    lines = spark.createDataFrame([("GEOID,coverage_gap_score",), ("04013,0.123456",), ("14013,0.1234567",), ("04,1.0E-5",)], "value string")
+    got = {r.line: (r.n, r.zeros, r.places, r.fields) for r in tables.line_profile(lines).collect()}
+    assert got == {"GEOID,coverage_gap_score": (1, 0, 0, 2), "row": (3, 2, 2, 2)}
