@@ -290,11 +290,11 @@ def digest(out: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 #: Fingerprints of each text's distinct words; slots and bits of the sketch that sorts out clear cases.
 SEEDS, SLOTS = (42, 43), 256
-#: Sketches with so many slots filled rule out a pair whose estimate is below this; at a similarity of 0.8 the chance is under
-#: 1e-14. All other pairs are settled on the full sets.
-FILLED, NEVER = 250, 0.55
-#: Pairs of one row that are settled in one run of rows.
-HUB = 1024
+#: Sketches with so many slots filled settle a pair whose estimate is below the first or from the second bound on; at a
+#: similarity of 0.8 the chance of either is under 1e-14. All other pairs are settled on the full sets.
+FILLED, NEVER, SURE = 250, 0.55, 0.97
+#: About so many pairs of one row are settled in one run of rows.
+HUB = 128
 #: Of texts one in 32, or so many if that is more, say which shingles are common; at most so many shingles are held as common.
 _SAMPLE, _COMMON = 8192, 1 << 18
 #: The chance, for a text, that none of the shingles it is looked for by stands in a text that is similar enough; 0: none, with
@@ -443,12 +443,14 @@ def _sharing(similarity: float, best_only: bool) -> Callable:
 
 
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that their sketches (columns x, y) don't rule out."""
+    """Pairs that their sketches (columns x, y) don't rule out, and whether these prove them."""
     for batch in batches:
         if batch.num_rows:
             x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, SLOTS) for c in ("x", "y"))
             full = ((x != 0xFFFF).sum(axis=1) >= FILLED) & ((y != 0xFFFF).sum(axis=1) >= FILLED)
-            yield batch.select(["a", "b"]).filter(pa.array(~full | (estimate(x, y) >= NEVER)))
+            like = estimate(x, y)
+            keep = pa.array(~full | (like >= NEVER))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(full & (like >= SURE))], ["a", "b", "sure"]).filter(keep)
 
 
 def _sets(size: int) -> Callable:
@@ -500,21 +502,23 @@ class _Near:
         return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame, tag: str) -> DataFrame:
-        """The pairs whose shingle sets are similar enough: sketches rule out what they can, sets decide on the rest.
+        """The pairs whose shingle sets are similar enough: sketches settle what they can, sets decide on the rest.
 
-        Each row of a pair is hashed once. A pair carries the set of its row a; that of b goes ahead of its pairs, once for each run of
+        Each row of an open pair is hashed once. A pair carries the set of its row a; that of b goes ahead of its pairs, once for each run of
         about ``HUB`` of them, so neither a row of many pairs is copied for each nor all its pairs meet in one task.
         """
         save, pairs = self.scratch.save, self.scratch.save(pairs, f"{tag}-pairs")
         look = lambda c, name: self.looks.select(F.col("row").alias(c), F.col("look").alias(name))
-        told = save(pairs.join(look("a", "x"), "a").join(look("b", "y"), "b").mapInArrow(_told, "a long, b long"), f"{tag}-told")
-        wanted = told.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+        told = save(pairs.join(look("a", "x"), "a").join(look("b", "y"), "b").mapInArrow(_told, "a long, b long, sure boolean"), f"{tag}-told")
+        open_ = told.where("not sure")
+        wanted = open_.select(F.explode(F.array("a", "b")).alias("row")).distinct()
         sets = save(self.texts.join(wanted, "row").mapInArrow(_sets(self.size), "row long, own binary"), f"{tag}-sets")
-        runs = told.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("runs"))
-        members = told.join(runs, "b").select("b", F.pmod(F.xxhash64("a"), "runs").cast("int").alias("run"), "a").join(sets.withColumnRenamed("row", "a"), "a").select("b", "run", "a", "own")
+        runs = open_.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("runs"))
+        members = open_.join(runs, "b").select("b", F.pmod(F.xxhash64("a"), "runs").cast("int").alias("run"), "a").join(sets.withColumnRenamed("row", "a"), "a").select("b", "run", "a", "own")
         hubs = runs.select("b", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(None).cast("long").alias("a")).join(sets.withColumnRenamed("row", "b"), "b").select("b", "run", "a", "own")
         dealt = hubs.unionByName(members).repartition("b", "run").sortWithinPartitions("b", "run", F.asc_nulls_first("a"))
-        out = save(dealt.mapInArrow(_settled(self.similarity), "a long, b long"), f"{tag}-links")
+        late = dealt.mapInArrow(_settled(self.similarity), "a long, b long")
+        out = save(told.where("sure").select("a", "b").unionByName(late), f"{tag}-links")
         self.scratch.drop(f"{tag}-sets", f"{tag}-told")
         return out
 
@@ -583,7 +587,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
       ``prefix``). Rows of different parts that share one are compared, unless their sizes or places rule it out: first each
       with one other by each shingle, then, with the parts that are left, with all.
 
-    Sketches of ``SLOTS`` minima rule out pairs far below ``similarity``, the full sets settle all others. Null and empty texts, without words, are one
+    ``SLOTS`` minima settle pairs far from ``similarity``, the full sets all others. Null and empty texts, without words, are one
     another's copies; repeated rows are copies, of which one stays.
     """
     near = _Near(docs, size, similarity, id_col, text_col, bucket, miss)

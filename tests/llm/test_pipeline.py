@@ -149,4 +149,5 @@ def test_two_pipelines_do_not_disturb_each_other(spark):
     docs = spark.read.parquet(f"{ROOT}/documents.parquet")
     first = P.near(spark, docs, ROOT)
     P.exact(spark, docs, ROOT).count()
-    assert first.count() > 0
+    mixed = P.mix(spark, first, ROOT)  # of a result that isn't written
+    assert mixed.count() > 0 and first.count() > 0
