@@ -291,7 +291,7 @@ def digest(out: DataFrame, id_col: str = "doc_id") -> DataFrame:
 #: Fingerprints of each text's distinct words; slots and bits of the sketch that sorts out clear cases.
 SEEDS, SLOTS = (42, 43), 256
 #: Sketches with so many slots filled settle a pair whose estimate is below the first or from the second bound on; at a
-#: similarity of 0.8 the chance of either is under 1e-14. All other pairs are settled on the full sets.
+#: similarity of 0.8 the chance of either is under 1e-14. Signatures rule out pairs by proof. All other pairs are settled on the full sets.
 FILLED, NEVER, SURE = 250, 0.55, 0.97
 #: About so many pairs of one row are settled in one run of rows.
 HUB = 128
@@ -320,6 +320,41 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(some.any(axis=-1), ((a == b) & some).sum(axis=-1) / np.maximum(1, some.sum(axis=-1)), 1.0)
 
 
+def filled(look: bytes) -> bytes:
+    """The sketch, or nothing if so few of its slots are filled that it settles nothing."""
+    return look if (np.frombuffer(look, np.uint16) != 0xFFFF).sum() >= FILLED else b""
+
+
+def signature(h: np.ndarray) -> bytes:
+    """A bit for each shingle's hash, of the least power of two of bits that is twice their number or more, 64 to 65,536."""
+    width = 1 << min(16, max(6, (2 * len(h) - 1).bit_length() if len(h) else 0))
+    bits = np.zeros(width, dtype=bool)
+    bits[(h & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(bits: bytes, width: int) -> int:
+    """The signature with this many bytes: a bit of a half is set if it is in either."""
+    out, now = int.from_bytes(bits, "little"), len(bits)
+    while now > width:
+        now //= 2
+        out = (out >> 8 * now) | (out & ((1 << 8 * now) - 1))
+    return out
+
+
+def at_most(x: bytes, y: bytes, n: int, m: int) -> float:
+    """What the Jaccard similarity of sets of n and m shingles with these signatures can't exceed.
+
+    Each bit that only one of them has stands for a shingle or more that the other set lacks.
+    """
+    if not n or not m:
+        return float(n == m)
+    width = min(len(x), len(y))
+    a, b = _folded(x, width), _folded(y, width)
+    both = min(n - (a & ~b).bit_count(), m - (b & ~a).bit_count())
+    return both / (n + m - both)
+
+
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Hashes of the text's distinct shingles, sorted."""
     return np.unique(shingle_hashes(words(text), size))
@@ -375,17 +410,18 @@ def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 def _looks(size: int, similarity: float, common: np.ndarray, weight: np.ndarray, miss: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sketches, n, first = [], [], [], []
+            fps, sketches, bits, n, first = [], [], [], [], []
             for text in b["text"].to_pylist():
                 w = words(text)
                 own = sorted(set(w))
                 fps.append([majority(np.array([xxhash.xxh64_intdigest(x, s) for x in own], dtype=np.uint64)) for s in SEEDS])
                 h = np.unique(shingle_hashes(w, size))
-                sketches.append(sketch(h))
+                sketches.append(filled(sketch(h)))
+                bits.append(signature(h))
                 n.append(len(h))
                 first.append(prefix(h, similarity, common, weight, miss).view(np.int64))
-            columns = [pa.array(fps, pa.list_(_LONG)), pa.array(sketches, pa.binary()), pa.array(n, _LONG), pa.array(first, pa.list_(_LONG))]
-            yield pa.RecordBatch.from_arrays([b["row"], *columns], ["row", "fps", "look", "shingles", "first"])
+            columns = [pa.array(fps, pa.list_(_LONG)), pa.array(sketches, pa.binary()), pa.array(bits, pa.binary()), pa.array(n, _LONG), pa.array(first, pa.list_(_LONG))]
+            yield pa.RecordBatch.from_arrays([b["row"], *columns], ["row", "fps", "look", "bits", "shingles", "first"])
 
     return run
 
@@ -442,11 +478,22 @@ def _sharing(similarity: float, best_only: bool) -> Callable:
     return run
 
 
+def _judged(similarity: float) -> Callable:
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs that their signatures (columns p, q) and sizes (n, m) don't rule out."""
+        for batch in batches:
+            own = zip(*(batch[c].to_pylist() for c in ("p", "q", "n", "m")), strict=True)
+            yield batch.filter(pa.array([at_most(*x) >= similarity for x in own], pa.bool_()))
+
+    return lambda batches: _told(possible(batches))
+
+
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that their sketches (columns x, y) don't rule out, and whether these prove them."""
     for batch in batches:
         if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, SLOTS) for c in ("x", "y"))
+            none = b"\xff" * 2 * SLOTS
+            x, y = (np.frombuffer(b"".join(look or none for look in batch[c].to_pylist()), np.uint16).reshape(-1, SLOTS) for c in ("x", "y"))
             full = ((x != 0xFFFF).sum(axis=1) >= FILLED) & ((y != 0xFFFF).sum(axis=1) >= FILLED)
             like = estimate(x, y)
             keep = pa.array(~full | (like >= NEVER))
@@ -485,7 +532,7 @@ class _Near:
         self.scratch, self.size, self.similarity, self.bucket = Scratch(docs.sparkSession, "near"), size, similarity, bucket
         self.base = numbered(docs, self.scratch, id=id_col, text=text_col)
         self.texts = self.base.select("row", "text")
-        own = self.texts.mapInArrow(_looks(size, similarity, *_common(self.texts, size), miss), "row long, fps array<long>, look binary, shingles long, first array<long>")
+        own = self.texts.mapInArrow(_looks(size, similarity, *_common(self.texts, size), miss), "row long, fps array<long>, look binary, bits binary, shingles long, first array<long>")
         self.looks = self.scratch.save(own, "looks")
 
     def golay_pairs(self) -> DataFrame:
@@ -502,14 +549,14 @@ class _Near:
         return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame, tag: str) -> DataFrame:
-        """The pairs whose shingle sets are similar enough: sketches settle what they can, sets decide on the rest.
+        """The pairs whose shingle sets are similar enough: signatures and sketches settle what they can, sets decide on the rest.
 
         Each row of an open pair is hashed once. A pair carries the set of its row a; that of b goes ahead of its pairs, once for each run of
         about ``HUB`` of them, so neither a row of many pairs is copied for each nor all its pairs meet in one task.
         """
         save, pairs = self.scratch.save, self.scratch.save(pairs, f"{tag}-pairs")
-        look = lambda c, name: self.looks.select(F.col("row").alias(c), F.col("look").alias(name))
-        told = save(pairs.join(look("a", "x"), "a").join(look("b", "y"), "b").mapInArrow(_told, "a long, b long, sure boolean"), f"{tag}-told")
+        look = lambda *to: self.looks.select(*(F.col(c).alias(name) for c, name in zip(("row", "look", "bits", "shingles"), to, strict=True)))
+        told = save(pairs.join(look("a", "x", "p", "n"), "a").join(look("b", "y", "q", "m"), "b").mapInArrow(_judged(self.similarity), "a long, b long, sure boolean"), f"{tag}-told")
         open_ = told.where("not sure")
         wanted = open_.select(F.explode(F.array("a", "b")).alias("row")).distinct()
         sets = save(self.texts.join(wanted, "row").mapInArrow(_sets(self.size), "row long, own binary"), f"{tag}-sets")
@@ -587,7 +634,8 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
       ``prefix``). Rows of different parts that share one are compared, unless their sizes or places rule it out: first each
       with one other by each shingle, then, with the parts that are left, with all.
 
-    ``SLOTS`` minima settle pairs far from ``similarity``, the full sets all others. Null and empty texts, without words, are one
+    Signatures rule out most pairs below ``similarity`` by proof, ``SLOTS`` minima settle pairs of long texts far from it, the full sets
+    all others. Null and empty texts, without words, are one
     another's copies; repeated rows are copies, of which one stays.
     """
     near = _Near(docs, size, similarity, id_col, text_col, bucket, miss)

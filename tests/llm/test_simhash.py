@@ -179,6 +179,41 @@ def test_pairs_near_the_threshold_are_settled_exactly():
     assert seen == {True, False}
 
 
+def test_signatures_rule_out_pairs_by_proof():
+    """Never a pair at its similarity; nearly all pairs of short texts that are clearly below 0.8, which sketches leave open."""
+    r = np.random.default_rng(23)
+    new = lambda n: np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+    low = 0
+    for n in (1, 3, 31, 33, 350, 500, 3000, 40_000):
+        for share in (0.0, 0.1, 0.5, 0.6, 0.79, 0.8, 0.81, 1.0):
+            both, a, b = new(int(n * share)), new(int(n * (1 - share) / 2)), new(int(n * (1 - share)))
+            a, b = np.unique(np.concatenate([both, a])), np.unique(np.concatenate([both, b]))
+            at_most = S.at_most(S.signature(a), S.signature(b), len(a), len(b))
+            assert S.jaccard(a, b) <= at_most <= 1
+            assert at_most == S.at_most(S.signature(b), S.signature(a), len(b), len(a))
+            low += n == 350 and share <= 0.6 and at_most < 0.8
+    assert low == 4 and S.filled(S.sketch(new(350))) == b"" and S.filled(S.sketch(new(3000)))
+    # widths that differ, one set within the other
+    a = new(600)
+    assert S.at_most(S.signature(a), S.signature(a[:100]), 600, 100) >= 1 / 6
+    assert S.at_most(b"", S.signature(a), 0, 600) == 0 and S.at_most(S.signature(a[:0]), S.signature(a[:0]), 0, 0) == 1
+
+
+def test_clear_pairs_of_short_texts_need_no_sets():
+    """Texts of 350 words that share a third: ruled out before any text or set is read again."""
+    r = random.Random(24)
+    text = lambda n: [str(r.getrandbits(40)) for _ in range(n)]
+    line = text(120)
+    rows = [(i, " ".join([*line, *text(230)])) for i in range(2)] + [(2, " ".join(line))]
+    sets = [S.shingle_set(t, 5) for _, t in rows]
+    pairs = [(1, 0), (2, 0), (2, 1), (2, 2)]
+    look = lambda k, f: [f(sets[p[k]]) for p in pairs]
+    full = lambda h: S.filled(S.sketch(h))
+    batch = {"a": [p[0] for p in pairs], "b": [p[1] for p in pairs], "x": look(0, full), "y": look(1, full), "p": look(0, S.signature), "q": look(1, S.signature), "n": look(0, len), "m": look(1, len)}
+    told = pa.Table.from_batches(S._judged(0.8)(iter([pa.RecordBatch.from_pydict(batch)])))
+    assert told.to_pydict() == {"a": [2], "b": [2], "sure": [False]}
+
+
 def keepers(docs, **more):
     """id -> the keeper's id, for rows in groups."""
     rows, told = S.near_copies(docs, **more)
