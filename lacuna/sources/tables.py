@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,12 +62,18 @@ def write_component(df: DataFrame, path: str, by: Iterable[str] = ("region", "va
     df.write.mode("overwrite").partitionBy(*(c for c in by if c in df.columns)).parquet(path)
 
 
+def _plain(value: Column, digits: int) -> Column:
+    """A number rounded to so many digits as text without an exponent, which a double's own text has below 0.001: 2.5E-4."""
+    text = F.bround(value, digits).cast(T.DecimalType(38, digits)).cast("string")
+    return F.regexp_replace(text, r"(\.\d+?)0+$", "$1")
+
+
 def export_scores(df: DataFrame, path: str, components: bool = False, digits: int = 6, files: int | None = 1) -> None:
     """Scores as CSV, with or without components. One row per tract, thousands of rows, go to one file; ``files``: so many, or with None
     as many as the frame has partitions, each with a header."""
     gaps = ["transport_gap", "building_gap", "poi_gap"]
     columns = ["GEOID", "coverage_gap_score", *(["region", *(c for g in gaps for c in (g, g.replace("gap", "defined")))] if components else [])]
-    rounded = [F.bround(c, digits).alias(c) if c in (*gaps, "coverage_gap_score") else F.col(c) for c in columns]
+    rounded = [_plain(F.col(c), digits).alias(c) if c in (*gaps, "coverage_gap_score") else F.col(c) for c in columns]
     out = df.select(*rounded)
     (out.coalesce(files) if files else out).write.mode("overwrite").csv(path, header=True)
 

@@ -147,3 +147,11 @@ def test_line_profile_sees_what_a_reader_of_numbers_would_lose(spark):
     lines = spark.createDataFrame([("GEOID,coverage_gap_score",), ("04013,0.123456",), ("14013,0.1234567",), ("04,1.0E-5",)], "value string")
     got = {r.line: (r.n, r.zeros, r.places, r.fields) for r in tables.line_profile(lines).collect()}
     assert got == {"GEOID,coverage_gap_score": (1, 0, 0, 2), "row": (3, 2, 2, 2)}
+
+
+def test_small_scores_are_exported_without_an_exponent(spark, tmp_path):
+    values = [("a", 0.000254), ("b", 1e-6), ("c", 0.0), ("d", 1.0), ("e", 0.25), ("f", None), ("g", 4e-7), ("h", -0.00012)]
+    tables.export_scores(spark.createDataFrame(values, "GEOID string, coverage_gap_score double"), str(tmp_path / "out"))
+    lines = tables.read_lines(spark, str(tmp_path / "out"))
+    assert sorted(r.value for r in lines.collect())[1:] == ["a,0.000254", "b,0.000001", "c,0.0", "d,1.0", "e,0.25", "f,", "g,0.0", "h,-0.00012"]
+    assert {r.line: (r.n, r.places) for r in tables.line_profile(lines).collect()}["row"] == (8, 0)
