@@ -66,9 +66,11 @@ ESRI102003 = Albers(latitude=37.5)
 
 
 def mercator(lon: str, lat: str) -> tuple[str, str]:
-    """Spherical Mercator of web maps."""
-    r = lit(WGS84[0])
-    return f"({r} * radians({lon}))", f"({r} * ln(tan({lit(math.pi / 4)} + radians({lat}) / 2)))"
+    """Spherical Mercator of web maps. It has a value at every latitude: beyond a pole that of the same place on the other side's meridian."""
+    r, t = lit(WGS84[0]), f"tan(radians({lat}))"
+    # the inverse hyperbolic sine of t, whose own function in Spark loses its digits where t is far below 0
+    y = f"sign({t}) * log1p(abs({t}) + {t} * {t} / (1 + sqrt({t} * {t} + 1)))"
+    return f"({lon} * {lit(math.pi * WGS84[0])} / 180)", f"({r} * {y})"
 
 
 #: Projections by their codes.

@@ -180,3 +180,24 @@ def test_edges_sum_to_the_share_however_rings_are_drawn(spark, rings):
         edges = drawn(own).select(F.explode(planar.edges(planar.oriented(F.col("rings")))).alias("e"))
         got = {x.k: x.s for x in rows.crossJoin(edges).groupBy("k").agg(F.sum(planar.edge_share(*segment, *(F.col(f"e.{c}") for c in "xyuv"))).alias("s")).collect()}
         assert [got[k] for k in range(len(segments))] == [pytest.approx(want[k], abs=1e-9) for k in range(len(segments))]
+
+
+def test_mercator_has_a_value_beyond_the_poles(spark):
+    """As the inverse hyperbolic sine of the latitude's tangent, at which the SQL has it too; the same in the steps of the sweeps."""
+    lat = [-300.0, -90.5, -60.0, 0.0, 30.0, 89.999, 90.001, 179.0, 181.0, 269.5, 390.0]
+    df = spark.createDataFrame([(-99.5, x) for x in lat], "lon double, lat double")
+    x, y = crs.mercator("lon", "lat")
+    want = [(-99.5 * 20037508.342789244 / 180, 6378137.0 * math.asinh(math.tan(math.radians(v)))) for v in lat]
+    assert [tuple(r) for r in df.select(F.expr(x), F.expr(y)).collect()] == [(u, pytest.approx(v, abs=1e-7)) for u, v in want]
+    steps = df.withColumns({c: F.lit(None).cast("double") for c in ("n", "c", "rho")})
+    for name, step in crs.conic_steps("lon", "lat", "n", "c", "rho"):
+        steps = steps.withColumn(name, F.expr(step))
+    assert [tuple(r) for r in steps.select("p_x", "p_y").collect()] == [(u, pytest.approx(v, abs=1e-7)) for u, v in want]
+
+
+def test_a_total_keeps_its_cents(spark):
+    from lacuna.plans.queries import _total
+
+    df = spark.range(0, 400_000, 1, 1).select(F.when(F.col("id") == 0, F.lit(9e12)).otherwise(F.lit(0.0004)).alias("m"))
+    assert df.select(F.round(_total(F.col("m")), 2)).first()[0] == pytest.approx(9e12 + 160.0, abs=0.01)
+    assert df.select(_total(F.col("m"))).where("false").count() == 0 and df.where("false").select(_total(F.col("m"))).first()[0] is None
