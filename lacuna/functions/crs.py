@@ -23,8 +23,13 @@ def lit(x: float) -> str:
 
 
 def _squared(ellipsoid: tuple[float, float]) -> float:
-    f = 1 / ellipsoid[1]
-    return f * (2 - f)
+    return 2 / ellipsoid[1] - 1 / (ellipsoid[1] * ellipsoid[1])
+
+
+def atanh(x: str) -> str:
+    """The inverse hyperbolic tangent of an expression within 0.5 of 0, from the logarithm of 1 + y: as a logarithm of a quotient near 1 it
+    would lose several of the last bits, which is enough to round some coordinates to another place of a grid."""
+    return f"(sign({x}) * 0.5D * log1p(2 * abs({x}) + 2 * abs({x}) * abs({x}) / (1 - abs({x}))))"
 
 
 @dataclass(frozen=True)
@@ -39,7 +44,7 @@ class Albers:
 
     def constants(self) -> tuple[float, float, float]:
         e2 = _squared(self.ellipsoid)
-        m = lambda p: math.cos(p) / math.sqrt(1 - e2 * math.sin(p) ** 2)
+        m = lambda p: math.cos(p) / math.sqrt(1 - e2 * math.sin(p) * math.sin(p))
         p1, p2, p0 = map(math.radians, (self.parallel1, self.parallel2, self.latitude))
         n = (m(p1) ** 2 - m(p2) ** 2) / (self._q(p2) - self._q(p1))
         c = m(p1) ** 2 + n * self._q(p1)
@@ -48,13 +53,13 @@ class Albers:
     def _q(self, p: float) -> float:
         e = math.sqrt(e2 := _squared(self.ellipsoid))
         s = math.sin(p)
-        return (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+        return (1 - e2) * (s / (1 - e2 * s * s) + math.atanh(e * s) / e)
 
     def expressions(self, lon: str, lat: str) -> tuple[str, str]:
         n, c, rho0 = self.constants()
         e = math.sqrt(e2 := _squared(self.ellipsoid))
         s = f"sin(radians({lat}))"
-        q = f"({lit(1 - e2)} * ({s} / (1 - {lit(e2)} * {s} * {s}) - ln((1 - {lit(e)} * {s}) / (1 + {lit(e)} * {s})) / {lit(2 * e)}))"
+        q = f"({lit(1 - e2)} * ({s} / (1 - {lit(e2)} * {s} * {s}) + {atanh(f'({lit(e)} * {s})')} / {lit(e)}))"
         rho = f"({lit(self.ellipsoid[0])} * sqrt({lit(c)} - {lit(n)} * {q}) / {lit(n)})"
         theta = f"({lit(n)} * radians({lon} - ({lit(self.longitude)})))"
         return f"({rho} * sin({theta}))", f"({lit(rho0)} - {rho} * cos({theta}))"
@@ -149,7 +154,8 @@ def conic_steps(lon: str, lat: str, n: str, c: str, rho0: str, ellipsoid: tuple[
     flat_x, flat_y = mercator(lon, lat)
     return [
         ("p_s", f"sin(radians({lat}))"),
-        ("p_q", f"{lit(1 - e2)} * (p_s / (1 - {lit(e2)} * p_s * p_s) - ln((1 - {lit(e)} * p_s) / (1 + {lit(e)} * p_s)) / {lit(2 * e)})"),
+        ("p_e", f"{lit(e)} * p_s"),
+        ("p_q", f"{lit(1 - e2)} * (p_s / (1 - {lit(e2)} * p_s * p_s) + {atanh('p_e')} / {lit(e)})"),
         ("p_r", f"{lit(ellipsoid[0])} * sqrt({c} - {n} * p_q) / {n}"),
         ("p_t", f"{n} * radians({lon} - ({lit(longitude)}))"),
         ("p_x", f"CASE WHEN {n} IS NULL THEN {flat_x} ELSE p_r * sin(p_t) END"),
