@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- gaps and means
@@ -198,11 +198,18 @@ def edge_share(ax: Column, ay: Column, dx: Column, dy: Column, x: Column, y: Col
 def map_vertices(rings: str, steps: list[tuple[str, str]], result: tuple[str, str]) -> Column:
     """The column of rings with every vertex changed by steps (name, SQL), each from ``x``, ``y`` and the names before it and from other
     columns of the row; ``result`` names the new coordinates. A step is computed once a vertex, however often later ones use it."""
+    names = lambda sql, among: set(re.findall(r"\b(?:" + "|".join(sorted(among, key=len, reverse=True)) + r")\b", sql))
+    every = {"x", "y", *(name for name, _ in steps)}
+    # what each step's points must hold: names that steps after it or the result use
+    later, needed = set(result), []
+    for name, sql in reversed(steps):
+        needed.append(later)
+        later = (later - {name}) | names(sql, every)
     out, known = rings, ["x", "y"]
-    for k, (name, sql) in enumerate(steps):
+    for k, ((name, sql), keep) in enumerate(zip(steps, reversed(needed), strict=True)):
         own = f"_p{k}"
         held = re.sub(r"\b(" + "|".join(sorted(known, key=len, reverse=True)) + r")\b", lambda m, own=own: f"{own}.{m[1]}", sql)
-        known = [*(c for c in known if c != name), name]
+        known = [*(c for c in known if c != name and c in keep), name]
         fields = ", ".join(f"'{c}', {held if c == name else f'{own}.{c}'}" for c in known)
         out = f"transform({out}, _r{k} -> transform(_r{k}, {own} -> named_struct({fields})))"
     x, y = result
@@ -275,3 +282,10 @@ def snap(value: Column, grid: float | Column) -> Column:
 def pieces(dx: Column, dy: Column, longest: float | Column) -> Column:
     """Into how many equal parts a segment is cut so that none is longer; one where ``longest`` is NULL."""
     return F.greatest(F.lit(1), F.ceil(length(dx, dy) / longest)).cast("int")
+
+
+def segmentized(segments: DataFrame, longest: float | Column) -> DataFrame:
+    """Segments (ax, ay, dx, dy) cut into equal parts no longer than ``longest`` (whole where it is NULL), with their number ``part``."""
+    out = segments.withColumn("_n", pieces(F.col("dx"), F.col("dy"), longest)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    step = {c: F.col(c) / F.col("_n") for c in ("dx", "dy")}
+    return out.withColumns({"ax": F.col("ax") + F.col("part") * step["dx"], "ay": F.col("ay") + F.col("part") * step["dy"], **step}).drop("_n")

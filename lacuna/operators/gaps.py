@@ -95,17 +95,33 @@ def road_lengths(tracts: DataFrame, roads: DataFrame, cell: float = CELL, by: tu
     return pairs.groupBy("tid", *by).agg(F.sum(F.when(F.col("mapped"), F.col("len")).otherwise(0.0)).alias("ov_len"), F.sum(F.when(~F.col("mapped"), F.col("len")).otherwise(0.0)).alias("tiger_len"))
 
 
-def polygon_lengths(polygons: DataFrame, roads: DataFrame, cell: float = CELL, by: tuple[str, ...] = ()) -> DataFrame:
+#: A polygon whose box has more cells than this is joined on a grid of so much wider cells.
+MANY, WIDER = 64, 64
+
+
+def is_wide(cell: float) -> Column:
+    """Whether a polygon's box has very many cells."""
+    x0, x1, y0, y1 = (planar.cell(F.col(c), cell) for c in _TRACT_BOX)
+    return ((x1 - x0 + 1) * (y1 - y0 + 1)) > MANY
+
+
+def polygon_lengths(polygons: DataFrame, roads: DataFrame, cell: float = CELL, by: tuple[str, ...] = (), longest: str | None = None, wide: bool = False) -> DataFrame:
     """The same for polygons (tid, edges, box) of oriented rings, as ``with_edges`` makes them. Candidates are pairs of a road and a polygon's
-    box; the polygon's edges join them by id, once a pair. What each edge adds to a road's share is a row's arithmetic and is summed per
-    polygon where it is made, so the clip runs in generated code and nothing is grouped by pair. ``by``: keys that roads and polygons
-    share, as a variant."""
+    box in a cell, to which the polygon brings its edges: pairs are many more than polygons where layers lie upon each other, so no pair
+    is shuffled. What each edge adds to a road's share is a row's arithmetic and is summed per polygon where it is made, so the clip
+    runs in generated code and nothing is grouped by pair. ``by``: keys that roads and polygons share, as a variant; ``longest``: a
+    column of roads by which each is cut into parts no longer, once it is beside a polygon (whole where it is NULL); ``wide``: there are
+    polygons of very many cells (see ``is_wide``), as one about a pole has on a map, to be joined on a grid of their own."""
     keys = [*by, "tid"]
-    boxes = polygons.select(*keys, *_TRACT_BOX)
-    pairs = grid_join(road_boxes(roads.select(*by, "ax", "ay", "dx", "dy", "mapped")), boxes, ROAD_BOX, _TRACT_BOX, cell, by=by, segment=SEGMENT)
+    more = [longest] if longest else []
+    boxed, shapes = road_boxes(roads.select(*by, *SEGMENT, "mapped", *more)), polygons.select(*keys, *_TRACT_BOX, "edges")
+    joined = lambda some, size: grid_join(boxed, some, ROAD_BOX, _TRACT_BOX, size, by=by, segment=SEGMENT)
+    pairs = joined(shapes.where(~is_wide(cell)), cell).unionByName(joined(shapes.where(is_wide(cell)), cell * WIDER)) if wide else joined(shapes, cell)
     segment = [F.col(c) for c in SEGMENT]
-    pairs = pairs.where(planar.clip_to_box(*segment, *(F.col(c) for c in _TRACT_BOX)) > 0).select(*keys, *SEGMENT, "mapped")
-    each = pairs.join(polygons.select(*keys, "edges"), keys).select(*keys, *SEGMENT, "mapped", F.explode("edges").alias("_e"))
+    pairs = pairs.where(planar.clip_to_box(*segment, *(F.col(c) for c in _TRACT_BOX)) > 0).select(*keys, *SEGMENT, "mapped", "edges", *more)
+    if longest:
+        pairs = planar.segmentized(pairs, F.col(longest))
+    each = pairs.select(*keys, *SEGMENT, "mapped", F.explode("edges").alias("_e"))
     each = each.withColumn("len", planar.edge_share(*segment, *(F.col(f"_e.{c}") for c in "xyuv")) * planar.length(F.col("dx"), F.col("dy")))
     return each.groupBy(*keys).agg(F.sum(F.when(F.col("mapped"), F.col("len")).otherwise(0.0)).alias("ov_len"), F.sum(F.when(~F.col("mapped"), F.col("len")).otherwise(0.0)).alias("tiger_len"))
 

@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crs, planar
+from ..sources.layers import written
 from . import gaps, variants
 
-#: A cell's width in metres, about that of a tract.
-CELL = 2500.0
+#: A cell's width in metres, some two tracts: with narrower cells a tract has more of them, and more is shuffled.
+CELL = 5000.0
 
 
 @dataclass(frozen=True)
@@ -99,7 +100,8 @@ def _steps(treatments: tuple[tuple, ...], lon: str, lat: str) -> list[tuple[str,
 
 
 def roads_in_metres(roads: DataFrame, geometries: Geometries) -> DataFrame:
-    """(geom, ax, ay, dx, dy, mapped) of roads in degrees (lon1, lat1, lon2, lat2); those that vanish are dropped."""
+    """(geom, ax, ay, dx, dy, mapped, longest) of roads in degrees (lon1, lat1, lon2, lat2); those that vanish are dropped. Roads stay whole:
+    into parts no longer than ``longest`` they are cut beside a tract, so that parts aren't shuffled."""
     out = _treated(roads.select("mapped", "lon1", "lat1", "lon2", "lat2"), geometries.roads, [geometries.users(0, k) for k in range(len(geometries.roads))])
     for k in (1, 2):
         for name, step in _steps(geometries.roads, f"lon{k}", f"lat{k}"):
@@ -107,15 +109,15 @@ def roads_in_metres(roads: DataFrame, geometries: Geometries) -> DataFrame:
         out = out.withColumnsRenamed({"p_x": f"x{k}", "p_y": f"y{k}"})
     ends = out.select("mapped", "longest", "_geoms", F.col("x1").alias("ax"), F.col("y1").alias("ay"), (F.col("x2") - F.col("x1")).alias("dx"), (F.col("y2") - F.col("y1")).alias("dy"))
     ends = settled(ends, "ax", "ay", "dx", "dy").where("dx <> 0 OR dy <> 0")
-    if any(t[-1] for t in geometries.roads):
-        ends = variants.segmentize(ends, F.col("longest")).drop("part")
-    return ends.select("mapped", "ax", "ay", "dx", "dy", F.explode("_geoms").alias("geom"))
+    return ends.select("mapped", "ax", "ay", "dx", "dy", "longest", F.explode("_geoms").alias("geom"))
 
 
 def tracts_in_metres(tracts: DataFrame, geometries: Geometries) -> DataFrame:
     """(geom, tid, edges, box) of tracts with rings in degrees; every vertex is mapped, none is added, and what snapping makes equal or
     folds back is taken out."""
-    out = _treated(tracts.select("tid", "rings"), geometries.tracts, [geometries.users(1, k) for k in range(len(geometries.tracts))])
+    # a file of tracts is small and may be one task's, but their vertices are work
+    tasks = int(tracts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = _treated(tracts.select("tid", "rings").repartition(tasks, "tid"), geometries.tracts, [geometries.users(1, k) for k in range(len(geometries.tracts))])
     steps = _steps(geometries.tracts, "x", "y")
     out = out.withColumn("rings", planar.map_vertices("rings", steps, ("p_x", "p_y")))
     if any(t[_FIELDS.index(n)] is not None for t in geometries.tracts for n in ("degrees", "snap")):
@@ -152,7 +154,10 @@ def transport(tracts: DataFrame, roads: DataFrame, settings: tuple[Setting, ...]
     code = codes.pop() if len(codes) == 1 else "metres"
     some = roads.where(F.col("class").isin(*classes))
     shapes, lines = crs.tagged(tracts_in_metres(tracts, geometries), ("x0", "x1", "y0", "y1"), code), crs.tagged(roads_in_metres(some, geometries), ("ax",), code)
-    lengths = gaps.polygon_lengths(shapes, lines, CELL, ("geom",))
+    # vertices are mapped once for all uses
+    shapes = written(shapes, "metre-tracts")
+    cut = "longest" if any(t[-1] for t in geometries.roads) else None
+    lengths = gaps.polygon_lengths(shapes, lines, CELL, ("geom",), cut, not shapes.where(gaps.is_wide(CELL)).isEmpty())
     lengths = lengths.select("geom", "tid", *(F.round(c, digits).alias(c) for c in ("ov_len", "tiger_len")))
     named = F.explode(F.array(*(F.struct(F.lit(s.name).alias("variant"), F.lit(geometries.of_setting[s.name]).alias("geom")) for s in settings)))
     every = tracts.select("tid", "region", named.alias("_s")).select("tid", "region", "_s.*").join(lengths, ["geom", "tid"], "left")

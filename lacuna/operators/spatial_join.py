@@ -47,24 +47,26 @@ def with_cells(df: DataFrame, box: Box, cell: float, lead: str) -> DataFrame:
     return df.withColumn("cj", F.explode(F.sequence(F.col(f"{lead}j"), planar.cell(y1, cell))))
 
 
+def _segment_rows(segment: Box, column: Column, cell: float) -> tuple[Column, Column]:
+    """The cells' rows that the segment's part in a column of cells reaches."""
+    ax, ay, dx, dy = (F.col(c) for c in segment)
+    low, high = F.least(ax, ax + dx), F.greatest(ax, ax + dx)
+    bottom, top = F.least(ay, ay + dy), F.greatest(ay, ay + dy)
+    left, right = F.greatest(low, column * cell), F.least(high, (column + 1) * cell)
+    at = lambda x: ay + F.try_divide(x - ax, dx) * dy
+    a, b = F.coalesce(at(left), bottom), F.coalesce(at(right), top)
+    lo, hi = F.greatest(bottom, F.least(a, b) - _SLACK * cell), F.least(top, F.greatest(a, b) + _SLACK * cell)
+    return planar.cell(lo, cell), planar.cell(hi, cell)
+
+
 def with_segment_cells(df: DataFrame, segment: Box, cell: float, lead: str) -> DataFrame:
     """Adds a row for each cell that the segment (ax, ay, dx, dy) crosses or touches, and the rows of cells that it has in that column
     and in the one before (``{lead}l``, ``{lead}h``, ``{lead}pl``, ``{lead}ph``)."""
     ax, ay, dx, dy = (F.col(c) for c in segment)
-    low, high = F.least(ax, ax + dx), F.greatest(ax, ax + dx)
-    bottom, top = F.least(ay, ay + dy), F.greatest(ay, ay + dy)
+    low, high, bottom = F.least(ax, ax + dx), F.greatest(ax, ax + dx), F.least(ay, ay + dy)
     df = df.where(low.isNotNull() & bottom.isNotNull()).withColumns({f"{lead}i": planar.cell(low, cell), f"{lead}j": planar.cell(bottom, cell)})
     df = df.withColumn("ci", F.explode(F.sequence(F.col(f"{lead}i"), planar.cell(high, cell))))
-
-    def rows(column: Column) -> tuple[Column, Column]:
-        """The cells' rows that the segment's part in a column of cells reaches."""
-        left, right = F.greatest(low, column * cell), F.least(high, (column + 1) * cell)
-        at = lambda x: ay + F.try_divide(x - ax, dx) * dy
-        a, b = F.coalesce(at(left), bottom), F.coalesce(at(right), top)
-        lo, hi = F.greatest(bottom, F.least(a, b) - _SLACK * cell), F.least(top, F.greatest(a, b) + _SLACK * cell)
-        return planar.cell(lo, cell), planar.cell(hi, cell)
-
-    (lo, hi), (plo, phi) = rows(F.col("ci")), rows(F.col("ci") - 1)
+    (lo, hi), (plo, phi) = _segment_rows(segment, F.col("ci"), cell), _segment_rows(segment, F.col("ci") - 1, cell)
     before = F.col("ci") > F.col(f"{lead}i")
     df = df.withColumns({f"{lead}l": lo, f"{lead}h": hi, f"{lead}pl": F.when(before, plo), f"{lead}ph": F.when(before, phi)})
     return df.withColumn("cj", F.explode(F.sequence(F.col(f"{lead}l"), F.col(f"{lead}h"))))
@@ -104,25 +106,31 @@ def grid_join(
     if segment and levels > 1:
         raise ValueError("segments are short or their cells few: they need no levels")
     own = [*left.columns, *(c for c in right.columns if c not in by)]
+    (lx0, lx1, ly0, ly1), (rx0, rx1, ry0, ry1) = (tuple(F.col(c) for c in box) for box in (left_box, right_box))
     if segment:
-        a, b = with_segment_cells(left, segment, cell, "_l"), with_cells(right, right_box, cell, "_r").withColumn("_rh", planar.cell(F.col(right_box[3]), cell))
-    elif levels > 1:
-        a, b = with_levels(left, left_box, cell, levels, "_l"), with_levels(right, right_box, cell, levels, "_r")
-    else:
-        a, b = with_cells(left, left_box, cell, "_l"), with_cells(right, right_box, cell, "_r")
-    joined = a.join(b, ["ci", "cj", *(["level"] if levels > 1 else []), *by])
+        # the left box is made anew from the segment after the join, so that it need not be shuffled
+        ax, ay, dx, dy = (F.col(c) for c in segment)
+        lx0, lx1, ly0, ly1 = F.least(ax, ax + dx), F.greatest(ax, ax + dx), F.least(ay, ay + dy), F.greatest(ay, ay + dy)
+    overlap = (lx0 <= rx1) & (lx1 >= rx0) & (ly0 <= ry1) & (ly1 >= ry0)
     ci, cj = F.col("ci"), F.col("cj")
+    if levels > 1:
+        a, b = with_levels(left, left_box, cell, levels, "_l"), with_levels(right, right_box, cell, levels, "_r")
+        first = (ci == F.greatest("_li", "_ri")) & (cj == F.greatest("_lj", "_rj")) & (F.col("level") == F.greatest("_lown", "_rown"))
+        return _met(a.join(b, ["ci", "cj", "level", *by]), overlap & first, own, predicate)
+    a = with_segment_cells(left, segment, cell, "_l") if segment else with_cells(left, left_box, cell, "_l")
+    joined = a.select(*left.columns, "ci", "cj", *(["_ll", "_lpl", "_lph"] if segment else [])).join(with_cells(right, right_box, cell, "_r").select(*right.columns, "ci", "cj"), ["ci", "cj", *by])
+    ri, rj = planar.cell(rx0, cell), planar.cell(ry0, cell)
     if segment:
         # a segment's columns that meet the box are consecutive: the first is the first of both, or the one before has no row of the box
-        earlier = (F.col("_lpl") <= F.col("_rh")) & (F.col("_lph") >= F.col("_rj")) & (ci > F.col("_ri"))
-        first = ~F.coalesce(earlier, F.lit(False)) & (cj == F.greatest("_ll", "_rj"))
+        earlier = (ci > ri) & (F.col("_lpl") <= planar.cell(ry1, cell)) & (F.col("_lph") >= rj)
+        first = ~F.coalesce(earlier, F.lit(False)) & (cj == F.greatest("_ll", rj))
     else:
-        first = (ci == F.greatest("_li", "_ri")) & (cj == F.greatest("_lj", "_rj"))
-        if levels > 1:
-            first = first & (F.col("level") == F.greatest("_lown", "_rown"))
-    (lx0, lx1, ly0, ly1), (rx0, rx1, ry0, ry1) = (tuple(F.col(c) for c in box) for box in (left_box, right_box))
-    overlap = (lx0 <= rx1) & (lx1 >= rx0) & (ly0 <= ry1) & (ly1 >= ry0)
-    out = joined.where(first & overlap).select(*own)
+        first = (ci == F.greatest(planar.cell(lx0, cell), ri)) & (cj == F.greatest(planar.cell(ly0, cell), rj))
+    return _met(joined, overlap & first, own, predicate)
+
+
+def _met(joined: DataFrame, condition: Column, own: list[str], predicate: Column | None) -> DataFrame:
+    out = joined.where(condition).select(*own)
     return out if predicate is None else out.where(predicate)
 
 

@@ -40,10 +40,7 @@ SWEEP = (
 
 def segmentize(roads: DataFrame, longest: float | Column) -> DataFrame:
     """Segments cut into equal parts no longer than ``longest`` (whole where it is NULL), with their number ``part``."""
-    n = planar.pieces(F.col("dx"), F.col("dy"), longest)
-    out = roads.withColumn("_n", n).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    step = {c: F.col(c) / F.col("_n") for c in ("dx", "dy")}
-    return out.withColumns({"ax": F.col("ax") + F.col("part") * step["dx"], "ay": F.col("ay") + F.col("part") * step["dy"], **step}).drop("_n")
+    return planar.segmentized(roads, longest)
 
 
 def snap_roads(roads: DataFrame, grid: float | Column) -> DataFrame:

@@ -161,3 +161,28 @@ def test_degrees_of_roads_and_tracts_agree(spark):
     t = metres.degree_rings(spark.createDataFrame([(1, 0, 20000, 0, 20000)], "tid int, x0 int, x1 int, y0 int, y1 int")).first()
     r = metres.degree_ends(spark.createDataFrame([(0.0, 0.0, 20000.0, 20000.0)], "ax double, ay double, dx double, dy double")).first()
     assert (r.lon1, r.lat1, r.lon2, r.lat2) == (t.rings[0][0].x, t.rings[0][0].y, t.rings[0][2].x, t.rings[0][2].y) and r.lon1 == variants.ORIGIN[0]
+
+
+def test_very_wide_polygons_name_few_cells(spark):
+    """A polygon about a pole has millions of a tract's cells: it is joined on a grid of its own, and no pair is shuffled."""
+    ring = lambda x, y, s: [{"x": a, "y": b} for a, b in ((x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y))]
+    shapes = gaps.with_edges(spark.createDataFrame([(1, [ring(0.0, 0.0, 10.0)]), (2, [ring(-1e4, -1e4, 2e4)])], "tid int, rings array<array<struct<x:double,y:double>>>"))
+    assert [r.wide for r in shapes.select("tid", gaps.is_wide(5.0).alias("wide")).orderBy("tid").collect()] == [False, True]
+    roads = spark.createDataFrame([(2.0, 2.0, 3.0, 4.0, True), (5.0, 5.0, 10.0, 0.0, False), (9_997.0, 0.0, 6.0, 8.0, True)], "ax double, ay double, dx double, dy double, mapped boolean")
+    out = gaps.polygon_lengths(shapes, roads, 5.0, wide=True)
+    got = {r.tid: (r.ov_len, r.tiger_len) for r in out.collect()}
+    assert got == {1: (pytest.approx(5.0), pytest.approx(5.0)), 2: (pytest.approx(10.0), pytest.approx(10.0))}
+    cut = gaps.polygon_lengths(shapes, roads.withColumn("longest", F.lit(1.5)), 5.0, longest="longest", wide=True)
+    assert {r.tid: (pytest.approx(r.ov_len), pytest.approx(r.tiger_len)) for r in cut.collect()} == {1: (5.0, 5.0), 2: (10.0, 10.0)}
+
+
+def test_pairs_of_roads_and_polygons_are_not_shuffled(spark):
+    t, r = metres.degree_rings(tables.tracts(spark, ROOT)), metres.degree_ends(tables.roads(spark, ROOT))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = metres.transport(t, r, (metres.BASE, metres.Setting("cut", longest=100)))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # candidates by cell, and sums by tract: nothing joins pairs with polygons, and roads are shuffled whole
+    assert plan.count("SortMergeJoin") == 2
