@@ -757,8 +757,9 @@ def road_distance(spark, root):
 
 
 def _segments(r: DataFrame) -> DataFrame:
-    """Reference roads, of which alike ones are one with a number of copies."""
-    return r.where("NOT mapped").groupBy("class", *gaps.SEGMENT).agg(F.count(F.lit(1)).alias("copies")).withColumn("ref_id", F.concat_ws("|", "class", *gaps.SEGMENT))
+    """Reference roads, of which alike ones are one with a number of copies; written, so that their short numbers stay as they are."""
+    one = r.where("NOT mapped").groupBy("class", *gaps.SEGMENT).agg(F.count(F.lit(1)).alias("copies"))
+    return layers.written(one.withColumn("ref_id", F.monotonically_increasing_id()), "reference-roads")
 
 
 @query(over("""SELECT class, CAST(sum(copies) AS BIGINT) AS n, CAST(coalesce(sum(copies) FILTER (WHERE h < 5000), 0) AS BIGINT) AS n_covered, round(sum(h * copies) FILTER (WHERE h < 5000) / sum(copies) FILTER (WHERE h < 5000), 3) AS mean_distance FROM (

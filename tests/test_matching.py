@@ -56,6 +56,15 @@ def test_few_places_are_looked_at_closely(spark, monkeypatch):
     assert asked[0].count() == len(roads) * 17
 
 
+def test_places_are_shuffled_once_each(spark):
+    """Places have one cell each, and nothing is joined to the places a second time."""
+    given = spark.createDataFrame([(k, 7.0 * k, 0.0) for k in range(50)], "k int, px double, py double").withColumn("ref_id", F.lit(1))
+    near = matching._distances(given, spark.createDataFrame([("p", 100.0, 3.0, 50.0, 0.0)], SCHEMA), 5.0)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert {r.k: r.d for r in near.collect()} == {k: pytest.approx(min(5.0, apart(7.0 * k, 0.0, ("p", 100.0, 3.0, 50.0, 0.0)))) for k in range(50)}
+
+
 @pytest.mark.parametrize("reach,bearing", [(40.0, 30.0), (90.0, 5.0)])
 def test_matched_pairs_are_mutual_nearest(spark, reach, bearing):
     r = random.Random(int(reach))
